@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from . import simhash, substring
+from . import langid, lines, pieces, sharding, simhash, substring, topk, warc
 
 QUERIES = {
+    "op1_shards": sharding.query,
+    "op3_language": langid.query,
+    "op4_topk": topk.query,
     "op5_simhash": simhash.query,
+    "op6_lines": lines.query,
+    "op7_pieces": pieces.query,
+    "op8_warc": warc.query,
     "op9_substring": substring.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_topk": topk.SQL,
+    "op8_warc": warc.SQL,
+}
