@@ -126,15 +126,15 @@ def _windowed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return (sums[ends] - sums[starts]) * _DOWN[starts]
 
 
-def words_of(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(body: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word starts and ends as byte positions in ``body``, and where each row's words begin (n + 1 values).
 
-    Words are the longest runs without the six space bytes; no word crosses a row.
+    Words are the longest runs without the bytes that ``breaks`` marks; no word crosses a row.
     """
     lo, hi = int(offsets[0]), int(offsets[-1])
     if hi == lo:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~SPACE[body[lo:hi]]
+    solid = ~breaks[body[lo:hi]]
     before = np.empty_like(solid)
     before[0], before[1:] = False, solid[:-1]
     edges = offsets[:-1] - lo
