@@ -227,12 +227,15 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang"
 
 
 def _label(model: Model):
+    """Takes the lower-case text as the last column and returns the columns before it with the three of its own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([*model.languages, "und"], pa.string())
         und = len(model.languages)
         for batch in batches:
-            for piece in row_pieces(batch, "text"):
-                text, chars = _joined(piece.column(1))
+            own = batch.schema.names[:-1]
+            for piece in row_pieces(batch, batch.schema.names[-1]):
+                text, chars = _joined(piece.column(len(own)))
                 starts, ends, row, letters, script, bucket = words_by_script(text, chars)
                 n = piece.num_rows
                 if not und:
@@ -251,22 +254,29 @@ def _label(model: Model):
                     pa.array(np.searchsorted(row[new], np.arange(n + 1)).astype(np.int32)),
                     pa.StructArray.from_arrays([pa.array((starts[new] - base).astype(np.int32)), pa.array((ends[close] - base).astype(np.int32)), names.take(pa.array(tag[new]))], ["start", "end", "lang"]),
                 )
-                yield pa.RecordBatch.from_arrays([piece.column(0), names.take(pa.array(best)), pa.array(share), spans.cast(_SPANS)], ["doc_id", "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], names.take(pa.array(best)), pa.array(share), spans.cast(_SPANS)], [*own, "lang_pred", "score", "spans"])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (share of the letters that lang_pred labels) and spans (start, end, lang) for every row.
+def label(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with lang_pred, score (share of the letters that lang_pred labels) and spans (start, end, lang).
 
     Spans are in characters of the lower-cased text. Null texts and texts without a letter are ``und`` with score 0 and
     no spans; so is every text if the model knows no language. Words in a script that no language uses are labelled
     ``und``; a text of nothing else gets the language that most was learned from, with score 0. Equal shares go to the
-    language that more was learned from. Repeated rows and rows without doc_id are labelled one by one; an empty table
-    gives an empty result. Other columns are not read.
+    language that more was learned from. Repeated rows are labelled one by one; an empty table gives an empty result.
+    Columns of the three names are replaced; others are neither read nor changed.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text"))
-    return rows.mapInArrow(_label(model), "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    rows = docs.drop("lang_pred", "score", "spans")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"])
+    return rows.withColumn("__lower", F.lower(F.col(text_col).cast("string"))).mapInArrow(_label(model), schema)
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score and spans of every row; see ``label``."""
+    lower = F.lower(F.col(text_col).cast("string")).alias("lower")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), lower).mapInArrow(_label(model), "doc_id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, lines, pieces, sharding, simhash, substring, topk, warc
+from . import decontaminate, langid, lines, pieces, quality, sharding, simhash, substring, topk, warc
 
 QUERIES = {
     "op1_shards": sharding.query,
+    "op2_decontaminate": decontaminate.query,
     "op3_language": langid.query,
     "op4_topk": topk.query,
     "op5_simhash": simhash.query,
@@ -13,6 +14,7 @@ QUERIES = {
     "op7_pieces": pieces.query,
     "op8_warc": warc.query,
     "op9_substring": substring.query,
+    "op10_quality": quality.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": topk.SQL,
