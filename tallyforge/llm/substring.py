@@ -63,17 +63,45 @@ def stretches(words: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndar
 
 
 def _stretch_rows(window: int):
+    """Stretches of each piece of rows, combined before the shuffle.
+
+    Of equal stretches of a piece only the first in document order is left to compare; the others are repeats wherever
+    the first of all is. They leave as merged spans with ``known`` set and a key of their own, so that a stretch that
+    fills the corpus is no hot key.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in row_pieces(batch, "text"):
                 body, offsets = text_bytes(piece.column(1))
                 starts, ends, rows = words_of(body, offsets)
                 row, start, many, anchor, content = stretches(hash_spans(body, starts, ends), rows, window)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), piece.column(0).take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int16))],
-                        ["anchor", "content", "doc_id", "start", "windows"],
-                    )
+                if not len(row):
+                    continue
+                doc = piece.column(0).to_numpy()[row]
+                order = np.lexsort((start, doc, content))
+                first = order[np.maximum.accumulate(np.where(np.r_[True, content[order][1:] != content[order][:-1]], np.arange(len(order)), 0))]
+                later = order[(doc[order] != doc[first]) | (start[order] != start[first])]
+                repeat = np.zeros(len(row), bool)
+                repeat[later] = True
+                at = np.flatnonzero(repeat)
+                end = start[at] + many[at] + window - 1
+                opens = np.flatnonzero(np.r_[True, (row[at][1:] != row[at][:-1]) | (start[at][1:] > end[:-1])]) if len(at) else at
+                head, tail = at[opens], (at[np.r_[opens[1:], len(at)] - 1] if len(at) else at)
+                size = start[tail] + many[tail] - start[head]
+                own = mix(doc[head].astype(np.uint64) ^ mix(start[head].astype(np.uint64)))
+                new = ~repeat
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.r_[anchor[new], own].view(np.int64)),
+                        pa.array(np.r_[content[new], own].view(np.int64)),
+                        pa.array(np.r_[doc[new], doc[head]]),
+                        pa.array(np.r_[start[new], start[head]].astype(np.int32)),
+                        pa.array(np.r_[many[new], size].astype(np.int32)),
+                        pa.array(np.r_[np.zeros(int(new.sum()), bool), np.ones(len(head), bool)]),
+                    ],
+                    ["anchor", "content", "doc_id", "start", "windows", "known"],
+                )
 
     return run
 
@@ -254,14 +282,15 @@ def repeated_spans(docs: DataFrame, window: int = 20, most: int = MOST) -> DataF
 
     ``docs`` has doc_id and text. Earlier means a smaller doc_id, or the same document and an earlier start.
     """
-    found = docs.mapInArrow(_stretch_rows(window), "anchor long, content long, doc_id long, start int, windows smallint")
+    found = docs.mapInArrow(_stretch_rows(window), "anchor long, content long, doc_id long, start int, windows int, known boolean")
     shard = Window.partitionBy("anchor")
     same = Window.partitionBy("anchor", "content").orderBy("doc_id", "start")
-    found = found.withColumn("nth", F.row_number().over(same)).withColumn("held", F.count(F.lit(1)).over(shard)).where("held > 1").withColumn("different", F.sum(F.when(F.col("nth") == 1, 1)).over(shard))
-    found = materialize(found.select("anchor", "doc_id", "start", "windows", "nth", "different"), "stretches")
-    whole = found.where("nth > 1").select("doc_id", "start", (F.col("start") + F.col("windows") + F.lit(window - 1)).cast("int").alias("end"))
+    found = found.withColumn("nth", F.row_number().over(same)).withColumn("place", F.rank().over(same))
+    found = found.withColumn("held", F.count(F.lit(1)).over(shard)).where("held > 1 or known").withColumn("different", F.count_if(F.col("nth") == 1).over(shard))
+    found = materialize(found.select("anchor", "doc_id", "start", "windows", "nth", "place", "different", "known"), "stretches")
+    whole = found.where("place > 1 or known").select("doc_id", "start", (F.col("start") + F.col("windows") + F.lit(window - 1)).cast("int").alias("end"))
 
-    wanted = found.where("nth = 1 and different > 1").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", "different")).alias("wanted"))
+    wanted = found.where("nth = 1 and different > 1 and not known").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", "different")).alias("wanted"))
     content = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_content_rows(window), "anchor long, different long, doc_id long, start int, words binary")
     content = materialize(content, "stretch-words")
     parts = content.where(F.col("different") <= most).select("anchor", "doc_id", "start", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
@@ -281,8 +310,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Null and empty texts have no words and an empty ``kept``. Documents under ``window`` words lose nothing.
     Equal stretches at different places are ties that the smaller (doc_id, start) wins. Rows that repeat a doc_id count
-    as one document's copies: the later row is a repeat at the same place, and the spans found apply to every row with
-    that doc_id. Rows without doc_id are returned whole. Other columns are not read.
+    as one document: a window at the same place is no repeat, and the spans found apply to every row with that doc_id. Rows without doc_id are returned whole. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_spans(rows.where("doc_id is not null"), window, most)
