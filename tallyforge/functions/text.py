@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Latin letters with marks and what they decompose to, from the Unicode data.
 _LATIN = {chr(i): unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode() for i in range(0xC0, 0x250)}
@@ -21,7 +22,7 @@ def name_norm(x: Column) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(plain), F.lit("([a-z0-9_]+)"), 1), " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def name_norm_exact(x: pd.Series) -> pd.Series:
     """The same over all of Unicode: compatibility decomposition, ASCII only."""
     plain = x.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().casefold())
