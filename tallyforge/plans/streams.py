@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.entity import constrained_clusters, greedy_swaps, representatives
-from ..streaming.segments import contiguous_prefix, folded, ingested_once, segments
+from ..streaming.segments import contiguous_prefix, folded, hidden_copies, ingested_once, live_segments, segments
 from .registry import Tables, query
 
 
@@ -20,6 +20,27 @@ def segment_events(t: Tables) -> DataFrame:
     return segments(frames(t))
 
 
+@query()
+def segment_live(t: Tables) -> DataFrame:
+    held = frames(t).withColumn("sig", F.col("capture") % 3).withColumn("x", 1 - F.col("x"))
+    return live_segments(held)
+
+
+@query("""
+WITH a AS (SELECT user_id AS capture, list(value ORDER BY event_id) AS v FROM events WHERE event_id < 3000 GROUP BY 1 HAVING count(*) >= 10),
+c AS (SELECT capture, v, unnest(range(5, len(v) - 4)) AS cut FROM a),
+s AS (SELECT capture, cut, list_sort(v[1:cut]) AS x, list_sort(v[cut + 1:]) AS y FROM c),
+g AS (SELECT capture, cut, abs(x[(len(x) - 1) // 2 + 1] - y[(len(y) - 1) // 2 + 1]) AS gap FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY gap DESC, cut) AS k FROM g)
+SELECT capture, CAST(cut AS INTEGER) AS cut, round(gap, 6) AS gap FROM r WHERE k = 1 AND gap >= 1.8
+""")
+def hidden_copy_cuts(t: Tables) -> DataFrame:
+    """Where the measurements of a long group change most."""
+    rows = t.events.where("event_id < 3000").groupBy(F.col("user_id").alias("capture")).agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("x"))
+    rows = rows.select("capture", F.lit(1).alias("number"), F.transform("x", lambda e: e["value"]).alias("angles"))
+    return hidden_copies(rows).drop("number")
+
+
 @query("""
 WITH g AS (SELECT conv_id AS capture, turn + 1 AS number, conv_id % 5 = 0 AS final FROM conversations WHERE (conv_id + turn) % 4 <> 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY number) AS nth, bool_or(final) OVER (PARTITION BY capture) AS over_ FROM g)

@@ -64,3 +64,18 @@ def names(flat: DataFrame) -> DataFrame:
     """(oracle_id, lang, name): every distinct name an item goes by."""
     found = F.array_compact(F.array("name_en", "front_name", "flavor_name", "printed_name"))
     return flat.select("oracle_id", "lang", F.explode(found).alias("name")).distinct()
+
+
+def copied(df: DataFrame, columns: list[str], blank: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
+    """The named columns for another store, some of them emptied, of the rows that go there."""
+    rows = df if where is None else df.where(where)
+    kinds = dict(df.dtypes)
+    return rows.select(*[F.lit(None).cast(kinds[c]).alias(c) if c in blank else F.col(c) for c in columns])
+
+
+def sets_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an answer {"data": [...]}; a code that comes again keeps its last row."""
+    schema = "data array<struct<code:string,name:string,set_type:string,released_at:string,card_count:int>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("data").alias("at", "x"))
+    last = rows.groupBy("x.code").agg(F.max_by("x", "at").alias("x"))
+    return last.select("x.*").withColumn("released_at", F.try_to_date("released_at"))

@@ -126,3 +126,71 @@ def folded(groups: DataFrame, short: int = 4, gap: int = 3, span: float = 1.6) -
         return pd.DataFrame([(key[0], *o) for o in out], columns=["capture", "number", "item", "frames", "merged"])
 
     return groups.groupBy("capture").applyInPandas(run, "capture long, number long, item string, frames long, merged long")
+
+
+LIVE = "capture long, number int, emitted long, frames int, doubtful boolean"
+
+
+class LiveSegmenter:
+    """Groups told early: after ``steady`` stable frames, later if the picture is doubtful.
+
+    Six empty frames close a group and motion does not. A different signature closes it once it has come ``confirm``
+    times in a row. Groups too short to be told are dropped.
+    """
+
+    def __init__(self, steady: int = 4, late: int = 12, doubt: float = 0.5, sure: float = 0.7, empties: int = 6, confirm: int = 2, split: int = 20) -> None:
+        self.steady, self.late, self.doubt, self.sure, self.limit, self.confirm, self.split = steady, late, doubt, sure, empties, confirm, split
+        self.number, self.other = 0, 0
+        self.reset()
+
+    def reset(self) -> None:
+        self.frames, self.empties, self.sig, self.told, self.scores = 0, 0, None, False, []
+
+    def rearm(self) -> None:
+        """Lets the open group be told once more, after the receiver asked for a better frame."""
+        self.told, self.frames = False, 0
+
+    def push(self, idx: int, kind: str, sig: int, score: float) -> tuple | None:
+        if kind != "stable":
+            self.empties = self.empties + 1 if kind == "empty" else self.empties
+            if self.empties >= self.limit:
+                self.reset()
+            return None
+        self.empties = 0
+        if self.sig is not None and ((sig ^ self.sig) & (1 << 64) - 1).bit_count() > self.split:
+            self.other += 1
+            if self.other < self.confirm:
+                return None
+            self.reset()
+        self.other = 0
+        self.sig = sig if self.sig is None else self.sig
+        self.frames += 1
+        self.scores = sorted([*self.scores, score])[-15:]
+        middle = self.scores[len(self.scores) // 2]
+        if self.told or self.frames < (self.steady if middle >= self.sure else self.late):
+            return None
+        self.told, self.number = True, self.number + 1
+        return (self.number, idx, self.frames, middle < self.doubt)
+
+
+def live_segments(frames: DataFrame) -> DataFrame:
+    """Groups as they would be told live (frames: capture, idx, kind, sig, x as the picture's score)."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        machine = LiveSegmenter()
+        found = [machine.push(*f) for f in rows.sort_values("idx")[["idx", "kind", "sig", "x"]].itertuples(index=False)]
+        return pd.DataFrame([(key[0], *f) for f in found if f], columns=["capture", "number", "emitted", "frames", "doubtful"])
+
+    return frames.groupBy("capture").applyInPandas(run, LIVE)
+
+
+def hidden_copies(angles: DataFrame, least: float = 1.8, margin: int = 5) -> DataFrame:
+    """Where a long group's angles (capture, number, angles) change most: the split whose medians differ most, if by
+    ``least`` degrees; ``margin`` frames stay on either side. All with array functions."""
+    n = F.size("angles")
+    middle = lambda a: F.element_at(F.sort_array(a), (F.floor((F.size(a) - 1) / 2) + 1).cast("int"))
+    cuts = F.sequence(F.lit(margin), n - margin)
+    gaps = F.transform(cuts, lambda c: F.struct(F.abs(middle(F.slice(F.col("angles"), F.lit(1), c)) - middle(F.slice(F.col("angles"), c + 1, F.size(F.col("angles"))))).alias("gap"), (-c).alias("order")))
+    best = F.array_max(gaps)
+    rows = angles.where(n >= 2 * margin).withColumn("best", best).where(F.col("best.gap") >= least)
+    return rows.select("capture", "number", (-F.col("best.order")).alias("cut"), F.round("best.gap", 6).alias("gap"))

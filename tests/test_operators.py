@@ -13,7 +13,8 @@ from tallyforge.functions import geometry, hamming, money, text
 from tallyforge.functions.predicates import Predicates, java_regex, split_match
 from tallyforge.operators import contest, entity, multiset, rank, rules, upsert
 from tallyforge.sources import catalog, listing
-from tallyforge.streaming.segments import Segmenter, contiguous_prefix, folded, segments, segments_streamed
+from tallyforge.functions import quality
+from tallyforge.streaming.segments import LiveSegmenter, Segmenter, contiguous_prefix, folded, segments, segments_streamed
 
 
 def one(spark, col):
@@ -240,3 +241,29 @@ def test_running_allowance_equals_greedy(spark):
         for _, i, q in group:
             assert got[k, i] == min(q, left)
             left -= min(q, left)
+
+
+def test_live_segments_tell_once():
+    m = LiveSegmenter()
+    told = [m.push(i, "stable", 0, 0.9) for i in range(6)]
+    assert told == [None] * 3 + [(1, 3, 4, False)] + [None] * 2
+    assert m.push(6, "stable", (1 << 40) - 1, 0.9) is None and m.push(7, "stable", 0, 0.9) is None  # one odd frame changes nothing
+    m.rearm()
+    assert [m.push(8 + i, "stable", 0, 0.9) for i in range(4)][-1] == (2, 11, 4, False)
+    assert [m.push(20 + i, "empty", 0, 0.0) for i in range(6)] == [None] * 6 and m.sig is None
+    low = LiveSegmenter()
+    assert [x for x in (low.push(i, "stable", 0, 0.3) for i in range(14)) if x] == [(1, 11, 12, True)]
+
+
+def test_frame_quality(spark):
+    quad = F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (2, 0), (2, 3), (0, 3))])
+    assert one(spark, quality.quality_score(F.lit(1000.0), F.lit(0.0), quad)) == pytest.approx(1.0)
+    assert one(spark, quality.sharpness_score(F.lit(0.0))) == 0 and one(spark, quality.near_codes(F.lit("pabc"), F.lit("abc")))
+    assert not one(spark, quality.near_codes(F.lit("abc"), F.lit("abd")))
+
+
+def test_copies_and_sets(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "s"), (2, "b", "t")], "id int, name string, secret string")
+    assert [tuple(r) for r in catalog.copied(df, ["id", "secret"], ("secret",), F.col("id") > 1).collect()] == [(2, None)]
+    (tmp_path / "s.json").write_text(json.dumps({"data": [{"code": "a", "name": "old"}, {"code": "a", "name": "new", "released_at": "2020-01-01"}]}))
+    assert [(r.code, r.name, str(r.released_at)) for r in catalog.sets_from_json(spark, str(tmp_path / "s.json")).collect()] == [("a", "new", "2020-01-01")]
