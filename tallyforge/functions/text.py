@@ -105,6 +105,13 @@ def money_text(x: Column, sign: str = "R$ ") -> Column:
     return F.concat(F.lit(sign), F.translate(F.format_number(x, 2), ",.", ".,"))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number of at least zero with so many decimals, halves rounded up."""
+    unit = 10**digits
+    whole = F.floor(x * unit + 0.5).cast("long")
+    return F.concat(F.floor(whole / unit).cast("string"), F.lit("."), F.lpad((whole % unit).cast("string"), digits, "0"))
+
+
 def relative_day(day: Column, today: Column) -> Column:
     d = F.datediff(today, day)
     return F.when(d == 0, "today").when(d == 1, "yesterday").when((d > 1) & (d < 7), F.concat(d.cast("string"), F.lit(" days ago"))).otherwise(F.date_format(day, "dd/MM/yyyy"))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import hash_spans, row_pieces, text_bytes
@@ -22,6 +22,23 @@ from .shared import hash_spans, row_pieces, text_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LOST = float("-inf")
+#: Pairs of pieces that a worker remembers between tasks.
+KNOWN_PAIRS = 400_000
+#: Bytes of text that are encoded together; more share more prefixes and take more memory.
+TOGETHER = 4 << 20
+
+
+#: Lengths that are tried after any three characters.
+SHORT = (2, 1)
+
+
+def tails_of(pieces: dict[str, int]) -> dict[str, tuple[int, ...]]:
+    """The lengths worth trying after each three characters: of the pieces that end in them, longest first, and SHORT."""
+    out: dict[str, set[int]] = {}
+    for p in pieces:
+        if len(p) > 2:
+            out.setdefault(p[-3:], set()).add(len(p))
+    return {t: (*sorted(n, reverse=True), *SHORT) for t, n in out.items()}
 
 
 class Pieces:
@@ -37,9 +54,10 @@ class Pieces:
         self.id = {p: i for i, p in enumerate(self.piece) if not special[i]}
         self.byte = {int(p[1:-1], 16): i for i, p in enumerate(self.piece) if library.is_byte(i)}
         self.unknown = library.unk_id()
-        self.longest = max(map(len, self.id), default=1)
-        self.follows: dict[tuple[int, int], bool] = {}
-        self.whole = {i for p, i in self.id.items() if not merges or self.merged(p) == [p]}
+        self.follows: dict[int, bool] = {}
+        #: Pieces that can stand in a path, and the lengths (longest first) of those that end in given characters.
+        self.whole = {p: i for p, i in self.id.items() if not merges or self.merged(p) == [p]}
+        self.tails = tails_of(self.whole)
         #: Characters that no piece joins to another: they stand alone, so text is cut at them.
         joined = {c for p in self.id if len(p) > 1 for c in p}
         self.alone = np.array([i for i in range(128) if chr(i) not in joined and chr(i) != " "], np.uint8)
@@ -62,7 +80,7 @@ class Pieces:
         return parts
 
     def fits(self, before: int, after: int) -> bool:
-        pair = (before, after)
+        pair = before << 32 | after
         known = self.follows.get(pair)
         if known is None:
             a, b = self.piece[before], self.piece[after]
@@ -74,7 +92,7 @@ class Pieces:
         out: list[list[int]] = []
         best, start, last = [0.0], [0], [-1]  # forward score, and the best path's last piece, by position
         previous = ""
-        ids, whole, score, longest, follows = self.id.get, self.whole, self.score, self.longest, self.follows
+        whole, score, tails, follows, merges = self.whole.get, self.score, self.tails.get, self.follows.get, self.merges
         for word in words:
             same = 0
             for x, y in zip(previous, word, strict=False):
@@ -84,16 +102,21 @@ class Pieces:
             del best[same + 1 :], start[same + 1 :], last[same + 1 :]
             for end in range(same + 1, len(word) + 1):
                 top, at, piece = LOST, end - 1, -1
-                for begin in range(max(0, end - longest), end):
-                    k = ids(word[begin:end])
-                    if k is None or k not in whole:
+                for n in tails(word[end - 3 : end], SHORT) if end > 2 else SHORT:
+                    if n > end:
+                        continue
+                    begin = end - n
+                    k = whole(word[begin:end])
+                    if k is None:
                         continue
-                    if self.merges:
+                    if merges:
                         before = last[begin]
                         if before >= 0:
-                            known = follows.get((before, k))
+                            known = follows(before << 32 | k)
                             if not (self.fits(before, k) if known is None else known):
                                 continue
+                        top, at, piece = best[begin] + score[k], begin, k
+                        break  # no other piece fits here
                     if best[begin] + score[k] > top:
                         top, at, piece = best[begin] + score[k], begin, k
                 if piece < 0:  # no piece has this character
@@ -168,7 +191,7 @@ def _pieces(model, merges: bool) -> Pieces:
         _LOADED.clear()
         _LOADED[key] = Pieces(model.value, merges)
     out = _LOADED[key]
-    if len(out.follows) > 2_000_000:
+    if len(out.follows) > KNOWN_PAIRS:
         out.follows.clear()
     return out
 
@@ -177,20 +200,25 @@ def _with(piece: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*piece.columns, column], [*piece.schema.names, name])
 
 
-def _encode(model, merges: bool, text_col: str):
+def _encode(model, merges: bool, text_col: str, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model, merges)
         for batch in batches:
-            for piece in row_pieces(batch, text_col, 4 << 20):
+            for piece in row_pieces(batch, text_col, TOGETHER):
                 texts = piece.column(piece.schema.get_field_index(text_col))
                 body, at = text_bytes(texts)
                 ids, rows = pieces.encode(body[at[0] : at[-1]].tobytes(), at - at[0])
                 none = texts.is_null()
-                yield _with(piece, "ids", pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids), mask=none))
+                out = _with(piece, "ids", pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids), mask=none))
+                yield _with(out, "decoded", _texts(pieces, ids, rows, none)) if back else out
 
     return run
 
 
+def _texts(pieces: Pieces, ids: np.ndarray, rows: np.ndarray, none: pa.Array) -> pa.Array:
+    return pa.array([None if n else t for n, t in zip(none.to_pylist(), pieces.decode(ids, rows), strict=True)], pa.binary())
+
+
 def _decode(model, merges: bool, ids_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model, merges)
@@ -200,8 +228,7 @@ def _decode(model, merges: bool, ids_col: str):
                 piece = batch.slice(i, step)
                 lists = piece.column(piece.schema.get_field_index(ids_col))
                 sizes = lists.value_lengths().fill_null(0).to_numpy()
-                texts = pieces.decode(lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sizes)])
-                yield _with(piece, "decoded", pa.array([None if n else t for n, t in zip(lists.is_null().to_pylist(), texts, strict=True)], pa.binary()))
+                yield _with(piece, "decoded", _texts(pieces, lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sizes)], lists.is_null()))
 
     return run
 
@@ -224,7 +251,14 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, mer
     named ids is replaced; rows are encoded one by one, whatever else they hold.
     """
     rows = docs.drop("ids").withColumn(text_col, F.col(text_col).cast("string"))
-    return rows.mapInArrow(_encode(_shared(docs.sparkSession, model_path), merges, text_col), _schema(rows, "ids array<int>"))
+    return rows.mapInArrow(_encode(_shared(docs.sparkSession, model_path), merges, text_col, False), _schema(rows, "ids array<int>"))
+
+
+def round_trip(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, merges: bool = True) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, which holds one copy of the model a task: ids and decoded."""
+    rows = docs.drop("ids", "decoded").withColumn(text_col, F.col(text_col).cast("string"))
+    out = rows.mapInArrow(_encode(_shared(docs.sparkSession, model_path), merges, text_col, True), _schema(rows, "ids array<int>", "decoded binary"))
+    return out.withColumn("decoded", _valid("decoded"))
 
 
 def decode(tokens: DataFrame, ids_col: str = "ids", model_path: str = MODEL, merges: bool = True) -> DataFrame:
@@ -234,11 +268,15 @@ def decode(tokens: DataFrame, ids_col: str = "ids", model_path: str = MODEL, mer
     """
     rows = tokens.drop("decoded")
     out = rows.mapInArrow(_decode(_shared(tokens.sparkSession, model_path), merges, ids_col), _schema(rows, "decoded binary"))
-    return out.withColumn("decoded", F.make_valid_utf8(F.col("decoded").cast("string")))
+    return out.withColumn("decoded", _valid("decoded"))
+
+
+def _valid(column: str) -> Column:
+    return F.make_valid_utf8(F.col(column).cast("string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: all documents encoded and decoded again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = decode(encode(docs))
+    out = round_trip(docs)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))

@@ -88,6 +88,7 @@ def row_pieces(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterato
     _, at = text_bytes(batch.column(batch.schema.get_field_index(text)))
     for lo, hi in row_slices(at, most):
         yield batch.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()  # workers live on, and what they keep counts
 
 
 # --------------------------------------------------------------------------- word hashes

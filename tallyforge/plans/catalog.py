@@ -60,11 +60,11 @@ def name_index_distinct(t: Tables) -> DataFrame:
 @query("""
 SELECT source, max(CASE WHEN lang = 'en' THEN name END) AS en, max(CASE WHEN lang = 'de' THEN name END) AS de,
   max(CASE WHEN lang = 'fr' THEN name END) AS fr, count(*) AS langs
-FROM (SELECT source, lang, arg_min(left(text, 40), doc_id) AS name FROM documents GROUP BY 1, 2) GROUP BY 1
+FROM (SELECT source, lang, arg_min(string_split(text, chr(10))[1], doc_id) AS name FROM documents GROUP BY 1, 2) GROUP BY 1
 """)
 def front_name_pivot(t: Tables) -> DataFrame:
     """The first name of each item and language, as a map and read back from it."""
-    first = t.documents.groupBy("source", "lang").agg(F.min_by(F.left("text", F.lit(40)), "doc_id").alias("name"))
+    first = t.documents.groupBy("source", "lang").agg(F.min_by(F.element_at(F.split("text", "\n"), 1), "doc_id").alias("name"))
     maps = first.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("lang", "name"))).alias("names"))
     return maps.select("source", *[F.col("names")[x].alias(x) for x in ("en", "de", "fr")], F.size("names").cast("long").alias("langs"))
 

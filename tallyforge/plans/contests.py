@@ -10,11 +10,11 @@ from .registry import Tables, query
 
 MATCHES = """
 WITH m AS (
-  SELECT o_orderkey % 20 AS contest, o_orderkey // 20 % 7 + 1 AS round, o_custkey % 40 AS a,
+  SELECT o_orderkey // 200 AS contest, o_orderkey % 7 + 1 AS round, o_custkey % 40 AS a,
     CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE (o_custkey % 40 + 1 + o_orderkey % 11) % 40 END AS b,
     CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN o_orderkey % 3 ELSE 1 END AS wa,
     CASE o_orderstatus WHEN 'F' THEN o_orderkey % 2 WHEN 'O' THEN 2 ELSE 1 END AS wb, o_orderkey % 2 AS dr
-  FROM orders WHERE o_orderkey < 4000
+  FROM orders
 ), s AS (
   SELECT contest, round, a AS player, b AS opponent, CASE WHEN b IS NULL THEN 2 ELSE wa END AS won, CASE WHEN b IS NULL THEN 0 ELSE wb END AS lost, CASE WHEN b IS NULL THEN 0 ELSE dr END AS drawn FROM m
   UNION ALL SELECT contest, round, b, a, wb, wa, dr FROM m WHERE b IS NOT NULL
@@ -36,8 +36,8 @@ WITH m AS (
 def matches(t: Tables) -> DataFrame:
     k, me = F.col("o_orderkey"), F.col("o_custkey") % 40
     status = F.col("o_orderstatus")
-    return t.orders.where(k < 4000).select(
-        (k % 20).alias("contest"), (F.floor(k / 20) % 7 + 1).alias("round"), me.alias("a"), F.when(k % 23 != 0, (me + 1 + k % 11) % 40).alias("b"),
+    return t.orders.select(
+        F.floor(k / 200).alias("contest"), (k % 7 + 1).alias("round"), me.alias("a"), F.when(k % 23 != 0, (me + 1 + k % 11) % 40).alias("b"),
         F.when(status == "F", 2).when(status == "O", k % 3).otherwise(1).alias("wins_a"), F.when(status == "F", k % 2).when(status == "O", 2).otherwise(1).alias("wins_b"), (k % 2).alias("draws"),
     )
 
@@ -50,7 +50,7 @@ def standings_duel(t: Tables) -> DataFrame:
     return s.select("contest", "player", F.col("points").cast("long").alias("points"), "byes", "games_won", "games_lost", "games_drawn", F.round("omw", 6).alias("omw"), F.round("game_rate", 6).alias("game_rate"), F.round("ogw", 6).alias("ogw"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(MATCHES.replace("WHERE o_orderkey < 4000", "WHERE o_orderkey < 4000 AND o_orderkey // 20 % 7 + 1 <= 3") + "SELECT contest, player, rank FROM x")
+@query(MATCHES.replace("FROM orders\n", "FROM orders WHERE o_orderkey % 7 + 1 <= 3\n") + "SELECT contest, player, rank FROM x")
 def standings_upto(t: Tables) -> DataFrame:
     """The table as it stood after the third round."""
     return standings(matches(t), upto=3).select("contest", "player", F.col("rank").cast("long").alias("rank"))
@@ -167,22 +167,22 @@ def score_validity(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS id, 50 - (CASE WHEN o_orderkey % 3 = 1 THEN 10 ELSE 20 + o_orderkey % 40 END - (CASE WHEN o_orderkey % 3 = 2 THEN 5 ELSE 0 END)) AS left_ FROM orders WHERE o_orderkey < 300
+SELECT o_orderkey AS id, 50 - (CASE WHEN o_orderkey % 3 = 1 THEN 10 ELSE 20 + o_orderkey % 40 END - (CASE WHEN o_orderkey % 3 = 2 THEN 5 ELSE 0 END)) AS left_ FROM orders
 """)
 def clock_left(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     paused, resumed = F.when(k % 3 > 0, 10), F.when(k % 3 == 2, 15)
-    return t.orders.where(k < 300).select(k.alias("id"), minutes_left(F.lit(0), paused, resumed, 20 + k % 40, F.lit(50)).alias("left_"))
+    return t.orders.select(k.alias("id"), minutes_left(F.lit(0), paused, resumed, 20 + k % 40, F.lit(50)).alias("left_"))
 
 
 @query("""
-WITH m AS (SELECT o_orderkey AS id, least(o_custkey % 40, o_custkey // 40) AS best, CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE 0 END AS bye FROM orders WHERE o_orderkey < 500)
-SELECT id, row_number() OVER (ORDER BY bye, best, id) AS table_no FROM m
+WITH m AS (SELECT o_orderkey AS id, o_orderkey // 200 AS contest, least(o_custkey % 40, o_custkey // 40) AS best, CASE WHEN o_orderkey % 23 = 0 THEN 1 ELSE 0 END AS bye FROM orders)
+SELECT contest, id, row_number() OVER (PARTITION BY contest ORDER BY bye, best, id) AS table_no FROM m
 """)
 def table_numbers(t: Tables) -> DataFrame:
     """Tables by the better rank of the pair, byes last."""
-    rows = t.orders.where("o_orderkey < 500").select(F.col("o_orderkey").alias("id"), F.least(F.col("o_custkey") % 40, F.floor(F.col("o_custkey") / 40)).alias("best"), (F.col("o_orderkey") % 23 == 0).alias("bye"))
-    return rows.select("id", F.row_number().over(Window.orderBy("bye", "best", "id")).cast("long").alias("table_no"))
+    rows = t.orders.select(F.floor(F.col("o_orderkey") / 200).alias("contest"), F.col("o_orderkey").alias("id"), F.least(F.col("o_custkey") % 40, F.floor(F.col("o_custkey") / 40)).alias("best"), (F.col("o_orderkey") % 23 == 0).alias("bye"))
+    return rows.select("contest", "id", F.row_number().over(Window.partitionBy("contest").orderBy("bye", "best", "id")).cast("long").alias("table_no"))
 
 
 @query()

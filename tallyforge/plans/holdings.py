@@ -142,16 +142,14 @@ def reverse_check(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT l_returnflag || l_linenumber AS k FROM lineitem WHERE l_orderkey < 500), b AS (SELECT l_linestatus || l_linenumber AS k FROM lineitem WHERE l_orderkey < 500
-  UNION ALL SELECT l_returnflag || l_linenumber FROM lineitem WHERE l_orderkey BETWEEN 400 AND 700)
+WITH a AS (SELECT l_returnflag || l_linenumber || '/' || l_suppkey AS k FROM lineitem WHERE l_linestatus = 'O'), b AS (SELECT l_returnflag || l_linenumber || '/' || l_suppkey AS k FROM lineitem WHERE l_linestatus = 'F')
 SELECT 'intersect' AS op, k, count(*) AS n FROM (SELECT k FROM a INTERSECT ALL SELECT k FROM b) GROUP BY k
 UNION ALL SELECT 'except', k, count(*) FROM (SELECT k FROM a EXCEPT ALL SELECT k FROM b) GROUP BY k
 UNION ALL SELECT 'union', k, count(*) FROM (SELECT k FROM a UNION SELECT k FROM b) GROUP BY k
 """)
 def multiset_ops(t: Tables) -> DataFrame:
-    key = lambda c: F.concat(F.col(c), F.col("l_linenumber").cast("string")).alias("k")
-    a = t.lineitem.where("l_orderkey < 500").select(key("l_returnflag"))
-    b = t.lineitem.where("l_orderkey < 500").select(key("l_linestatus")).unionAll(t.lineitem.where("l_orderkey between 400 and 700").select(key("l_returnflag")))
+    key = F.concat("l_returnflag", F.col("l_linenumber").cast("string"), F.lit("/"), F.col("l_suppkey").cast("string")).alias("k")
+    a, b = (t.lineitem.where(F.col("l_linestatus") == s).select(key) for s in "OF")
     parts = {"intersect": a.intersectAll(b), "except": a.exceptAll(b), "union": a.union(b).distinct()}
     counts = [df.groupBy("k").agg(F.count(F.lit(1)).alias("n")).select(F.lit(op).alias("op"), "k", "n") for op, df in parts.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])

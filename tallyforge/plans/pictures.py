@@ -77,19 +77,19 @@ def command_replay(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey AND l_partkey < 100
+SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey
 """)
 def blocked_pairs(t: Tables) -> DataFrame:
-    return canonical_pairs(t.lineitem.where("l_partkey < 100"), "l_partkey", "l_suppkey")
+    return canonical_pairs(t.lineitem, "l_partkey", "l_suppkey")
 
 
 @query("""
-SELECT a.k AS part FROM (SELECT l_partkey AS k FROM lineitem WHERE l_orderkey % 8 = 0 GROUP BY 1 HAVING count(*) = 1) a
-JOIN (SELECT l_partkey AS k FROM lineitem WHERE l_orderkey % 8 = 1 GROUP BY 1 HAVING count(*) = 1) b ON a.k = b.k
+SELECT a.k AS part FROM (SELECT l_partkey || '/' || l_suppkey AS k FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1 HAVING count(*) = 1) a
+JOIN (SELECT l_partkey || '/' || l_suppkey AS k FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1 HAVING count(*) = 1) b ON a.k = b.k
 """)
 def anchors(t: Tables) -> DataFrame:
-    side = lambda r: t.lineitem.where(F.col("l_orderkey") % 8 == r).select(F.col("l_partkey").alias("part"))
-    return unique_anchors(side(0), side(1), "part")
+    side = lambda s: t.lineitem.where(F.col("l_linestatus") == s).select(F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("part"))
+    return unique_anchors(side("O"), side("F"), "part")
 
 
 @query("""
@@ -197,12 +197,12 @@ def rebuilt_lines(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey AS list, to_json(list({'part': l_partkey, 'q': CAST(l_quantity AS INTEGER)} ORDER BY l_partkey, CAST(l_quantity AS INTEGER)))::VARCHAR AS version FROM lineitem WHERE l_orderkey < 300 GROUP BY 1
+SELECT l_orderkey AS list, to_json(list({'part': l_partkey, 'q': CAST(l_quantity AS INTEGER)} ORDER BY l_partkey, CAST(l_quantity AS INTEGER)))::VARCHAR AS version FROM lineitem GROUP BY 1
 """)
 def list_snapshots(t: Tables) -> DataFrame:
     """An immutable version of each list as JSON."""
     rows = F.sort_array(F.collect_list(F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("q"))))
-    return t.lineitem.where("l_orderkey < 300").groupBy(F.col("l_orderkey").alias("list")).agg(F.to_json(rows).alias("version"))
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("list")).agg(F.to_json(rows).alias("version"))
 
 
 @query("""

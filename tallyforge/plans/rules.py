@@ -34,7 +34,7 @@ LINES = """
 WITH l AS (
   SELECT l_orderkey AS list, l_partkey % 40 AS card, l_linenumber AS position, l_suppkey, CAST(l_quantity % 6 AS BIGINT) + 1 AS detected,
     CASE WHEN l_suppkey % 17 = 0 THEN 0 WHEN l_suppkey % 19 = 0 THEN 9 END AS override, l_extendedprice
-  FROM lineitem WHERE l_orderkey < 3000
+  FROM lineitem
 ), m AS (SELECT l.*, list * 100 + card AS key, CASE WHEN card % 10 = 3 THEN 1 WHEN card % 10 = 0 THEN NULL WHEN card % 10 = 1 THEN 7 ELSE 4 END AS lim FROM l),
 r AS (SELECT *, coalesce(sum(detected) OVER (PARTITION BY key ORDER BY position, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m),
 q AS (SELECT *, CASE WHEN lim IS NULL THEN detected ELSE least(detected, greatest(lim - before, 0)) END AS automatic FROM r),
@@ -51,7 +51,7 @@ def lines(t: Tables) -> DataFrame:
     card = F.col("l_partkey") % 40
     text = F.when(card % 10 == 3, "restricted").when(card % 10 == 0, "basic").when(card % 10 == 1, "A deck can have up to seven cards").otherwise("plain")
     override = F.when(F.col("l_suppkey") % 17 == 0, 0).when(F.col("l_suppkey") % 19 == 0, 9)
-    rows = t.lineitem.where("l_orderkey < 3000").select(
+    rows = t.lineitem.select(
         F.col("l_orderkey").alias("list"), card.alias("card"), (F.col("l_orderkey") * 100 + card).alias("key"), text.alias("text"), F.col("l_linenumber").alias("position"),
         "l_suppkey", "l_extendedprice", ((F.col("l_quantity") % 6).cast("long") + 1).alias("detected"), override.cast("long").alias("override"),
     )
@@ -76,14 +76,14 @@ def copy_limit_issues(t: Tables) -> DataFrame:
 
 @query("""
 WITH z AS (SELECT l_orderkey AS list, CASE l_returnflag WHEN 'N' THEN 'main' WHEN 'A' THEN 'side' ELSE 'odd' END AS zone, CAST(sum(l_quantity) AS BIGINT) AS quantity
-  FROM lineitem WHERE l_orderkey < 4000 GROUP BY 1, 2)
+  FROM lineitem GROUP BY 1, 2)
 SELECT list, zone, quantity, CASE WHEN zone = 'main' AND quantity < 60 THEN 'too_few' WHEN zone = 'side' AND quantity > 15 THEN 'too_many' ELSE 'unknown_zone' END AS code,
   CASE WHEN zone = 'main' THEN 60 - quantity WHEN zone = 'side' THEN quantity - 15 ELSE quantity END AS gap
 FROM z WHERE (zone = 'main' AND quantity < 60) OR (zone = 'side' AND quantity > 15) OR (zone = 'odd' AND quantity > 0)
 """)
 def zone_totals(t: Tables) -> DataFrame:
     zone = F.when(F.col("l_returnflag") == "N", "main").when(F.col("l_returnflag") == "A", "side").otherwise("odd")
-    rows = t.lineitem.where("l_orderkey < 4000").select(F.col("l_orderkey").alias("list"), zone.alias("zone"), F.col("l_quantity").cast("long").alias("quantity"))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("list"), zone.alias("zone"), F.col("l_quantity").cast("long").alias("quantity"))
     return zone_issues(rows, ["list"], {"main": (60, None), "side": (None, 15)})
 
 
@@ -164,12 +164,12 @@ def leader_checks(t: Tables) -> DataFrame:
 @query("""
 SELECT list, count(*) AS pairs, count(*) FILTER (WHERE both_) AS allowed FROM (
   SELECT a.l_orderkey AS list, (a.l_returnflag = 'R' AND b.l_returnflag = 'R') OR (a.l_returnflag = 'A' AND b.l_returnflag = 'N') AS both_
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_linenumber <= 2 AND b.l_linenumber <= 2 WHERE a.l_orderkey < 5000)
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_linenumber <= 2 AND b.l_linenumber <= 2)
 GROUP BY list
 """)
 def leader_pairs(t: Tables) -> DataFrame:
     """The marked rows of a list in pairs, and which pairs a rule allows."""
-    marked = t.lineitem.where("l_orderkey < 5000 and l_linenumber <= 2")
+    marked = t.lineitem.where("l_linenumber <= 2")
     a, b = marked.alias("a"), marked.alias("b")
     pairs = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")))
     flags = F.col("a.l_returnflag"), F.col("b.l_returnflag")

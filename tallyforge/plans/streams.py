@@ -27,7 +27,7 @@ def segment_live(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT user_id AS capture, list(value ORDER BY event_id) AS v FROM events WHERE event_id < 3000 GROUP BY 1 HAVING count(*) >= 10),
+WITH a AS (SELECT user_id AS capture, list(value ORDER BY event_id) AS v FROM events GROUP BY 1 HAVING count(*) >= 10),
 c AS (SELECT capture, v, unnest(range(5, len(v) - 4)) AS cut FROM a),
 s AS (SELECT capture, cut, list_sort(v[1:cut]) AS x, list_sort(v[cut + 1:]) AS y FROM c),
 g AS (SELECT capture, cut, abs(x[(len(x) - 1) // 2 + 1] - y[(len(y) - 1) // 2 + 1]) AS gap FROM s),
@@ -36,7 +36,7 @@ SELECT capture, CAST(cut AS INTEGER) AS cut, round(gap, 6) AS gap FROM r WHERE k
 """)
 def hidden_copy_cuts(t: Tables) -> DataFrame:
     """Where the measurements of a long group change most."""
-    rows = t.events.where("event_id < 3000").groupBy(F.col("user_id").alias("capture")).agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("x"))
+    rows = t.events.groupBy(F.col("user_id").alias("capture")).agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("x"))
     rows = rows.select("capture", F.lit(1).alias("number"), F.transform("x", lambda e: e["value"]).alias("angles"))
     return hidden_copies(rows).drop("number")
 
@@ -110,8 +110,8 @@ def cluster_representative(t: Tables) -> DataFrame:
 
 @query()
 def likely_swaps(t: Tables) -> DataFrame:
-    missing = t.part.where("p_partkey % 20 = 0").select("p_type", F.col("p_partkey").alias("id"), "p_size")
-    extra = t.part.where("p_partkey % 20 = 1").select("p_type", F.col("p_partkey").alias("id"), "p_size")
+    missing = t.part.where("p_partkey % 2 = 0").select("p_type", F.col("p_partkey").alias("id"), "p_size")
+    extra = t.part.where("p_partkey % 2 = 1").select("p_type", F.col("p_partkey").alias("id"), "p_size")
     return greedy_swaps(missing, extra, ["p_type"], "p_size")
 
 

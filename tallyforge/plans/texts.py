@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import money_text, name_norm
+from ..functions.text import fixed, money_text, name_norm
 from ..operators.contest import standings
 from ..sources.listing import csv_line, export_line, one_text, parsed_listing, player_names
 from .contests import MATCHES, matches
@@ -13,13 +13,13 @@ from .registry import Tables, query
 
 LISTED = """
 WITH r AS (SELECT l_orderkey AS list, l_linenumber AS line_no, p_name AS name, CAST(l_quantity AS INTEGER) AS q, p_brand, p_size, l_returnflag,
-  row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey < 1500),
+  row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem JOIN part ON p_partkey = l_partkey),
 u AS (SELECT * FROM r WHERE k = 1)
 """
 
 
 def listed(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_orderkey < 1500").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     first = F.min_by(F.struct("p_name", "l_quantity", "p_brand", "p_size", "l_returnflag"), F.struct("l_partkey", "l_suppkey", "l_extendedprice"))
     return rows.groupBy(F.col("l_orderkey").alias("list"), F.col("l_linenumber").alias("line_no")).agg(first.alias("x")).select("list", "line_no", "x.*").withColumn("l_quantity", F.col("l_quantity").cast("int"))
 
@@ -57,23 +57,24 @@ def export_csv_rows(t: Tables) -> DataFrame:
 
 
 @query(MATCHES + """
-SELECT contest, string_agg(rank || ',' || player || ',' || points || ',' || printf('%.4f', omw), chr(10) ORDER BY rank) AS text FROM x GROUP BY contest
+SELECT contest, string_agg(rank || ',' || player || ',' || points || ',' || CAST(floor(omw * 10000 + 0.5::DOUBLE) AS BIGINT) // 10000 || '.' || lpad((CAST(floor(omw * 10000 + 0.5::DOUBLE) AS BIGINT) % 10000)::VARCHAR, 4, '0'), chr(10) ORDER BY rank) AS text FROM x GROUP BY contest
 """)
 def contest_export(t: Tables) -> DataFrame:
     s = standings(matches(t))
-    row = csv_line(F.col("rank"), F.col("player"), F.col("points").cast("long"), F.format_string("%.4f", "omw"))
+    row = csv_line(F.col("rank"), F.col("player"), F.col("points").cast("long"), fixed(F.col("omw"), 4))
     return one_text(s.withColumn("row", row), ["contest"], ["rank"], "row")
 
 
-@query("""
-SELECT conv_id AS list, count(*) AS lines, min(name) AS first FROM (
-  SELECT conv_id, trim(regexp_replace(string_split(text, chr(10))[1], '^\\s*(?:\\d+[.)-]?|[-*•])?\\s*', '')) AS name, lower(trim(string_split(text, chr(10))[1])) AS k,
-    row_number() OVER (PARTITION BY conv_id, lower(trim(regexp_replace(string_split(text, chr(10))[1], '^\\s*(?:\\d+[.)-]?|[-*•])?\\s*', ''))) ORDER BY turn) AS n FROM conversations) WHERE n = 1 AND name <> '' GROUP BY 1
-""".replace("\\\\", "\\"))
+@query(r"""
+WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM conversations),
+n AS (SELECT conv_id, turn, pos, trim(regexp_replace(raw, '^\s*(?:\d+[.)-]?|[-*•])?\s*', '')) AS name FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(name) ORDER BY turn, pos) AS k FROM n WHERE name <> '')
+SELECT conv_id AS list, count(*) AS lines, min(name) AS first FROM k WHERE k = 1 GROUP BY 1
+""")
 def player_list(t: Tables) -> DataFrame:
     """Names of a list, the first of each spelling."""
-    first = F.regexp_replace(F.element_at(F.split("text", "\n"), 1), "[\r\n]", " ")
-    texts = t.conversations.groupBy(F.col("conv_id").alias("list")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", first.alias("x")))), lambda x: x["x"]), "\n").alias("text"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
+    texts = t.conversations.groupBy(F.col("conv_id").alias("list")).agg(whole.alias("text"))
     return player_names(texts, ["list"], "text").groupBy("list").agg(F.count(F.lit(1)).alias("lines"), F.min("name").alias("first"))
 
 
@@ -85,7 +86,7 @@ def money_texts(t: Tables) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, array_to_string(regexp_extract_all(lower(regexp_replace(strip_accents(regexp_replace(left(text, 200), '\p{Z}', ' ', 'g')), '[^\x00-\x7F]', '', 'g')), '[a-z0-9_]+'), ' ') AS norm FROM documents
+SELECT doc_id, array_to_string(regexp_extract_all(lower(regexp_replace(strip_accents(regexp_replace(text, '\p{Z}', ' ', 'g')), '[^\x00-\x7F]', '', 'g')), '[a-z0-9_]+'), ' ') AS norm FROM documents
 """)
 def normalised_texts(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", name_norm(F.left(F.col("text"), F.lit(200))).alias("norm"))
+    return t.documents.select("doc_id", name_norm(F.col("text")).alias("norm"))

@@ -369,6 +369,7 @@ def test_ids_equal_the_library(spark, docs):
     rows = pieces.decode(pieces.encode(table(spark, texts))).orderBy("doc_id").collect()
     assert [r.ids for r in rows] == [library.encode(t) for t in texts]
     assert all(r.decoded == t.replace("▁", " ") for r, t in zip(rows, texts, strict=True))
+    assert pieces.round_trip(table(spark, texts)).orderBy("doc_id").collect() == rows
 
 
 def test_unigram_viterbi_shares_prefixes():
@@ -377,7 +378,8 @@ def test_unigram_viterbi_shares_prefixes():
     alphabet = "abc"
     vocabulary = sorted({"".join(r.choices(alphabet, k=r.randrange(1, 4))) for _ in range(14)} | set(alphabet))
     p.merges, p.piece, p.score = False, vocabulary, [-r.random() * 5 for _ in vocabulary]
-    p.id, p.whole, p.longest, p.follows, p.byte, p.unknown = {x: i for i, x in enumerate(vocabulary)}, set(range(len(vocabulary))), 3, {}, {}, 0
+    p.id = p.whole = {x: i for i, x in enumerate(vocabulary)}
+    p.tails, p.follows, p.byte, p.unknown = pieces.tails_of(p.whole), {}, {}, 0
     for text in sorted("".join(r.choices(alphabet, k=r.randrange(1, 8))) for _ in range(40)):
         def best(t):
             if not t:
