@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import gram_hashes, hash_spans, materialize, mix, range_hashes, row_pieces, text_bytes, words_of
+from .shared import discard, gram_hashes, hash_spans, materialize, mix, range_hashes, row_pieces, text_bytes, words_of
 
 ANCHOR = 6
 #: Different stretches of one shard that one automaton takes.
@@ -282,23 +282,29 @@ def repeated_spans(docs: DataFrame, window: int = 20, most: int = MOST) -> DataF
 
     ``docs`` has doc_id and text. Earlier means a smaller doc_id, or the same document and an earlier start.
     """
-    found = docs.mapInArrow(_stretch_rows(window), "anchor long, content long, doc_id long, start int, windows int, known boolean")
-    shard = Window.partitionBy("anchor")
-    same = Window.partitionBy("anchor", "content").orderBy("doc_id", "start")
-    found = found.withColumn("nth", F.row_number().over(same)).withColumn("place", F.rank().over(same))
-    found = found.withColumn("held", F.count(F.lit(1)).over(shard)).where("held > 1 or known").withColumn("different", F.count_if(F.col("nth") == 1).over(shard))
-    found = materialize(found.select("anchor", "doc_id", "start", "windows", "nth", "place", "different", "known"), "stretches")
-    whole = found.where("place > 1 or known").select("doc_id", "start", (F.col("start") + F.col("windows") + F.lit(window - 1)).cast("int").alias("end"))
-
-    wanted = found.where("nth = 1 and different > 1 and not known").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", "different")).alias("wanted"))
+    last = F.lit(window - 1)
+    found = materialize(docs.mapInArrow(_stretch_rows(window), "anchor long, content long, doc_id long, start int, windows int, known boolean"), "stretches")
+    known = materialize(found.where("known").select("doc_id", "start", (F.col("start") + F.col("windows") + last).cast("int").alias("end")), "known-spans")
+    # counts combine before the shuffle and are written, so that hot anchors meet their rows in joins of plain tables, which Spark can split
+    held = materialize(found.where("not known").groupBy("anchor").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("anchor"), "shared-anchors")
+    live = materialize(found.where("not known").join(held, "anchor").select("anchor", "content", "doc_id", "start", "windows"), "live-stretches")
+    discard(found)
+    place = F.struct("doc_id", "start")
+    contents = materialize(live.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.max("windows").alias("windows"), F.count(F.lit(1)).alias("n")), "contents")
+    repeats = live.join(contents.where("n > 1").select("anchor", "content", "first"), ["anchor", "content"]).where(place != F.col("first"))
+    whole = known.unionByName(repeats.select("doc_id", "start", (F.col("start") + F.col("windows") + last).cast("int").alias("end")))
+
+    shards = materialize(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")).where("different > 1"), "shards")
+    wanted = contents.join(shards, "anchor").select("first.*", "windows", "anchor", "different")
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", "different")).alias("wanted"))
     content = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_content_rows(window), "anchor long, different long, doc_id long, start int, words binary")
     content = materialize(content, "stretch-words")
     parts = content.where(F.col("different") <= most).select("anchor", "doc_id", "start", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
     matched = parts.mapInArrow(_automaton_spans(window), "doc_id long, start int, end int")
 
     windows = content.where(F.col("different") > most).select("anchor", "doc_id", "start", "words").mapInArrow(_window_rows(window), "anchor long, window long, doc_id long, start int")
-    firsts = windows.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    hot = windows.join(firsts, ["anchor", "window"]).where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", (F.col("start") + window).cast("int").alias("end"))
+    firsts = materialize(windows.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first-windows")
+    hot = windows.join(firsts, ["anchor", "window"]).where(place != F.col("first")).select("doc_id", "start", (F.col("start") + window).cast("int").alias("end"))
     return whole.unionByName(matched).unionByName(hot)
 
 
