@@ -122,7 +122,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     payload = F.col(payload_col) if dict(pages.dtypes)[payload_col] == "binary" else F.col(payload_col).cast("string").cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(payload, F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload"))
     large = rows.where(F.octet_length("payload") >= revisit_bytes)
-    shared = large.groupBy("digest").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "latest")
+    # written, so that the join is between two exchanges and Spark can split the payloads of a hot digest
+    shared = materialize(large.groupBy("digest").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "latest"), "digests")
     refers_to = F.when((F.octet_length("payload") >= revisit_bytes) & (F.col("page_id") < F.col("latest")), F.col("latest"))
     told = rows.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", refers_to.alias("refers_to"))
     return materialize(told.mapInArrow(_write(folder, date, file_bytes), "file string, records long, bytes long"), "manifest")
