@@ -52,7 +52,8 @@ def propagate(links: DataFrame, shards: int, quota: int, rounds: int = 6) -> Dat
     """
     spark = links.sparkSession
     links = links.where("doc_id is not null and hub is not null").distinct()
-    sized = links.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # written, so that the join is between two exchanges and Spark can split a hot hub
+    sized = materialize(links.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "hubs")
     links = materialize(links.join(sized, "hub").select("doc_id", "hub", "members"), "links")
     free = [quota] * shards
     large = max(1, quota // HEAVY)
