@@ -145,7 +145,8 @@ def _signed(x: int) -> int:
 def print_links(prints: DataFrame, most: int = MOST) -> DataFrame:
     """(a, b): links that connect the different fingerprints (column print) exactly as all pairs within two bits do."""
     keyed = prints.select("print", F.posexplode(F.array(*[F.col("print").bitwiseAND(F.lit(_signed(m))) for m in MASKS])).alias("table", "key"))
-    lists = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that the join is between two exchanges and Spark can split a long list
+    lists = materialize(keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
     held = materialize(keyed.join(lists, ["table", "key"]), "postings")
     short = held.where(F.col("n") <= most).select("table", "key", "print").repartition("table", "key").sortWithinPartitions("table", "key", "print")
     links = short.mapInArrow(_posting_links, "a long, b long")
