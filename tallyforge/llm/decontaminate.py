@@ -4,7 +4,7 @@ A document leaks an item of n words if one of its n-word windows is within ``tol
 The CGK random walk copies a word sequence into a longer one, word by word, and a shared random bit for each step and
 word decides whether to move on; it turns few edits into few differing positions. Each repetition walks windows and
 items with its own bits and samples positions of the walks; equal samples make a candidate, and repetitions are added
-until the target recall is reached. Candidates are verified with the exact edit distance.
+until the target recall is reached; long items, whose walks agree more seldom, get more of them or fewer positions. Candidates are verified with the exact edit distance.
 
 Before the walk, windows that cannot be within the distance are set aside by an exact bound: an edit destroys at most
 two word pairs, so a window within d edits keeps all but 2 d of an item's n - 1 word pairs.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,13 @@ TOLERANCE = 0.2
 RECALL = 0.999
 SAMPLED = 3
 #: Chance that the samples of one repetition agree at the tolerated distance; walks of 15 to 59 words with the most
-#: edits allowed, substituted or inserted and deleted, agree in 0.12 (59 words) to 0.4 (15 words) of the repetitions.
+#: edits allowed, substituted or inserted and deleted, agree in 0.12 (59 words) to 0.4 (15 words) of the repetitions. It
+#: gives the least number of repetitions; plan() raises it by item length.
 AGREE = 0.12
+#: Repetitions above which an item samples fewer positions instead, so that samples agree more often.
+MOST_REPS = 200
+#: Pairs and walks of each that a simulation takes.
+PAIRS, WALKS = 200, 64
 #: Steps of a walk for each word; a walk takes about two to reach the last word.
 STRETCH = 2
 #: Items that one pass over the documents looks for; their hashes are broadcast.
@@ -46,6 +52,54 @@ def repetitions(recall: float = RECALL, agree: float = AGREE) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
+def edited(words: np.ndarray, edits: int, kind: str, rng: np.random.Generator) -> np.ndarray:
+    """Rows of words with ``edits`` word edits each: substitutions, or as many deletions as insertions (n words stay)."""
+    m, n = words.shape
+    out = words.copy()
+    for row in out:
+        if kind == "substitute":
+            row[rng.choice(n, edits, replace=False)] = rng.integers(1, 1 << 63, edits, dtype=np.uint64)
+        elif edits > 1:
+            left = np.delete(row, rng.choice(n, edits // 2, replace=False))
+            row[:] = np.insert(left, rng.integers(0, len(left) + 1, edits // 2), rng.integers(1, 1 << 63, edits // 2, dtype=np.uint64))
+    return out
+
+
+def walks_agree(a: np.ndarray, b: np.ndarray, walks: int) -> np.ndarray:
+    """Pairs x walks: the share of a walk's steps at which the two rows show the same word."""
+    m, n = a.shape
+    salts = mix(np.arange(1, STRETCH * n * walks + 1, dtype=np.uint64) ^ np.uint64(0x5851F42D4C957F2D)).reshape(STRETCH * n, walks, 1) | np.uint64(1)
+    padded = [np.concatenate([x, np.zeros((m, 1), np.uint64)], axis=1).ravel() for x in (a, b)]
+    base, at, same = np.arange(m) * (n + 1), [np.zeros((walks, m), np.int64) for _ in "ab"], np.zeros((walks, m), np.int64)
+    for salt in salts:
+        now = [p[base + x] for p, x in zip(padded, at, strict=True)]
+        same += now[0] == now[1]
+        at = [np.minimum(x + (w * salt >> np.uint64(63)).astype(np.int64), n) for x, w in zip(at, now, strict=True)]
+    return same.T / (STRETCH * n)
+
+
+@lru_cache(maxsize=4096)
+def plan(n: int, tolerance: float = TOLERANCE, recall: float = RECALL) -> tuple[int, int]:
+    """(repetitions, sampled positions) that reach the recall for items of n words with the most edits allowed.
+
+    Pairs differ in how often their walks agree, so the chance of a miss is averaged over simulated pairs and not taken
+    from the average agreement.
+    """
+    rng, shares = np.random.default_rng(n), []
+    words = rng.integers(1, 1 << 63, (PAIRS, n), dtype=np.uint64)
+    for kind in ("substitute", "shift"):
+        shares.append(walks_agree(words, edited(words, edits_allowed(n, tolerance), kind, rng), WALKS))
+    for sampled in range(SAMPLED, 0, -1):
+        agree = [(x**sampled).mean(axis=1) for x in shares]
+        missed = lambda reps, agree=agree: max(((1 - x) ** reps).mean() for x in agree)
+        reps = repetitions(recall)
+        while missed(reps) > 1 - recall and (sampled == 1 or reps <= MOST_REPS) and reps < n * 100:
+            reps = math.ceil(reps * 1.1)
+        if sampled == 1 or reps <= MOST_REPS:
+            return reps, sampled
+    raise AssertionError
+
+
 def walk_keys(sequences: np.ndarray, reps: int, sampled: int = SAMPLED) -> np.ndarray:
     """Keys, repetitions x rows: each row's (equally many word hashes) CGK walk at ``sampled`` random positions."""
     m, n = sequences.shape
@@ -90,8 +144,8 @@ def _distinct(kinds: np.ndarray) -> np.ndarray:
 class Items:
     """Items as word hashes by length, with the keys of their walks."""
 
-    def __init__(self, ids: list[int], texts: list[str], tolerance: float, reps: int) -> None:
-        self.tolerance, self.reps = tolerance, reps
+    def __init__(self, ids: list[int], texts: list[str], tolerance: float, recall: float) -> None:
+        self.tolerance = tolerance
         column = pa.array(texts, pa.string())
         body, offsets = text_bytes(column)
         starts, ends, rows = words_of(body, offsets, BREAKS)
@@ -110,9 +164,10 @@ class Items:
         self.singles = self.words[1].ravel() if 1 in self.words else np.zeros(0, np.uint64)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.pairs & np.uint64((1 << 20) - 1)] = True
+        self.plan = {n: plan(n, tolerance, recall) for n in self.words}
         self.keys: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for n, x in self.words.items():
-            for r, key in enumerate(walk_keys(x, reps)):
+            for r, key in enumerate(walk_keys(x, *self.plan[n])):
                 order = np.argsort(key, kind="stable")
                 self.keys[n, r] = key[order], order
 
@@ -156,7 +211,7 @@ class Items:
     def candidates(self, n: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs that meet in one of the repetitions."""
         found = []
-        for r, mine in enumerate(walk_keys(windows, self.reps)):
+        for r, mine in enumerate(walk_keys(windows, *self.plan[n])):
             keys, items = self.keys[n, r]
             lo, hi = np.searchsorted(keys, mine, side="left"), np.searchsorted(keys, mine, side="right")
             hit = np.flatnonzero(hi > lo)
@@ -179,7 +234,10 @@ class Items:
 
     def verified(self, n: int, windows: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(window, item id, distance) of the candidates within the allowed distance."""
-        window, item = self.candidates(n, windows)
+        step = max(1, LOOKED_AT * repetitions() // self.plan[n][0])  # walks of many repetitions take fewer windows at once
+        parts = [self.candidates(n, windows[i : i + step]) for i in range(0, len(windows), step)]
+        window = np.concatenate([w + i * step for i, (w, _) in enumerate(parts)])
+        item = np.concatenate([x for _, x in parts])
         if len(window):
             distance = np.concatenate([edit_distances(windows[window[i : i + LOOKED_AT]], self.words[n][item[i : i + LOOKED_AT]]) for i in range(0, len(window), LOOKED_AT)])
             near = distance <= edits_allowed(n, self.tolerance)
@@ -246,7 +304,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     out = None
     for b in range(blocks):
         held = wanted.where(at == b).collect()
-        shared = spark.sparkContext.broadcast(Items([r.item_id for r in held], [r.text for r in held], tolerance, repetitions(recall)))
+        shared = spark.sparkContext.broadcast(Items([r.item_id for r in held], [r.text for r in held], tolerance, recall))
         found = rows.mapInArrow(_search(shared), "doc_id long, item_id long, start int, words int, distance int")
         out = found if out is None else out.unionByName(found)
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start", "words")).alias("best"))
