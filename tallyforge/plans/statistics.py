@@ -87,8 +87,7 @@ SELECT o_orderpriority AS list, min(o_totalprice / 1000) AS confidence FROM orde
 """)
 def list_confidence(t: Tables) -> DataFrame:
     """A line is as sure as its least sure row."""
-    lists = t.orders.groupBy(F.col("o_orderpriority").alias("list")).agg(F.collect_list(F.col("o_totalprice") / 1000).alias("x"))
-    return lists.select("list", F.array_min("x").alias("confidence"))
+    return t.orders.groupBy(F.col("o_orderpriority").alias("list")).agg(F.min(F.col("o_totalprice") / 1000).alias("confidence"))
 
 
 @query("""
