@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import sentencepiece
-from test_methods import brute_classes, brute_leaks, brute_lines, plain_fingerprint
+from test_methods import brute_leaks, brute_lines
+from test_similar import classes
 
 import corpus_pipeline
 from tallyforge.llm import langid, pieces
@@ -16,12 +17,8 @@ def test_pipeline_against_brute_force(spark, sf):
     rows = {r.doc_id: r.text for r in docs.collect() if seen[r.doc_id].lang_pred != "und" and seen[r.doc_id].score >= 0.5}
     cut = brute_lines(sorted(rows.items()))
     rows = {d: cut[d] for d, t in rows.items() if cut[d] == t or cut[d].strip()}
-    prints = {d: plain_fingerprint(t) for d, t in rows.items()}
-    root = brute_classes(sorted(set(prints.values())))
-    first = {}
-    for d in sorted(rows):
-        first.setdefault(root[prints[d]], d)
-    rows = {d: rows[d] for d in first.values()}
+    ids = sorted(rows)
+    rows = {ids[i]: rows[ids[i]] for i in set(classes([rows[d] for d in ids]))}
     leaked = {d for d, _ in brute_leaks_fast(rows, items)}
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     want = {d: library.encode(t) for d, t in rows.items() if d not in leaked}

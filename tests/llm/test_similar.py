@@ -70,3 +70,25 @@ def test_empty_and_repeated_rows(spark):
     got = {r.doc_id: r.component_id for r in similar.near_copies(df).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
     assert similar.near_copies(df.where("false")).count() == 0
+
+
+def test_texts_of_one_doc_id_are_documents_of_their_own(spark):
+    df = spark.createDataFrame([(7, "a b c d e f g"), (7, "q r s t u v w"), (7, "q r s t u v w"), (9, "A b c d e f g")], "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(7, "a b c d e f g"), (7, "q r s t u v w")]
+
+
+def test_blocks_of_a_large_bucket(spark, monkeypatch):
+    """A group without a centre near all of it, compared in blocks of three documents."""
+    monkeypatch.setattr(similar, "BLOCK_DOCS", 3)
+    r, texts = random.Random(5), []
+    base = [f"w{i}" for i in range(200)]
+    for _ in range(60):
+        w = list(base)
+        for i in r.sample(range(0, 200, 5), 6):
+            w[i] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:100] + [f"z{i}" for i in range(100)]), " ".join(base[:150])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in similar.near_copies(df).collect()}
+    assert got == dict(enumerate(classes(texts)))
