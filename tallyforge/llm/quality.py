@@ -1,34 +1,41 @@
 """Quality classifier by co-training a text view and a metadata view.
 
-Both views start from the same labelled documents. In each round either view labels the pool documents it is surest of,
-and the other view learns from them. On labelled documents kept apart, each view is calibrated (a logistic fit of its
-log odds), and a last logistic fit combines the calibrated views. All documents are then scored in one pass.
-
-Learning sees bounded samples, ``LABELLED`` labelled and ``POOL`` unlabelled documents, chosen by a hash of doc_id from
-the whole tables; their feature rows (a few hundred numbers each) fit one task. Scores read every document whole.
+Both views start from the same labelled documents. In each round either view labels the unlabelled documents it is
+surest of, and the other view learns from them. On labelled documents kept apart, each view is calibrated (a logistic fit
+of its log odds), and a last logistic fit combines the calibrated views. All documents are then scored.
+
+Features are computed once for every document and written; learning reads them in passes over all partitions. A pass
+brings one sum of gradients and curvatures a partition, these are added up in ``SUMS`` tasks, and only the sums (some
+hundred kilobytes) reach the driver, which takes Newton's step. Which documents a view has labelled follows from the
+weights and thresholds of the rounds so far, so there is no table of pseudo-labels and a lost task only runs again.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import gram_hashes, hash_spans, materialize, row_pieces, text_bytes, words_of
 
-LABELLED = 8_000
-POOL = 8_000
+#: Labelled documents kept apart that calibration takes, at most; they are chosen by a hash of doc_id.
+CALIBRATED = 20_000
 ROUNDS = 4
-#: Share of the pool that a view labels in a round, and how sure it has to be.
+#: Share of the unlabelled documents that a view labels in a round, and how sure it has to be.
 GROWTH = 0.05
 SURE = 0.9
+#: Newton's steps of a first fit, and of one that goes on from the round before.
+FIRST_STEPS, MORE_STEPS = 6, 3
+#: Log odds from -30 to 30 are counted in this many bins to find a threshold.
+ODDS_BINS = 6000
+#: Tasks that add up the sums of partitions.
+SUMS = 4
 WORD_BUCKETS = 256
 SOURCE_BUCKETS, LANG_BUCKETS, SIZE_BINS = 64, 32, 32
+N_META = SOURCE_BUCKETS + LANG_BUCKETS + SIZE_BINS
 
 #: Classes of bytes whose shares are features.
 _CLASS = np.zeros(256, np.uint8)
@@ -115,113 +122,233 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 8) -> n
 
 
 def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return np.clip(x @ w[:-1] + w[-1], -30, 30)
+    return np.clip(x.astype(np.float64) @ w[:-1] + w[-1], -30, 30)
 
 
 def chance(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
-def co_train(views: list[np.ndarray], label: np.ndarray, apart: np.ndarray, rounds: int = ROUNDS) -> dict:
-    """Weights of both views, their calibration and their combination; ``label`` is -1 in the pool."""
-    known = label >= 0
-    train, check = known & ~apart, known & apart
-    prior = float(label[known].mean()) if known.any() else 0.5
-    if len(set(label[train])) < 2 or len(set(label[check])) < 2:
+def told_labels(z: list[np.ndarray], known: np.ndarray, label: np.ndarray, rounds: list[dict]) -> list[np.ndarray]:
+    """For each view, the labels that the other has given it, -1 where none; ``z[r][v]`` are the log odds of round r."""
+    out = [np.where(known, label, -1) for _ in range(2)]
+    for odds_now, r in zip(z, rounds, strict=True):
+        for v in range(2):
+            free = out[1 - v] < 0
+            for value in (0, 1):
+                sure = odds_now[v] if value else -odds_now[v]
+                out[1 - v][free & ~known & (sure >= r["least"][v][value])] = value
+    return out
+
+
+def threshold(counts: np.ndarray, most: float) -> float:
+    """The lowest log odds, from those of SURE on, that no more than ``most`` documents reach; infinite if there is none."""
+    edges = -30 + 60 * np.arange(ODDS_BINS) / ODDS_BINS
+    above = np.cumsum(counts[::-1])[::-1]
+    fits = np.flatnonzero((above <= most) & (edges >= np.log(SURE / (1 - SURE))))
+    return float(edges[fits[0]]) if len(fits) else float("inf")
+
+
+def odds_bins(z: np.ndarray) -> np.ndarray:
+    return np.bincount(np.clip(np.floor((z + 30) / 60 * ODDS_BINS).astype(np.int64), 0, ODDS_BINS - 1), minlength=ODDS_BINS)
+
+
+def newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of the logistic loss in one vector, the intercept last."""
+    x = np.c_[x, np.ones(len(x), x.dtype)].astype(np.float64)
+    p = chance(np.clip(x @ w, -30, 30))
+    return np.r_[x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x)[np.tril_indices(len(w))]]
+
+
+def newton_step(sums: np.ndarray, w: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+    """The weights after one step on the sums."""
+    n = len(w)
+    ridge = np.full(n, penalty)
+    ridge[-1] = 1e-6
+    bend = np.zeros((n, n))
+    bend[np.tril_indices(n)] = sums[n:]
+    bend = bend + np.tril(bend, -1).T + np.diag(ridge)
+    return w - np.linalg.solve(bend, sums[:n] + ridge * w)
+
+
+#: One row of features: label -1 where unknown; ``apart`` rows calibrate and do not teach.
+Part = tuple[list[np.ndarray], np.ndarray, np.ndarray]
+#: Applies a function to every part of the rows and adds up the vectors it returns.
+Sum = Callable[[Callable[[Part], np.ndarray]], np.ndarray]
+
+
+def co_train(total: Sum, calibration: Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]], widths: list[int], rounds: int = ROUNDS) -> dict:
+    """Weights of both views, their calibration and their combination, by sums over all rows."""
+    n = total(lambda part: np.array([((part[1] == v) & (part[2] == a)).sum() for v in (0, 1) for a in (False, True)] + [(part[1] < 0).sum()]))
+    good, known, pool = n[2] + n[3], n[:4].sum(), n[4]
+    prior = float(good / known) if known else 0.5
+    if not n[:4].all():
         return {"prior": prior}
-    told = [label.copy(), label.copy()]
-    weights = []
+    history: list[dict] = []
+    weights = [np.zeros(w + 1) for w in widths]
+    cuts = np.cumsum([0, *(len(w) + len(w) * (len(w) + 1) // 2 for w in weights)])
     for r in range(rounds + 1):
-        weights = []
-        for v, x in enumerate(views):
-            use = train | (~known & (told[v] >= 0))
-            weights.append(fit(x[use], told[v][use]))
+        for _ in range(MORE_STEPS if r else FIRST_STEPS):
+
+            def step(part: Part, weights=weights) -> np.ndarray:
+                views, label, apart = part
+                told = told_labels([[odds(x, w) for x, w in zip(views, h["weights"], strict=True)] for h in history], label >= 0, label, history)
+                use = [(t >= 0) & ~((label >= 0) & apart) for t in told]
+                return np.concatenate([newton_sums(x[u], t[u], w) for x, t, u, w in zip(views, told, use, weights, strict=True)])
+
+            sums = total(step)
+            weights = [newton_step(sums[cuts[v] : cuts[v + 1]], w) for v, w in enumerate(weights)]
         if r == rounds:
             break
-        for v, x in enumerate(views):
-            other = told[1 - v]
-            free = np.flatnonzero(~known & (other < 0))
-            if not len(free):
-                continue
-            p = chance(odds(x[free], weights[v]))
-            for value, sure in ((1, p), (0, 1 - p)):
-                most = int(GROWTH * (~known).sum() * (prior if value else 1 - prior)) + 1
-                best = np.argsort(-sure, kind="stable")[:most]
-                other[free[best[sure[best] >= SURE]]] = value
-    scaled = [fit(odds(x[check], w)[:, None], label[check], 1e-3) for x, w in zip(views, weights, strict=True)]
-    both = np.stack([odds(odds(x[check], w)[:, None], c) for x, w, c in zip(views, weights, scaled, strict=True)], 1)
-    return {"prior": prior, "weights": [w.tolist() for w in weights], "scaled": [c.tolist() for c in scaled], "mixed": fit(both, label[check], 1e-3).tolist()}
+
+        def count(part: Part, weights=weights) -> np.ndarray:
+            views, label, _ = part
+            told = told_labels([[odds(x, w) for x, w in zip(views, h["weights"], strict=True)] for h in history], label >= 0, label, history)
+            out = []
+            for v, x in enumerate(views):
+                z = odds(x[told[1 - v] < 0], weights[v])
+                out += [odds_bins(-z), odds_bins(z)]
+            return np.concatenate(out)
+
+        bins = total(count).reshape(2, 2, ODDS_BINS)
+        least = [[threshold(bins[v, value], GROWTH * pool * (prior if value else 1 - prior)) for value in (0, 1)] for v in range(2)]
+        history = [*history, {"weights": weights, "least": least}]
+    z, label = calibration(weights)
+    if len(set(label.tolist())) < 2:
+        return {"prior": prior}
+    scaled = [fit(z[:, v : v + 1], label, 1e-3) for v in range(2)]
+    both = np.stack([odds(z[:, v : v + 1], c) for v, c in enumerate(scaled)], 1)
+    return {"prior": prior, "weights": weights, "scaled": scaled, "mixed": fit(both, label, 1e-3), "history": history}
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text features as half floats, metadata as the places of its ones; nulls and -1 for none."""
     for batch in batches:
         for piece in row_pieces(batch, "text"):
-            packed = [[row.tobytes() for row in x] for x in (text_features(piece.column(piece.schema.get_field_index("text"))), meta_features(piece))]
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(x, pa.binary()) for x in packed)], ["doc_id", "label", "text_view", "meta_view"])
+            text = text_features(piece.column(piece.schema.get_field_index("text"))).astype(np.float16)
+            meta = meta_features(piece).astype(np.uint8)
+            packed = [np.ascontiguousarray(x) for x in (text, np.packbits(meta, axis=1))]
+            columns = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(x)]).cast(pa.binary()) for x in packed]
+            yield pa.RecordBatch.from_arrays([*piece.columns[:2], *columns], ["doc_id", "label", "text_view", "meta_view"])
+
+
+def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
+    n = batch.num_rows
+    text, meta = (b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()) for c in ("text_view", "meta_view"))
+    return [
+        np.frombuffer(text, np.float16).reshape(n, WORD_BUCKETS + N_SHAPE).astype(np.float32),
+        np.unpackbits(np.frombuffer(meta, np.uint8).reshape(n, -1), axis=1)[:, :N_META].astype(np.float32),
+    ]
 
 
-def _train(rounds: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "label"], kind="stable")
-        views = [np.frombuffer(b"".join(rows[c]), np.float32).reshape(len(rows), -1) for c in ("text_view", "meta_view")]
-        return pd.DataFrame({"model": [json.dumps(co_train(views, rows.label.to_numpy(), rows.apart.to_numpy(), rounds))]})
+#: Rows whose features are unpacked together.
+UNPACKED = 8192
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Part]]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, UNPACKED):
+            part = batch.slice(i, UNPACKED)
+            label, apart = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("label", "apart"))
+            yield part, (_views(part), label, apart)
+
+
+def _sums_of(function: Callable[[Part], np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for _, part in _parts(batches):
+            mine = function(part).astype(np.float64)
+            total = mine if total is None else total + mine
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for packed in batch.column(0):
+            mine = np.frombuffer(packed.as_buffer(), np.float64)
+            total = mine if total is None else total + mine
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+
 def _plain(docs: DataFrame) -> DataFrame:
     kinds = {"doc_id": "long", "text": "string", "source": "string", "lang": "string", "n_chars": "long"}
     return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> dict:
-    """The co-trained model: a few hundred numbers. See ``score`` for nulls and repeats."""
+def featured(docs: DataFrame, labels: DataFrame | None = None, label_col: str = "quality") -> DataFrame:
+    """doc_id, label (-1 where unknown), text_view, meta_view and apart of every row, written to the shared folder.
+
+    Several labels of one doc_id count as their rounded mean.
+    """
     docs = _plain(docs)
-    told = labels.select(F.col("doc_id").cast("long"), F.col(label_col).cast("double").alias("label")).where("doc_id is not null and label is not null")
-    told = materialize(told.groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label")), "labels")
-    ticket = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
-    of = lambda n, most: ticket < 1_000_000 * most // max(n, 1)
-    total = docs.count()
-    # both samples are bounded, so their ids may be broadcast
-    known = docs.join(F.broadcast(told.where(of(told.count(), labelled))), "doc_id")
-    other = docs.where(F.col("doc_id").isNotNull() & of(total, 2 * pool)).join(told.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(-1))
-    columns = ["doc_id", "label", "text", "source", "lang", "n_chars"]
-    rows = known.select(columns).unionByName(other.select(columns)).mapInArrow(_feature_rows, "doc_id long, label int, text_view binary, meta_view binary")
-    rows = materialize(rows.withColumn("apart", F.pmod(F.xxhash64(F.lit("apart"), "doc_id"), F.lit(5)) == 0), "features")
-    found = rows.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(_train(rounds), "model string").collect()
-    return json.loads(found[0].model) if found else {"prior": 0.5}
+    if labels is None:
+        rows = docs.withColumn("label", F.lit(-1))
+    else:
+        told = labels.select(F.col("doc_id").cast("long"), F.col(label_col).cast("double").alias("label")).where("doc_id is not null and label is not null")
+        told = told.groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
+        rows = docs.select("doc_id").distinct().join(told, "doc_id")
+        rows = docs.join(materialize(rows, "labels"), "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    rows = rows.select("doc_id", "label", "text", "source", "lang", "n_chars").mapInArrow(_feature_rows, "doc_id long, label int, text_view binary, meta_view binary")
+    return materialize(rows.withColumn("apart", F.coalesce(F.pmod(F.xxhash64(F.lit("apart"), "doc_id"), F.lit(5)) == 0, F.lit(False))), "features")
+
+
+def learn(features: DataFrame, rounds: int = ROUNDS, calibrated: int = CALIBRATED) -> dict:
+    """The co-trained model of ``featured`` rows: a few hundred numbers a round. See ``score`` for nulls and repeats."""
+    rows = features.select("label", "text_view", "meta_view", "apart")
+
+    def total(function: Callable[[Part], np.ndarray]) -> np.ndarray:
+        sums = rows.mapInArrow(_sums_of(function), "sums binary").repartition(SUMS).mapInArrow(_added, "sums binary").collect()
+        return sum((np.frombuffer(r.sums, np.float64) for r in sums), np.zeros(1)) if sums else np.zeros(5)
+
+    def calibration(weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        held = features.where("apart and label >= 0")
+        share = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(1_000_000)) < 1_000_000 * calibrated // max(held.count(), 1)
+        got = held.where(share).mapInArrow(_odds_rows(weights), "z0 double, z1 double, label int").collect()
+        return np.array([[r.z0, r.z1] for r in got]).reshape(-1, 2), np.array([r.label for r in got])
+
+    return co_train(total, calibration, [WORD_BUCKETS + N_SHAPE, N_META], rounds)
+
+
+def _odds_rows(weights: list[np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (views, label, _) in _parts(batches):
+            z = [pa.array(odds(x, w).astype(np.float64)) for x, w in zip(views, weights, strict=True)]
+            yield pa.RecordBatch.from_arrays([*z, pa.array(label, pa.int32())], ["z0", "z1", "label"])
+
+    return run
 
 
 def _score(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in row_pieces(batch, "text"):
-                n = piece.num_rows
-                if "weights" not in model:
-                    parts = [np.full(n, model["prior"])] * 3
-                else:
-                    views = text_features(piece.column(1)), meta_features(piece)
-                    z = [odds(odds(x, np.array(w))[:, None], np.array(c)) for x, w, c in zip(views, model["weights"], model["scaled"], strict=True)]
-                    parts = [chance(z[0]), chance(z[1]), chance(odds(np.stack(z, 1), np.array(model["mixed"])))]
-                yield pa.RecordBatch.from_arrays([piece.column(0), *map(pa.array, parts)], ["doc_id", "p_text", "p_meta", "score"])
+        for rows, (views, _, _) in _parts(batches):
+            if "weights" not in model:
+                parts = [np.full(rows.num_rows, model["prior"])] * 3
+            else:
+                z = [odds(odds(x, w)[:, None], c) for x, w, c in zip(views, model["weights"], model["scaled"], strict=True)]
+                parts = [chance(z[0]), chance(z[1]), chance(odds(np.stack(z, 1), model["mixed"]))]
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), *map(pa.array, parts)], ["doc_id", "p_text", "p_meta", "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, p_text, p_meta and score (chances of good quality, 0 to 1) for every row.
+def score(features: DataFrame, model: dict) -> DataFrame:
+    """doc_id, p_text, p_meta and score (chances of good quality, 0 to 1) for every row of ``featured`` documents.
 
-    ``docs`` may hold text, source, lang and n_chars; what is missing or null gives zeros for its features, so a null or
-    empty text is scored by the learned intercept and the metadata. Several labels of one doc_id count as their rounded
-    mean; rows that repeat a doc_id are scored one by one. Without both kinds of label in the learning and the
-    calibration part, every score is the share of good labels, or 0.5 if there is none. An empty table gives an empty
-    result; other columns are not read.
+    The documents may hold text, source, lang and n_chars; what is missing or null gives zeros for its features, so a
+    null or empty text is scored by the learned intercept and the metadata. Rows that repeat a doc_id are scored one by
+    one, and teach one by one. Without both kinds of label in the learning and the calibration part, every score is the
+    share of good labels, or 0.5 if there is none. An empty table gives an empty result; other columns are not read.
     """
-    return _plain(docs).mapInArrow(_score(model), "doc_id long, p_text double, p_meta double, score double")
+    model = {k: v for k, v in model.items() if k != "history"}
+    return features.select("doc_id", "label", "text_view", "meta_view", "apart").mapInArrow(_score(model), "doc_id long, p_text double, p_meta double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: the quality of all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = score(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return out.withColumn("keep", F.col("score") >= 0.5)
+    rows = featured(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(rows, learn(rows)).withColumn("keep", F.col("score") >= 0.5)
