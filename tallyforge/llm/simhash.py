@@ -3,8 +3,8 @@
 Fingerprints within two bits share at least six of their eight positional bytes, so among the four byte pairs
 (0,1) (2,3) (4,5) (6,7) two are shared whole. Posting lists are keyed by those two byte pairs. Within a list the shared
 positional bytes of each pair are tallied; pairs that reach six are verified with the bit distance, and the list's links
-leave as stars, never as all pairs. Lists longer than ``most`` go through one-bit neighbours ("hubs") instead: two
-fingerprints are within two bits exactly if they have a common hub, and no hub has more than 65 members.
+leave as stars, never as all pairs. Fingerprints of a list longer than ``tallied`` are keyed by six positional bytes
+instead, which any pair that reaches six has in common; such a list has at most 2**16 fingerprints, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize, row_pieces, text_bytes
+from .shared import discard, materialize, row_pieces, text_bytes
 
 SHINGLE = 3
 DISTANCE = 2
@@ -28,10 +28,12 @@ SHARED_BYTES = 8 - DISTANCE
 #: The 16-bit blocks whose pairs key the posting lists.
 BLOCKS = [0xFFFF << s for s in (48, 32, 16, 0)]
 MASKS = [a | b for a, b in combinations(BLOCKS, 2)]
-#: Longest posting list that is tallied in memory.
-MOST = 100_000
-#: Longest posting list whose pairs are all tallied; longer ones look up one-bit neighbours.
+#: The six positional bytes that key the lists of fingerprints from long lists.
+SIXES = [sum(0xFF << 8 * i for i in kept) for kept in combinations(range(8), SHARED_BYTES)]
+#: Longest posting list of two byte pairs; longer ones are keyed by six bytes.
 TALLIED = 256
+#: Rows of a list that are compared with the others in one step.
+ROWS = 256
 
 
 # --------------------------------------------------------------------------- fingerprints
@@ -89,23 +91,21 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def list_links(prints: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars over the links of one posting list of different fingerprints, which agree in ``mask``."""
+def list_links(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars over the links of one posting list of different fingerprints."""
     n = len(prints)
-    if n <= TALLIED:
-        byte = prints.view(np.uint8).reshape(n, 8)
-        a, b = np.triu_indices(n, 1)
-        keep = (byte[a] == byte[b]).sum(axis=1) >= SHARED_BYTES
-        a, b = a[keep], b[keep]
-        keep = np.bitwise_count(prints[a] ^ prints[b]) <= DISTANCE
-        a, b = a[keep], b[keep]
-    else:
-        flips = np.array([0] + [1 << i for i in range(64) if not mask >> i & 1], np.uint64)
-        hubs = (prints[:, None] ^ flips).ravel()
-        order = np.argsort(hubs, kind="stable")
-        same = np.flatnonzero(hubs[order][1:] == hubs[order][:-1])
-        a, b = order[same] // len(flips), order[same + 1] // len(flips)
-    root = _roots(n, a, b)
+    byte = np.ascontiguousarray(prints).view(np.uint8).reshape(n, 8)
+    found = []
+    for low in range(0, n, ROWS):
+        mine = slice(low, low + ROWS)
+        tally = np.zeros((len(prints[mine]), n - low), np.uint8)
+        for i in range(8):
+            tally += byte[mine, i][:, None] == byte[low:, i][None, :]
+        a, b = np.nonzero(tally >= SHARED_BYTES)
+        a, b = a[a < b] + low, b[a < b] + low
+        near = np.bitwise_count(prints[a] ^ prints[b]) <= DISTANCE
+        found.append((a[near], b[near]))
+    root = _roots(n, *(np.concatenate(x) for x in zip(*found, strict=True)))
     moved = np.flatnonzero(root != np.arange(n))
     return prints[moved], prints[root[moved]]
 
@@ -114,8 +114,8 @@ def _posting_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Rows come sorted by (table, key): links of each list, with the list that the batch cuts carried over."""
     held_list, held = None, np.zeros(0, np.uint64)
 
-    def links(which: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return list_links(prints, MASKS[which]) if len(prints) > 1 else (prints[:0], prints[:0])
+    def links(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return list_links(prints) if len(prints) > 1 else (prints[:0], prints[:0])
 
     for batch in batches:
         table, key = (batch.column(i).to_numpy() for i in (0, 1))
@@ -127,14 +127,14 @@ def _posting_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if (table[lo], key[lo]) != held_list:
                 if held_list:
-                    out.append(links(held_list[0], held))
+                    out.append(links(held))
                 held_list, held = (table[lo], key[lo]), prints[lo:hi].copy()
             else:
                 held = np.r_[held, prints[lo:hi]]
         a, b = (np.concatenate([x[i] for x in out]) if out else held[:0] for i in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
     if held_list:
-        a, b = links(held_list[0], held)
+        a, b = links(held)
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
 
@@ -142,21 +142,31 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def print_links(prints: DataFrame, most: int = MOST) -> DataFrame:
+def _keyed(prints: DataFrame, masks: list[int]) -> DataFrame:
+    return prints.select("print", F.posexplode(F.array(*[F.col("print").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("table", "key"))
+
+
+def _listed(held: DataFrame) -> DataFrame:
+    """(a, b): links of the posting lists of rows (table, key, print)."""
+    return held.select("table", "key", "print").repartition("table", "key").sortWithinPartitions("table", "key", "print").mapInArrow(_posting_links, "a long, b long")
+
+
+def print_links(prints: DataFrame, tallied: int = TALLIED) -> DataFrame:
     """(a, b): links that connect the different fingerprints (column print) exactly as all pairs within two bits do."""
-    keyed = prints.select("print", F.posexplode(F.array(*[F.col("print").bitwiseAND(F.lit(_signed(m))) for m in MASKS])).alias("table", "key"))
+    keyed = _keyed(prints, MASKS)
     # written, so that the join is between two exchanges and Spark can split a long list
     lists = materialize(keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
     held = materialize(keyed.join(lists, ["table", "key"]), "postings")
-    short = held.where(F.col("n") <= most).select("table", "key", "print").repartition("table", "key").sortWithinPartitions("table", "key", "print")
-    links = short.mapInArrow(_posting_links, "a long, b long")
-    long = held.where(F.col("n") > most).select("print").distinct()
-    hubs = long.select("print", F.explode(F.array(F.col("print"), *[F.col("print").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])).alias("hub"))
-    low = hubs.groupBy("hub").agg(F.min("print").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hub", "low")
-    return links.unionByName(hubs.join(low, "hub").where("print <> low").select(F.col("print").alias("a"), F.col("low").alias("b")))
+    long = materialize(held.where(F.col("n") > tallied).select("print").distinct(), "long-lists")
+    sixes = _keyed(long, SIXES)
+    shared = materialize(sixes.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("table", "key"), "lists-of-six")
+    links = materialize(_listed(held.where(F.col("n") <= tallied)).unionByName(_listed(sixes.join(shared, ["table", "key"]))), "links")
+    for table in (lists, held, long, shared):
+        discard(table)
+    return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, tallied: int = TALLIED) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links of at most two bits.
 
     Copies share a fingerprint, which is indexed once however many documents have it. Null, empty and wordless texts
@@ -166,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "prints")
     first = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "first-docs")
-    member = connected_components(print_links(first.select("print"), most))
+    member = connected_components(print_links(first.select("print"), tallied))
     held = first.join(member, F.col("print") == F.col("node"), "left").select("print", "first", F.coalesce("component", "print").alias("class"))
     least = held.groupBy("class").agg(F.min("first").alias("component_id"))
     named = held.join(least, "class").select("print", "component_id")
