@@ -5,17 +5,28 @@ those bitmaps shifted by the bits of the query's components (complemented where
 carry-save adders on whole bitmaps. Low-order products are left out and bound the error; the k-th best value is read off
 the sum's slices from the most significant downward, a bit-sliced comparison picks every row that may reach it, and
 those boundary rows are scored exactly.
+
+The index is built once: a row for each block, with its ids, values and slices, in a table of the shared folder. Queries
+are broadcast in blocks of a fixed size, and each pass streams the index past one block of them; a task keeps the best
+rows of each query over all row blocks that it reads.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ROWS = 32_768
-QUERIES = 256
+from .shared import discard, materialize
+
+#: Rows of a block, about; a block and its slices are one row of the index.
+ROWS = 16_384
+#: Queries that one pass over the index answers; they are broadcast.
+QUERIES = 4_096
 #: Products of weight below 2**DROPPED are left to the exact step.
 DROPPED = 5
 
@@ -23,20 +34,20 @@ DROPPED = 5
 class SlicedBlock:
     """Bit slices of an integer matrix: rows x components."""
 
-    def __init__(self, values: np.ndarray) -> None:
+    def __init__(self, values: np.ndarray, bits: list[int] | None = None, plain: np.ndarray | None = None) -> None:
         self.values = values
         n, parts = values.shape
-        low = values.min(axis=0) if n else np.zeros(parts, np.int64)
-        raised = (values - low).astype(np.uint64)
-        self.bits = [int(x).bit_length() for x in (raised.max(axis=0) if n else np.zeros(parts, np.uint64))]
         self.words = -(-n // 64)
-        padded = np.zeros((self.words * 64, parts), np.uint64)
-        padded[:n] = raised
-        self.offset = np.cumsum([0, *self.bits])
-        plain = np.empty((int(self.offset[-1]), self.words), np.uint64)
-        for d in range(parts):
-            for b in range(self.bits[d]):
-                plain[self.offset[d] + b] = np.packbits((padded[:, d] >> np.uint64(b) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64)
+        if plain is None:
+            low = values.min(axis=0) if n else np.zeros(parts, np.int64)
+            raised = (values - low).astype(np.uint64)
+            bits = [int(x).bit_length() for x in (raised.max(axis=0) if n else np.zeros(parts, np.uint64))]
+            padded = np.zeros((self.words * 64, parts), np.uint64)
+            padded[:n] = raised
+            planes = [np.packbits((padded[:, d] >> np.uint64(b) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64) for d in range(parts) for b in range(bits[d])]
+            plain = np.stack(planes) if planes else np.zeros((0, self.words), np.uint64)
+        self.bits, self.plain = bits, plain
+        self.offset = np.cumsum([0, *bits])
         self.slices = np.concatenate([plain, ~plain])
         self.valid = np.packbits(np.arange(self.words * 64) < n, bitorder="little").view(np.uint64)
 
@@ -112,20 +123,45 @@ def _matrix(vectors: pd.Series, parts: int) -> np.ndarray:
     return out
 
 
-def _block_best(k: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        if len(rows) and len(queries):
-            parts = max(rows.vector.str.len().max(), queries.vector.str.len().max())
-            values, wanted = _matrix(rows.vector, parts), _matrix(queries.vector, parts)
-            ids = rows.vec_id.to_numpy()
-            block = SlicedBlock(values)
-            for query_id, q in zip(queries.vec_id.to_numpy(), wanted, strict=True):
-                at = block.top(q, k, np.flatnonzero(ids == query_id))
-                score = values[at] @ q
-                best = np.lexsort((ids[at], -score))[:k]
-                out += [(int(query_id), int(ids[at[i]]), int(score[i])) for i in best]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row: a block's ids, values and slices."""
+    rows = rows.sort_values("vec_id")
+    block = SlicedBlock(_matrix(rows.vector, max(1, int(rows.vector.str.len().max()))))
+    binary = [np.ascontiguousarray(x).tobytes() for x in (rows.vec_id.to_numpy(np.int64), block.values, np.array(block.bits, np.int64), block.plain)]
+    return pd.DataFrame([binary], columns=["ids", "rows", "bits", "slices"])
+
+
+class Best:
+    """The best rows of each query so far."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.ids, self.queries, self.k = query_ids, queries, k
+        self.held: list[list[tuple[int, int]]] = [[] for _ in query_ids]
+
+    def take(self, ids: np.ndarray, block: SlicedBlock) -> None:
+        parts = block.values.shape[1]
+        wanted = np.zeros((len(self.ids), parts), np.int64)
+        both = min(parts, self.queries.shape[1])
+        wanted[:, :both] = self.queries[:, :both]
+        for i, q in enumerate(wanted):
+            own = np.searchsorted(ids, self.ids[i])
+            at = block.top(q, self.k, np.array([own]) if own < len(ids) and ids[own] == self.ids[i] else np.zeros(0, np.int64))
+            score = block.values[at] @ q
+            self.held[i] = sorted([*self.held[i], *((-int(s), int(v)) for s, v in zip(score, ids[at], strict=True))])[: self.k]
+
+    def rows(self) -> tuple[list[int], list[int], list[int]]:
+        out = [(int(q), v, -s) for q, held in zip(self.ids, self.held, strict=True) for s, v in held]
+        return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [])
+
+
+def _search(shared, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(*shared.value, k)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, values, bits, slices = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in enumerate((np.int64, np.int64, np.int64, np.uint64)))
+                best.take(ids, SlicedBlock(values.reshape(len(ids), -1), bits.tolist(), slices.reshape(int(bits.sum()), -(-len(ids) // 64))))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in best.rows()], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -148,20 +184,33 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, rows_a_block: int = R
     every row with another vec_id. Ties go to the smaller vec_id; with fewer than k candidates all are returned.
 
     Rows that repeat a vec_id count once, with the smallest of their vectors. Vectors of unequal length are filled up
-    with zeros. Negative ids are divisible like positive ones. Empty tables, or tables without a query, give no rows.
+    with zeros; components so large that a score might not fit a long raise ValueError. Negative ids are divisible like positive ones. Empty tables, or tables without a query, give no rows.
     """
-    rows = vectors.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    asked = F.col("vec_id") % every == 0
-    n = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(asked).alias("asked")).first()
-    row_blocks, query_blocks = max(1, -(-n["all"] // rows_a_block)), max(1, -(-n["asked"] // queries_a_block))
-    rows = rows.withColumn("rows_at", F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks)).cast("int"))
-    queries = rows.where(asked).withColumn("queries_at", F.pmod(F.xxhash64(F.lit("query"), "vec_id"), F.lit(query_blocks)).cast("int"))
-    left = rows.withColumn("queries_at", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = queries.drop("rows_at").withColumn("rows_at", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-    pair = ["rows_at", "queries_at"]
-    best = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(_block_best(k), "query_id long, vec_id long, score long")
+    rows = materialize(vectors.groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
+    size = F.array_max(F.transform("vector", lambda x: F.abs(x.cast("double"))))
+    n = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("vec_id") % every == 0).alias("asked"), F.max(size).alias("top"), F.max(F.size("vector")).alias("parts")).first()
+    if (n["top"] or 0) ** 2 * (n["parts"] or 0) >= 2**62:
+        raise ValueError(f"components of {n['top']:g} make inner products that a long cannot hold")
+    row_blocks, query_blocks = max(1, -(-n["all"] // rows_a_block)), -(-n["asked"] // queries_a_block)
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks)).cast("int").alias("block")
+    index = materialize(rows.select("vec_id", "vector", block).groupBy("block").applyInPandas(_packed, "ids binary, rows binary, bits binary, slices binary"), "index")
+    asked = rows.where(F.col("vec_id") % every == 0)
+    best = []
+    for b in range(query_blocks):
+        held = asked.where(F.pmod(F.xxhash64(F.lit("query"), "vec_id"), F.lit(query_blocks)) == b).toPandas()
+        if len(held):
+            shared = rows.sparkSession.sparkContext.broadcast((held.vec_id.to_numpy(np.int64), _matrix(held.vector, n["parts"])))
+            best.append(materialize(index.mapInArrow(_search(shared, k), "query_id long, vec_id long, score long"), "best"))
+            shared.destroy()
+    discard(rows)
+    discard(index)
+    if not best:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = best[0]
+    for more in best[1:]:
+        found = found.unionByName(more)
+    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
