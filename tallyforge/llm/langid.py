@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import row_pieces, text_bytes
+from .shared import row_pieces, row_slices, text_bytes
 
 #: First and last code point of scripts' blocks.
 SCRIPTS = [
@@ -32,7 +32,7 @@ SCRIPTS = [
     ("thai", 0x0E00, 0x0E7F), ("lao", 0x0E80, 0x0EFF), ("tibetan", 0x0F00, 0x0FFF), ("burmese", 0x1000, 0x109F),
     ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x137F), ("khmer", 0x1780, 0x17FF),
     ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF),
-    ("hangul", 0xAC00, 0xD7A3), ("han", 0x20000, 0x2FFFF),
+    ("hangul", 0xAC00, 0xD7A3), ("han", 0x20000, 0x3FFFF),
 ]
 SCRIPT_NAMES = ["other", *dict.fromkeys(s for s, _, _ in SCRIPTS)]
 #: Share of a language's letters that a script needs to count as the language's.
@@ -45,7 +45,10 @@ CHUNK = 64
 NEVER = -(1 << 40)
 #: Documents a language is learned from, about; they are chosen by a hash of doc_id, never by position.
 LEARN = 2000
-_LIMIT = 0x30000
+#: Code points.
+_LIMIT = 0x110000
+#: Bytes of the arrays that one Viterbi pass may take, about; a longer document stands alone.
+PASS_BYTES = 64 << 20
 
 
 @cache
@@ -66,7 +69,7 @@ def words_by_script(text: str, rows: np.ndarray) -> tuple[np.ndarray, ...]:
     ``text`` holds all rows one after the other and ``rows`` their n + 1 first characters.
     """
     inside, letter, script = _tables()
-    code = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), _LIMIT - 1)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     solid = inside[code]
     edge = np.zeros(len(code) + 1, bool)
     edge[rows] = True
@@ -111,16 +114,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Languages (most learned-from first), their trigram scores and the scripts they use."""
 
-    def __init__(self, counts: list[tuple[str, int, int]]) -> None:
-        names = sorted({c[0] for c in counts})
+    def __init__(self, langs: list[str], buckets: np.ndarray, counts: np.ndarray) -> None:
+        names, at = np.unique(np.array(langs, object).astype(str), return_inverse=True)
+        names = names.tolist()
         grams = np.zeros((len(names), BUCKETS))
         scripts = np.zeros((len(names), len(SCRIPT_NAMES)))
-        for lang, bucket, n in counts:
-            i = names.index(lang)
-            if bucket < BUCKETS:
-                grams[i, bucket] += n
-            else:
-                scripts[i, bucket - BUCKETS] += n
+        gram = buckets < BUCKETS
+        np.add.at(grams, (at[gram], buckets[gram]), counts[gram])
+        np.add.at(scripts, (at[~gram], buckets[~gram] - BUCKETS), counts[~gram])
         order = np.argsort(-grams.sum(axis=1), kind="stable")
         self.languages = [names[i] for i in order]
         grams, scripts = grams[order], scripts[order]
@@ -153,12 +154,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     held = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not held:
-        return Model([])
+        return Model([], np.zeros(0, np.int64), np.zeros(0, np.int64))
     ticket = F.pmod(F.xxhash64(F.lit("learn"), "doc_id"), F.lit(1_000_000))
     limit = F.create_map(*[x for lang, n in held.items() for x in (F.lit(lang), F.lit(min(1_000_000, 1_000_000 * most // n)))])
     sample = rows.where(ticket < limit[F.col("lang")]).select("lang", "text")
     counts = sample.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    return Model([(r.lang, r.bucket, r.n) for r in counts.collect()])
+    found = counts.toArrow()  # at most languages x 2**16 rows of numbers, whatever the input
+    return Model(found.column("lang").to_pylist(), found.column("bucket").to_numpy(), found.column("n").to_numpy())
 
 
 # --------------------------------------------------------------------------- the path
@@ -167,11 +169,16 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def viterbi(scores: np.ndarray, rows: np.ndarray, penalty: int = SWITCH, chunk: int = CHUNK) -> np.ndarray:
     """The best label of each word: labels of a row's words maximise their scores less ``penalty`` a switch.
 
-    ``rows`` has the n + 1 first words of the rows; scores are integers, words x labels.
+    ``rows`` has the n + 1 first words of the rows; scores are integers, words x labels. Rows are taken together as long
+    as their chunks, with a square of labels each, stay within PASS_BYTES.
     """
     n_words, labels = scores.shape
     if not n_words:
         return np.zeros(0, np.int64)
+    cost = np.cumsum(np.r_[0, -(-np.diff(rows) // chunk)]) * labels * (2 * chunk + labels) * 8
+    if cost[-1] > PASS_BYTES and len(rows) > 2:
+        parts = row_slices(cost, PASS_BYTES)
+        return np.concatenate([viterbi(scores[rows[lo] : rows[hi]], rows[lo : hi + 1] - rows[lo], penalty, chunk) for lo, hi in parts])
     sizes = np.diff(rows)
     per_row = -(-sizes // chunk)
     first = np.cumsum(per_row) - per_row
