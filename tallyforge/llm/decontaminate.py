@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import gram_hashes, hash_spans, mix, row_pieces, text_bytes, words_of
+from .shared import gram_hashes, hash_spans, materialize, mix, row_pieces, text_bytes, words_of
 
 TOLERANCE = 0.2
 RECALL = 0.999
@@ -38,12 +38,18 @@ PAIRS, WALKS = 200, 64
 STRETCH = 2
 #: Items that one pass over the documents looks for; their hashes are broadcast.
 ITEMS = 5_000
-#: Windows that are walked and verified together.
+#: Windows that are walked and verified together, and the bytes of their words.
 LOOKED_AT = 8192
+LOOKED_BYTES = 32 << 20
 #: Words that are letters and digits; all else separates. Bytes from 0x80 on belong to words.
 BREAKS = np.array([not (48 <= b <= 57 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
 
+def looked_at(n: int) -> int:
+    """How many windows of n words are taken together."""
+    return max(1, min(LOOKED_AT, LOOKED_BYTES // (8 * n)))
+
+
 def edits_allowed(n: int, tolerance: float = TOLERANCE) -> int:
     return int(tolerance * n + 1e-9)
 
@@ -203,7 +209,8 @@ class Items:
             starts = starts[(starts >= 0) & (starts + n <= len(words))]
             known = np.full(len(words), -1, np.int64)
             known[at] = kinds
-            held = np.concatenate([_distinct(known[starts[i : i + LOOKED_AT, None] + np.arange(n - 1)]) for i in range(0, len(starts) or 1, LOOKED_AT)])
+            step = looked_at(n)
+            held = np.concatenate([_distinct(known[starts[i : i + step, None] + np.arange(n - 1)]) for i in range(0, len(starts) or 1, step)])
             starts = starts[held >= least - self.doubled[n]]
         ends = rows[1:][np.searchsorted(rows[1:], starts, side="right")] if len(starts) else starts
         return starts[starts + n <= ends]
@@ -227,19 +234,21 @@ class Items:
         pairs_at, which = self.known_pairs(words, rows)
         for n in sorted(self.words):
             starts = self.windows_in_reach(n, words, rows, pairs_at, which)
-            for i in range(0, len(starts), LOOKED_AT):
-                part = starts[i : i + LOOKED_AT]
+            step = looked_at(n)
+            for i in range(0, len(starts), step):
+                part = starts[i : i + step]
                 row = np.searchsorted(rows, part, side="right") - 1
                 yield n, row, part - rows[row], words[part[:, None] + np.arange(n)]
 
     def verified(self, n: int, windows: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(window, item id, distance) of the candidates within the allowed distance."""
-        step = max(1, LOOKED_AT * repetitions() // self.plan[n][0])  # walks of many repetitions take fewer windows at once
+        step = max(1, looked_at(n) * repetitions() // self.plan[n][0])  # walks of many repetitions take fewer windows at once
         parts = [self.candidates(n, windows[i : i + step]) for i in range(0, len(windows), step)]
         window = np.concatenate([w + i * step for i, (w, _) in enumerate(parts)])
         item = np.concatenate([x for _, x in parts])
         if len(window):
-            distance = np.concatenate([edit_distances(windows[window[i : i + LOOKED_AT]], self.words[n][item[i : i + LOOKED_AT]]) for i in range(0, len(window), LOOKED_AT)])
+            many = looked_at(n)
+            distance = np.concatenate([edit_distances(windows[window[i : i + many]], self.words[n][item[i : i + many]]) for i in range(0, len(window), many)])
             near = distance <= edits_allowed(n, self.tolerance)
             yield from zip(window[near].tolist(), self.ids[n][item[near]].tolist(), distance[near].tolist(), strict=True)
 
@@ -255,7 +264,7 @@ class Search:
         for n, row, at, windows in self.items.windows(words, rows):
             held = self.wait.setdefault(n, [])
             held.append((docs[row], at, windows))
-            if sum(len(x[1]) for x in held) >= LOOKED_AT:
+            if sum(len(x[1]) for x in held) >= looked_at(n):
                 self.look(n)
 
     def look(self, n: int) -> None:
@@ -306,6 +315,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         held = wanted.where(at == b).collect()
         shared = spark.sparkContext.broadcast(Items([r.item_id for r in held], [r.text for r in held], tolerance, recall))
         found = rows.mapInArrow(_search(shared), "doc_id long, item_id long, start int, words int, distance int")
+        if blocks > 1:  # one block's items at a time are in memory
+            found = materialize(found, "leaks")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start", "words")).alias("best"))
     return best.select("doc_id", "item_id", "best.start", "best.words", "best.distance")
