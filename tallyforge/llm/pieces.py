@@ -41,6 +41,40 @@ def tails_of(pieces: dict[str, int]) -> dict[str, tuple[int, ...]]:
     return {t: (*sorted(n, reverse=True), *SHORT) for t, n in out.items()}
 
 
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a protocol buffer message's fields."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        else:
+            size = varint() if tag & 7 == 2 else {1: 8, 5: 4}[tag & 7]
+            at += size
+            yield tag >> 3, message[at - size : at]
+
+
+def check_model(model: bytes, merges: bool) -> None:
+    """Raises ValueError unless the model is BPE (``merges``) or unigram, and changes no text but by the mark."""
+    spec = {2: b"", 3: b""} | {k: v for k, v in _fields(model) if k in (2, 3)}
+    kind = dict(_fields(spec[2])).get(3, 1)  # 1 unigram, 2 BPE; the default is unigram
+    normal = {3: 1, 4: 1, 5: 1} | dict(_fields(spec[3]))
+    if kind != (2 if merges else 1):
+        raise ValueError(f"the model is of type {kind}, but merges is {merges}")
+    if normal.get(2) or normal[4] or not normal[3] or not normal[5]:
+        raise ValueError("the model normalises text, drops spaces or adds no mark before it: its ids would differ")
+
+
 class Pieces:
     """A model's pieces, and the segmentation of single marked words."""
 
@@ -233,10 +267,12 @@ def _decode(model, merges: bool, ids_col: str):
     return run
 
 
-def _shared(spark: SparkSession, model_path: str):
+def _shared(spark: SparkSession, model_path: str, merges: bool):
     """The model file's bytes (fixed by the model, not by the corpus), sent to the executors once."""
     with open(model_path, "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        model = f.read()
+    check_model(model, merges)
+    return spark.sparkContext.broadcast(model)
 
 
 def _schema(df: DataFrame, *more: str) -> str:
@@ -246,18 +282,19 @@ def _schema(df: DataFrame, *more: str) -> str:
 def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, merges: bool = True) -> DataFrame:
     """All columns of ``docs`` and ids, an array of piece ids.
 
-    ``merges`` tells a BPE model from a unigram one. A null text has null ids, an empty text no ids. The mark character
+    ``merges`` tells a BPE model from a unigram one; a model of the other kind, or with a normaliser that changes texts,
+    raises ValueError. A null text has null ids, an empty text no ids. The mark character
     U+2581 in a text counts as a space, as in the library. Characters that no piece has become byte pieces. A column
     named ids is replaced; rows are encoded one by one, whatever else they hold.
     """
     rows = docs.drop("ids").withColumn(text_col, F.col(text_col).cast("string"))
-    return rows.mapInArrow(_encode(_shared(docs.sparkSession, model_path), merges, text_col, False), _schema(rows, "ids array<int>"))
+    return rows.mapInArrow(_encode(_shared(docs.sparkSession, model_path, merges), merges, text_col, False), _schema(rows, "ids array<int>"))
 
 
 def round_trip(docs: DataFrame, text_col: str = "text", model_path: str = MODEL, merges: bool = True) -> DataFrame:
     """``encode`` and ``decode`` in one pass, which holds one copy of the model a task: ids and decoded."""
     rows = docs.drop("ids", "decoded").withColumn(text_col, F.col(text_col).cast("string"))
-    out = rows.mapInArrow(_encode(_shared(docs.sparkSession, model_path), merges, text_col, True), _schema(rows, "ids array<int>", "decoded binary"))
+    out = rows.mapInArrow(_encode(_shared(docs.sparkSession, model_path, merges), merges, text_col, True), _schema(rows, "ids array<int>", "decoded binary"))
     return out.withColumn("decoded", _valid("decoded"))
 
 
@@ -267,7 +304,7 @@ def decode(tokens: DataFrame, ids_col: str = "ids", model_path: str = MODEL, mer
     Bytes that are no valid UTF-8 come out as replacement characters. A column named decoded is replaced.
     """
     rows = tokens.drop("decoded")
-    out = rows.mapInArrow(_decode(_shared(tokens.sparkSession, model_path), merges, ids_col), _schema(rows, "decoded binary"))
+    out = rows.mapInArrow(_decode(_shared(tokens.sparkSession, model_path, merges), merges, ids_col), _schema(rows, "decoded binary"))
     return out.withColumn("decoded", _valid("decoded"))
 
 
