@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -55,16 +56,21 @@ def record_head(page_id: int | None, url: str | None, digest: str, size: int, re
     if page_id is not None:
         fields["X-Page-Id"] = str(page_id)
     if revisit:
-        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to, digest), "X-Refers-To-Page": str(refers_to)}
+        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to, digest)}
     lines = [b"WARC/1.1", *(f"{k}: {v}".encode() for k, v in fields.items())]
     return END.join(lines) + END + END + http
 
 
+def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system and path of a URI; Hadoop's names of S3 (s3a, s3n) mean the same store."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 class ArchiveFile:
     """One archive under a temporary name until it is closed."""
 
     def __init__(self, folder: str, name: str, attempt: int) -> None:
-        self.fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        self.fs, root = opened(folder)
         self.fs.create_dir(root, recursive=True)
         self.final, self.draft = f"{root}/{name}", f"{root}/.{name}.{attempt}"
         self.uri = f"{folder}/{name}"
@@ -133,20 +139,25 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 class _Bytes:
-    """The decompressed bytes of a file of gzip members, taken from the front."""
+    """The bytes of a plain file or the decompressed bytes of a file of gzip members, taken from the front."""
 
     def __init__(self, source: pa.NativeFile) -> None:
         self.source, self.unpack, self.held, self.ended = source, zlib.decompressobj(31), bytearray(), False
-        self.rest = b""
+        self.rest = source.read(CHUNK)
+        self.plain = bool(self.rest) and not self.rest.startswith(b"\x1f\x8b")
 
     def _more(self) -> bool:
         while not self.ended:
             raw = self.rest or self.source.read(CHUNK)
             if not raw:
                 self.ended = True
-                if not self.unpack.eof and self.held:
+                if not self.plain and not self.unpack.eof and self.held:
                     raise ValueError("the archive ends within a record")
                 break
+            if self.plain:
+                self.rest = b""
+                self.held += raw
+                return True
             if self.unpack.eof:
                 self.unpack = zlib.decompressobj(31)
             got = self.unpack.decompress(raw, 4 * CHUNK)
@@ -193,7 +204,7 @@ def _header(data: _Bytes) -> tuple[dict[str, str], int]:
 
 
 def record_chunks(source: pa.NativeFile) -> Iterator[tuple]:
-    """(record id, type, page id, refers-to page, header digest, header length, chunk number, bytes, SHA-1 so far, bytes so far, last)."""
+    """(record id, type, page id, record it refers to, header digest, header length, chunk number, bytes, SHA-1 so far, bytes so far, last)."""
     data = _Bytes(source)
     while (line := data.line()) is not None:
         if not line:
@@ -206,10 +217,10 @@ def record_chunks(source: pa.NativeFile) -> Iterator[tuple]:
             data_line = data.line() or b""
             _, size = _header(data)
             left -= len(data_line) + 2 + size
-        page, refers = head.get("x-page-id"), head.get("x-refers-to-page")
+        page = head.get("x-page-id")
         digest = base64.b32decode(head["warc-payload-digest"].partition(":")[2]).hex() if "warc-payload-digest" in head else None
         length = int(head["x-payload-length"]) if "x-payload-length" in head else None
-        key = (head.get("warc-record-id"), head.get("warc-type"), page and int(page), refers and int(refers), digest, length)
+        key = (head.get("warc-record-id"), head.get("warc-type"), page and int(page), head.get("warc-refers-to"), digest, length)
         so_far, size, number = hashlib.sha1(), 0, 0
         if not left:
             yield (*key, 0, b"", so_far.hexdigest(), 0, True)
@@ -220,11 +231,11 @@ def record_chunks(source: pa.NativeFile) -> Iterator[tuple]:
             number += 1
 
 
-CHUNK_SCHEMA = "record_id string, record_type string, page_id long, refers_to long, told_digest string, told_bytes long, chunk int, data binary, digest string, bytes long, last boolean"
+CHUNK_SCHEMA = "record_id string, record_type string, page_id long, refers_to_id string, told_digest string, told_bytes long, chunk int, data binary, digest string, bytes long, last boolean"
 
 
 def _read(with_data: bool):
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.bool_()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.bool_()]
     names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -234,7 +245,7 @@ def _read(with_data: bool):
         rows: list[tuple] = []
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+                fs, path = opened(uri)
                 with fs.open_input_stream(path, compression=None) as source:
                     for row in record_chunks(source):
                         rows.append(row if with_data else (*row[:7], None, *row[8:]))
@@ -261,13 +272,19 @@ def read_archives(manifest: DataFrame, with_data: bool = True) -> DataFrame:
 def archived(chunks: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record, from its last chunk.
 
-    A response whose bytes do not match the length and digest of its header stops the query; a revisit has no bytes of
+    A revisit's page is found by the record that its WARC-Refers-To names (null if the archives do not have it); pages
+    are numbered by the header X-Page-Id, which other tools' archives lack: their page_id is null. Files are gzip
+    members or plain. A response whose bytes do not match the length and digest of its header stops the query; a revisit has no bytes of
     its own and gives the full payload's figures from its header.
     """
     revisit = F.col("record_type") == "revisit"
-    sound = revisit | ((F.col("digest") == F.col("told_digest")) & (F.col("bytes") == F.col("told_bytes")))
+    sound = revisit | (F.coalesce(F.col("digest") == F.col("told_digest"), F.lit(True)) & F.coalesce(F.col("bytes") == F.col("told_bytes"), F.lit(True)))
     last = chunks.where("last").where(F.when(sound, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("damaged record "), "record_id")).cast("boolean")))
-    return last.select("page_id", F.when(revisit, F.col("told_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"), F.when(revisit, F.col("told_digest")).otherwise(F.col("digest")).alias("payload_digest"), "record_type", "refers_to")
+    last = materialize(last.drop("data", "chunk", "last"), "records")  # the archives are read once
+    target = last.where(~revisit).groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("refers_to"))
+    found = last.where(revisit).join(target, "refers_to_id", "left").select(*last.columns, "refers_to")
+    found = found.unionByName(last.where(~revisit).withColumn("refers_to", F.lit(None).cast("long")))
+    return found.select("page_id", F.when(revisit, F.coalesce("told_bytes", F.lit(0))).otherwise(F.col("bytes")).alias("payload_bytes"), F.when(revisit, F.col("told_digest")).otherwise(F.col("digest")).alias("payload_digest"), "record_type", "refers_to")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
