@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, a laptop) is a temporary folder set.
+    Only where the session names none and runs in one process (tests, a laptop) is a temporary folder set; on a cluster
+    executors could not see it, so a session without the setting is refused.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")

@@ -140,10 +140,11 @@ def test_repeated_long_rows_keep_their_words(spark):
 
 
 def test_quality(docs, none, labels):
-    rows = quality.score(docs, quality.learn(docs, labels)).collect()
-    assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 for r in rows)
-    assert quality.score(none, quality.learn(none, labels)).count() == 0
-    assert {r.score for r in quality.score(docs, quality.learn(docs, labels.where("false"))).collect()} == {0.5}
+    rows = quality.featured(docs, labels)
+    got = quality.score(rows, quality.learn(rows)).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.score <= 1 for r in got)
+    assert quality.score(quality.featured(none), quality.learn(quality.featured(none, labels))).count() == 0
+    assert {r.score for r in quality.score(rows, quality.learn(quality.featured(docs, labels.where("false")))).collect()} == {0.5}
 
 
 def folder(tmp_path, docs, items):
