@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder the session names; tests without one get a temporary folder."""
+    """A reliable checkpoint in the shared folder the session names.
+
+    A session in one process without one (tests) gets a temporary folder; on a cluster the setting is required.
+    """
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
