@@ -5,30 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: count, name, set code in brackets of either kind, collector number, foil mark
-LINE = r"^\s*(\d+)?\s*x?\s*(.+?)(?:\s+[\(\[]([A-Za-z0-9]{2,6})[\)\]](?:\s+([A-Za-z0-9★-]+))?)?(?:\s+\*([FE])\*)?\s*$"
 #: Headers and the zones they open.
-ZONES = {"deck": "main", "main": "main", "mainboard": "main", "commander": "commander", "sideboard": "side", "maybeboard": "maybe"}
+ZONES = {
+    "commander": "commander", "commanders": "commander", "comandante": "commander", "comandantes": "commander",
+    "deck": "deck", "main": "deck", "maindeck": "deck", "mainboard": "deck",
+    "sideboard": "sideboard", "side": "sideboard", "companion": "sideboard",
+    "maybeboard": "maybeboard", "maybe": "maybeboard", "talvez": "maybeboard", "considering": "maybeboard",
+}
+#: Headers of a list's own description, which give no item.
+ABOUT = ("about", "name")
 
 
 def exploded_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, F.posexplode(F.split(text, "\r?\n")).alias("line_no", "raw"))
 
 
+def _counted(line: Column) -> tuple[Column, Column]:
+    """The count that opens a line (digits, perhaps an x, then space before more text) and the rest of the line."""
+    count = F.regexp_extract(line, r"^([0-9]+)\s*x?\s+\S", 1)
+    rest = F.when(count == "", line).otherwise(F.regexp_replace(line, r"^[0-9]+\s*x?\s+", ""))
+    return F.coalesce(F.nullif(count, F.lit("")).try_cast("int"), F.lit(1)), rest
+
+
+def _marked(line: Column) -> tuple[Column, Column]:
+    """The marks that close a line (*F*, [words], ^words^), joined, and the line before them."""
+    marks = F.regexp_extract(line, r"\S((?: +(?:[*]\p{Alpha}[*]|\^[^\^]*\^|\[[^\[\]]*\]))+)$", 1)
+    return F.trim(marks), F.trim(F.substring(line, F.lit(1), F.char_length(line) - F.char_length(marks)))
+
+
+def _coded(line: Column, marks: Column) -> tuple[Column, Column, Column]:
+    """Name, set code and collector number: a code of 2 to 6 signs in brackets after the name, perhaps with a number.
+
+    A code in square brackets may stand among the marks, where it is the first.
+    """
+    closing = r" +[\[(](\w{2,6})[)\]](?: +([-★\w]+))?$"
+    code, number = (F.regexp_extract(line, r"\S" + closing, i) for i in (1, 2))
+    among = F.regexp_extract(marks, r"^\[(\w{2,6})\]", 1)
+    name = F.when(code == "", line).otherwise(F.trim(F.regexp_replace(line, closing, "")))
+    return name, F.lower(F.coalesce(F.nullif(code, F.lit("")), F.nullif(among, F.lit("")))), F.nullif(number, F.lit(""))
+
+
 def parsed_listing(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Lines (keys, line_no, raw) as items with their zone; a header counts for the lines after it.
 
-    Blank lines, comments and headers give no item. Without a count, the quantity is one.
+    A header may stand between slashes, number signs and colons. Blank lines, comments, headers and descriptions give no
+    item. Without a count, the quantity is one; a mark [Commander...] moves one item to that zone.
     """
-    raw = F.trim("raw")
-    head = F.lower(F.regexp_replace(raw, r":?\s*(\(\d+\))?$", ""))
+    raw = F.regexp_replace(F.trim(F.regexp_replace("raw", r"\s", " ")), " +", " ")
+    head = F.lower(F.regexp_replace(raw, r"^[/# :]+|[/# :]+$", ""))
     zones = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
-    opened = F.last(zones[head], ignorenulls=True).over(Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    part = lambda i: F.nullif(F.regexp_extract(raw, LINE, i), F.lit(""))
-    rows = lines.withColumn("zone", F.coalesce(opened, F.lit("main"))).where(zones[head].isNull() & (raw != "") & ~raw.startswith("//") & ~raw.startswith("#"))
+    opens = F.when(~raw.rlike("^[0-9]"), F.try_element_at(zones, head))
+    zone = F.last(opens, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    about = head.isin(*ABOUT) | F.lower(raw).startswith("name ")
+    rows = lines.withColumn("zone", F.coalesce(zone, F.lit("deck"))).where(opens.isNull() & (raw != "") & ~raw.startswith("//") & ~raw.startswith("#") & ~about)
+    quantity, rest = _counted(raw)
+    marks, rest = _marked(rest)
+    name, code, number = _coded(rest, marks)
+    first = (F.col("zone") == "commander") | F.lower(marks).contains("[commander")
+    finish = F.when(marks.contains("*E*"), "etched").when(marks.contains("*F*"), "foil").otherwise("nonfoil")
     return rows.select(
-        *keys, "line_no", "zone", F.coalesce(part(1).cast("int"), F.lit(1)).alias("quantity"), part(2).alias("name"), F.lower(part(3)).alias("set_code"), part(4).alias("collector_number"),
-        F.when(part(5) == "F", "foil").when(part(5) == "E", "etched").otherwise("nonfoil").alias("finish"), (F.col("zone") == "commander").alias("is_commander"),
+        *keys, "line_no", F.when(first, "commander").otherwise(F.col("zone")).alias("zone"), quantity.alias("quantity"), name.alias("name"), code.alias("set_code"),
+        number.alias("collector_number"), finish.alias("finish"), first.alias("is_commander"),
     )
 
 
