@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import unicodedata
 from functools import reduce
 
@@ -106,9 +108,12 @@ def money_text(x: Column, sign: str = "R$ ") -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    """A number of at least zero with so many decimals, halves rounded up."""
+    """A number of at least zero with so many decimals, halves rounded up.
+
+    Rounded to nine decimals first, so that the order in which a mean was added up does not decide a half.
+    """
     unit = 10**digits
-    whole = F.floor(x * unit + 0.5).cast("long")
+    whole = F.floor(F.round(x, 9) * unit + 0.5).cast("long")
     return F.concat(F.floor(whole / unit).cast("string"), F.lit("."), F.lpad((whole % unit).cast("string"), digits, "0"))
 
 
@@ -120,3 +125,24 @@ def relative_day(day: Column, today: Column) -> Column:
 def list_key(items: Column) -> Column:
     """A cache key that does not depend on the order of the items."""
     return F.sha1(F.to_json(F.sort_array(items)).cast("binary"))
+
+
+def message(template: str, values: dict[str, Column]) -> Column:
+    """The template with its {names} filled in; a template that names a value that is not given stays as it is."""
+    parts = re.split(r"\{(\w+)\}", template)
+    if any(name not in values for name in parts[1::2]):
+        return F.lit(template)
+    return F.concat(*[F.coalesce(values[x].cast("string"), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def url_text(x: Column) -> Column:
+    """Percent-encoded text in which only letters, digits and -_.~ stand for themselves."""
+    out = F.url_encode(x)
+    for old, new in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+def dotted(json: Column, path: str) -> Column:
+    """The value at a dotted path of a JSON text, as text; null where the path leads nowhere."""
+    return F.get_json_object(json, "$." + path)

@@ -26,17 +26,25 @@ def listed(t: Tables) -> DataFrame:
 
 @query(LISTED + """
 , v AS (SELECT *, max(CASE WHEN line_no = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY list ORDER BY line_no) AS below FROM u)
-SELECT list, line_no, CASE below WHEN 1 THEN 'side' ELSE 'main' END AS zone,
-  q AS quantity, name, 's' || p_size || 'x' AS set_code, CASE WHEN p_size > 25 THEN p_size::VARCHAR END AS collector_number,
-  CASE l_returnflag WHEN 'R' THEN 'foil' ELSE 'nonfoil' END AS finish FROM v WHERE line_no <> 4
+SELECT list, line_no, CASE WHEN line_no = 2 AND p_size % 5 = 0 THEN 'commander' WHEN below = 1 THEN 'sideboard' ELSE 'deck' END AS zone,
+  CASE WHEN line_no = 3 THEN 1 ELSE q END AS quantity, CASE p_size % 4 WHEN 0 THEN 'x' || name WHEN 1 THEN '2nd ' || name ELSE name END AS name,
+  's' || p_size || 'x' AS set_code, CASE WHEN p_size > 25 THEN p_size::VARCHAR END AS collector_number,
+  CASE l_returnflag WHEN 'R' THEN 'foil' WHEN 'A' THEN 'etched' ELSE 'nonfoil' END AS finish FROM v WHERE line_no NOT IN (4, 6)
 """)
 def parse_listing(t: Tables) -> DataFrame:
-    """Lines written and read back; line 4 of each list is the header of its sideboard."""
-    rows = listed(t)
-    code = F.concat(F.lit("S"), F.col("p_size").cast("string"), F.lit("X"))
-    line = F.concat_ws(" ", F.concat(F.col("l_quantity").cast("string"), F.lit("x")), F.col("p_name"), F.concat(F.lit("("), code, F.lit(")")), F.when(F.col("p_size") > 25, F.col("p_size").cast("string")), F.when(F.col("l_returnflag") == "R", "*F*"))
-    lines = rows.select("list", "line_no", F.when(F.col("line_no") == 4, "Sideboard:").otherwise(line).alias("raw"))
-    return parsed_listing(lines, ["list"]).drop("is_commander")
+    """Lines written and read back; line 4 of each list is the header of its sideboard, line 6 a comment.
+
+    Some names open with a digit or an x, line 3 has no count, and marks name colours, tags and the commander.
+    """
+    rows, size, line_no = listed(t), F.col("p_size"), F.col("line_no")
+    code = F.concat(F.lit("S"), size.cast("string"), F.lit("X"))
+    count = F.when(line_no == 3, F.lit(None)).when(size % 3 == 0, F.col("l_quantity").cast("string")).otherwise(F.concat(F.col("l_quantity").cast("string"), F.lit("x")))
+    name = F.concat(F.when(size % 4 == 0, "x").when(size % 4 == 1, "2nd ").otherwise(""), F.col("p_name"))
+    marks = [F.when(F.col("l_returnflag") == "R", "*F*").when(F.col("l_returnflag") == "A", "*E*"), F.when((line_no == 2) & (size % 5 == 0), "[Commander{top}]"), F.when(size % 7 == 0, "^Have,#37d67a^")]
+    bracketed = F.when((size % 2 == 0), F.concat(F.lit("("), code, F.lit(")"))).otherwise(F.concat(F.lit("["), code, F.lit("]")))
+    line = F.concat_ws(" ", count, name, bracketed, F.when(size > 25, size.cast("string")), *marks)
+    raw = F.when(line_no == 4, F.when(size % 2 == 0, "// Sideboard").otherwise("Companion:")).when(line_no == 6, "# a comment").otherwise(line)
+    return parsed_listing(rows.select("list", "line_no", raw.alias("raw")), ["list"]).drop("is_commander")
 
 
 @query(LISTED + """
@@ -57,7 +65,7 @@ def export_csv_rows(t: Tables) -> DataFrame:
 
 
 @query(MATCHES + """
-SELECT contest, string_agg(rank || ',' || player || ',' || points || ',' || CAST(floor(omw * 10000 + 0.5::DOUBLE) AS BIGINT) // 10000 || '.' || lpad((CAST(floor(omw * 10000 + 0.5::DOUBLE) AS BIGINT) % 10000)::VARCHAR, 4, '0'), chr(10) ORDER BY rank) AS text FROM x GROUP BY contest
+SELECT contest, string_agg(rank || ',' || player || ',' || points || ',' || CAST(floor(round(omw, 9) * 10000 + 0.5::DOUBLE) AS BIGINT) // 10000 || '.' || lpad((CAST(floor(round(omw, 9) * 10000 + 0.5::DOUBLE) AS BIGINT) % 10000)::VARCHAR, 4, '0'), chr(10) ORDER BY rank) AS text FROM x GROUP BY contest
 """)
 def contest_export(t: Tables) -> DataFrame:
     s = standings(matches(t))
