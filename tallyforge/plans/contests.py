@@ -88,30 +88,31 @@ def leaders(t: Tables) -> DataFrame:
 
 
 PODS = """
-WITH e AS (SELECT DISTINCT user_id AS player, hour(ts) AS pod, day(ts) AS round FROM events),
-n AS (SELECT *, row_number() OVER (PARTITION BY round, pod ORDER BY player) AS seat FROM e),
-p AS (SELECT round, pod, list(player ORDER BY player) AS players FROM n WHERE seat <= 3 + round % 2 GROUP BY 1, 2),
+WITH e AS (SELECT DISTINCT user_id AS player, hour(ts) AS round, day(ts) AS contest FROM events),
+n AS (SELECT *, (row_number() OVER (PARTITION BY contest, round ORDER BY player) - 1) // 4 AS pod FROM e),
+p AS (SELECT contest, round, pod, list(player ORDER BY player) AS players FROM n GROUP BY 1, 2, 3),
 g AS (SELECT *, CASE WHEN (round + pod) % 4 = 0 THEN NULL ELSE players[(round + pod) % len(players) + 1] END AS winner FROM p),
-s AS (SELECT round, pod, winner, len(players) AS size, unnest(players) AS player FROM g),
-t AS (SELECT player, count(*) AS rounds, sum(CASE WHEN winner IS NULL THEN 1.0 WHEN winner = player THEN 7 ELSE 0 END) AS points, sum(4 - size) AS ghosts FROM s GROUP BY 1),
+s AS (SELECT contest, round, pod, winner, len(players) AS size, unnest(players) AS player FROM g),
+t AS (SELECT contest, player, count(*) AS rounds, sum(CASE WHEN winner IS NULL THEN 1.0 WHEN winner = player THEN 7 ELSE 0 END) AS points, sum(4 - size) AS ghosts FROM s GROUP BY 1, 2),
 r AS (SELECT *, greatest(1 / 7, points / (rounds * 7)) AS mr FROM t),
-o AS (SELECT a.player, avg(r.points) AS op, sum(r.mr) AS sr, count(*) AS n FROM s a JOIN s b ON a.round = b.round AND a.pod = b.pod AND a.player <> b.player JOIN r ON r.player = b.player GROUP BY 1),
-z AS (SELECT r.*, coalesce(op, 0) AS op, coalesce((coalesce(sr, 0) + ghosts / 7) / nullif(coalesce(n, 0) + ghosts, 0), 0) AS omw FROM r LEFT JOIN o USING (player))
+o AS (SELECT a.contest, a.player, avg(r.points) AS op, sum(r.mr) AS sr, count(*) AS n FROM s a JOIN s b ON a.contest = b.contest AND a.round = b.round AND a.pod = b.pod AND a.player <> b.player JOIN r ON r.contest = b.contest AND r.player = b.player GROUP BY 1, 2),
+z AS (SELECT r.*, coalesce(op, 0) AS op, coalesce((coalesce(sr, 0) + ghosts / 7) / nullif(coalesce(n, 0) + ghosts, 0), 0) AS omw FROM r LEFT JOIN o USING (contest, player))
 """
 
 
 @query(PODS + """
-SELECT player, CAST(points AS DOUBLE) AS points, round(mr, 6) AS match_rate, round(op, 6) AS opponent_points, round(omw, 6) AS omw,
-  row_number() OVER (ORDER BY points DESC, round(mr, 9) DESC, round(op, 9) DESC, round(omw, 9) DESC, player) AS rank FROM z
+SELECT contest, player, CAST(points AS DOUBLE) AS points, round(mr, 6) AS match_rate, round(op, 6) AS opponent_points, round(omw, 6) AS omw,
+  row_number() OVER (PARTITION BY contest ORDER BY points DESC, round(mr, 9) DESC, round(op, 9) DESC, round(omw, 9) DESC, player) AS rank FROM z
 """)
 def standings_pods(t: Tables) -> DataFrame:
-    seats = t.events.select(F.col("user_id").alias("player"), F.hour("ts").alias("pod"), F.dayofmonth("ts").alias("round")).distinct()
-    seats = seats.withColumn("seat", F.row_number().over(Window.partitionBy("round", "pod").orderBy("player"))).where("seat <= 3 + round % 2")
-    tables = seats.groupBy("round", "pod").agg(F.sort_array(F.collect_list("player")).alias("players"))
+    """A day's users as players, its hours as rounds, each with tables of four for everyone who is there."""
+    seats = t.events.select(F.col("user_id").alias("player"), F.hour("ts").alias("round"), F.dayofmonth("ts").alias("contest")).distinct()
+    seats = seats.withColumn("pod", F.floor((F.row_number().over(Window.partitionBy("contest", "round").orderBy("player")) - 1) / 4).cast("int"))
+    tables = seats.groupBy("contest", "round", "pod").agg(F.sort_array(F.collect_list("player")).alias("players"))
     at = (F.col("round") + F.col("pod")) % F.size("players") + 1
-    tables = tables.withColumn("winner", F.when((F.col("round") + F.col("pod")) % 4 != 0, F.element_at("players", at))).withColumn("contest", F.lit(0))
+    tables = tables.withColumn("winner", F.when((F.col("round") + F.col("pod")) % 4 != 0, F.element_at("players", at)))
     s = pod_standings(tables)
-    return s.select("player", "points", F.round("match_rate", 6).alias("match_rate"), F.round("opponent_points", 6).alias("opponent_points"), F.round("omw", 6).alias("omw"), F.col("rank").cast("long").alias("rank"))
+    return s.select("contest", "player", "points", F.round("match_rate", 6).alias("match_rate"), F.round("opponent_points", 6).alias("opponent_points"), F.round("omw", 6).alias("omw"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("""
@@ -194,4 +195,5 @@ def swiss_pairing(t: Tables) -> DataFrame:
 
 @query()
 def pod_pairing(t: Tables) -> DataFrame:
-    return pods(standings(matches(t)))
+    m = matches(t)
+    return pods(standings(m), meetings(sides(m)))
