@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,33 +20,34 @@ def constrained_clusters(detections: DataFrame, pairs: DataFrame) -> DataFrame:
     """Clusters of each session: pairs join in order (forced first, then by score) unless that would put two detections
     of one capture, or two identities, into one cluster.
 
-    ``detections`` has session, id, capture and identity; ``pairs`` session, a, b, score and forced. The order of joins
-    matters, so a session (one user's photos) is one group.
+    ``detections`` has session, id, capture and identity; ``pairs`` session, a, b, score and forced. Joining one pair
+    after the other is done in rounds of joins: a pair that is the best allowed one of both its clusters would be next
+    for either of them whatever happens elsewhere, so all such pairs join at once. A pair that is not allowed never
+    becomes so, and goes. Null captures and identities stand in nobody's way.
     """
-    rows = detections.select("session", "id", "capture", "identity", F.lit(None).cast("long").alias("b"), F.lit(0.0).alias("score"), F.lit(False).alias("forced"))
-    links = pairs.select("session", F.col("a").alias("id"), F.lit(None).cast(rows.schema["capture"].dataType).alias("capture"), F.lit(None).cast(rows.schema["identity"].dataType).alias("identity"), "b", "score", "forced")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own, links = rows[rows.b.isna()], rows[rows.b.notna()]
-        members = {i: {i} for i in own.id}
-        captures = {i: {c} for i, c in zip(own.id, own.capture, strict=True)}
-        identity = {i: None if pd.isna(x) else x for i, x in zip(own.id, own.identity, strict=True)}
-        at = {i: i for i in own.id}
-        links = links.assign(weak=~links.forced.astype(bool)).sort_values(["weak", "score", "id", "b"], ascending=[True, False, True, True])
-        for a, b in zip(links.id, links.b.astype("int64"), strict=True):
-            x, y = at.get(a), at.get(b)
-            if x is None or y is None or x == y or captures[x] & captures[y] or (identity[x] is not None and identity[y] is not None and identity[x] != identity[y]):
-                continue
-            x, y = min(x, y), max(x, y)
-            for i in members[y]:
-                at[i] = x
-            members[x] |= members.pop(y)
-            captures[x] |= captures.pop(y)
-            identity[x] = identity[x] if identity[x] is not None else identity[y]
-        return pd.DataFrame({"session": own.session, "id": own.id, "cluster": own.id.map(at)})
-
-    kind = rows.schema["session"].dataType.simpleString()
-    return rows.unionByName(links).groupBy("session").applyInPandas(run, f"session {kind}, id long, cluster long")
+    from .tables import settled
+
+    at = settled(detections.select("session", F.col("id").cast("long").alias("id"), "capture", "identity", F.col("id").cast("long").alias("cluster")))
+    order = F.struct((~F.col("forced").cast("boolean")).alias("weak"), (-F.col("score")).alias("score"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    known = at.select("session", "id")
+    links = pairs.join(known.withColumnRenamed("id", "a"), ["session", "a"], "left_semi").join(known.withColumnRenamed("id", "b"), ["session", "b"], "left_semi")
+    links = links.select("session", F.col("a").cast("long").alias("x"), F.col("b").cast("long").alias("y"), order.alias("order"))
+    while True:
+        links = links.where("x <> y").groupBy("session", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("order").alias("order"))
+        held = at.where("capture is not null").select("session", "cluster", "capture").distinct()
+        one, two = (held.withColumnRenamed("cluster", c) for c in "xy")
+        clash = links.join(one, ["session", "x"]).join(two, ["session", "y", "capture"]).select("session", "x", "y").distinct()
+        named = at.groupBy("session", "cluster").agg(F.min("identity").alias("identity"))
+        one, two = (named.select("session", F.col("cluster").alias(c), F.col("identity").alias(f"identity_{c}")) for c in "xy")
+        links = links.join(clash, ["session", "x", "y"], "left_anti").join(one, ["session", "x"]).join(two, ["session", "y"])
+        links = settled(links.where("identity_x is null or identity_y is null or identity_x = identity_y").select("session", "x", "y", "order"))
+        best = links.select("session", F.struct("order", "x", "y").alias("offer"), F.explode(F.array("x", "y")).alias("end")).groupBy("session", "end").agg(F.min("offer").alias("offer"))
+        joins = settled(best.groupBy("session", "offer").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("session", F.col("offer.x").alias("into"), F.col("offer.y").alias("cluster")))
+        if joins.isEmpty():
+            return at.select("session", "id", "cluster")
+        at = settled(at.join(joins, ["session", "cluster"], "left").select("session", "id", "capture", "identity", F.coalesce("into", "cluster").alias("cluster")))
+        for end in ("x", "y"):
+            links = links.join(joins.withColumnRenamed("cluster", end), ["session", end], "left").withColumn(end, F.coalesce("into", end)).drop("into")
 
 
 def representatives(clusters: DataFrame) -> DataFrame:

@@ -29,7 +29,21 @@ def rolling_median(df: DataFrame, group: list[str], order: list[Column], value:
     return df.withColumn(name, F.when(n > 0, middle))
 
 
-def order_statistic(df: DataFrame, group: list[str], value: str, share: float, name: str) -> DataFrame:
-    """The value at index floor(share * n) of the sorted values (no interpolation)."""
-    held = F.sort_array(F.collect_list(value))
-    return df.groupBy(*group).agg(F.get(held, F.least(F.floor(F.lit(share) * F.size(held)), F.size(held) - 1).cast("int")).alias(name))
+def order_statistic(df: DataFrame, group: list[str], value: str, share: float, name: str, bins: int = 1024) -> DataFrame:
+    """The value at index floor(share * n) of the sorted values (no interpolation); null values do not count.
+
+    Values are counted in ``bins`` equal ranges of their group, the bin that holds the index is found by running counts,
+    and only that bin's different values are put in order.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("__v"))
+    ends = rows.groupBy(*group).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.count(F.lit(1)).alias("__n"))
+    at = F.least(F.floor(F.lit(share) * F.col("__n")), F.col("__n") - 1)
+    width = F.col("__high").cast("double") - F.col("__low").cast("double")
+    bin_ = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("__v") - F.col("__low")) / width * bins))).otherwise(F.lit(0)).cast("int")
+    counts = rows.join(ends, group).withColumn("__at", at).groupBy(*group, "__at", bin_.alias("__bin"), "__v").agg(F.count(F.lit(1)).alias("__c"))
+    sums = counts.groupBy(*group, "__at", "__bin").agg(F.sum("__c").alias("__c"))
+    up = lambda *keys: Window.partitionBy(*group, *keys[:-1]).orderBy(keys[-1])
+    found = sums.withColumn("__end", F.sum("__c").over(up("__bin"))).withColumn("__from", F.col("__end") - F.col("__c")).where("__from <= __at and __at < __end")
+    values = counts.drop("__at").join(found.select(*group, "__bin", "__at", "__from"), [*group, "__bin"])
+    values = values.withColumn("__end", F.col("__from") + F.sum("__c").over(up("__bin", "__v"))).where("__at < __end")
+    return values.groupBy(*group).agg(F.min("__v").alias(name))

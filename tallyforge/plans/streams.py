@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.entity import constrained_clusters, greedy_swaps, representatives
@@ -90,11 +90,12 @@ def fragment_fold(t: Tables) -> DataFrame:
 
 @query()
 def cluster_dedup(t: Tables) -> DataFrame:
-    """Events of a user as detections; equal values of one kind may be the same thing."""
+    """Events of a user as detections; each may be the same thing as the next three of its range of values."""
     d = t.events.select(F.col("user_id").alias("session"), F.col("event_id").alias("id"), F.dayofmonth("ts").alias("capture"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("identity"), F.floor(F.col("value") / 4).alias("v"), "value")
-    a, b = d.alias("a"), d.alias("b")
-    pairs = a.join(b, (F.col("a.session") == F.col("b.session")) & (F.col("a.v") == F.col("b.v")) & (F.col("a.id") < F.col("b.id")))
-    pairs = pairs.select("a.session", F.col("a.id").alias("a"), F.col("b.id").alias("b"), (-F.abs(F.col("a.value") - F.col("b.value"))).alias("score"), F.lit(False).alias("forced"))
+    near = Window.partitionBy("session", "v").orderBy("value", "id")
+    after = F.array(*[F.struct(F.lead("id", i).over(near).alias("id"), F.lead("value", i).over(near).alias("value")) for i in (1, 2, 3)])
+    pairs = d.withColumn("after", after).select("session", F.col("id").alias("a"), "value", F.explode("after").alias("x")).where("x.id is not null")
+    pairs = pairs.select("session", F.least("a", "x.id").alias("a"), F.greatest("a", "x.id").alias("b"), (-F.abs(F.col("value") - F.col("x.value"))).alias("score"), F.lit(False).alias("forced"))
     return constrained_clusters(d, pairs)
 
 
