@@ -32,15 +32,18 @@ def inverted_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return words.select("id", F.size("words").alias("length"), F.explode("words").alias("token")).groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(index: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, id_col: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, rank): smaller is better, as in full-text engines that rank by negated BM25.
 
-    The index is filtered to the query's tokens before anything is joined; corpus counts are one-row aggregates.
+    Each document leaves only the query's tokens, so no other token is shuffled; corpus counts are one-row aggregates
+    over the documents' lengths. Documents without a token do not count.
     """
-    corpus = index.select("id", "length").distinct().agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
-    hits = index.where(F.col("token").isin(query))
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("words")).where(F.size("words") > 0)
+    corpus = words.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("words")).alias("mean"))
+    wanted = F.explode(F.filter("words", lambda x: x.isin(query))).alias("token")
+    hits = words.select("id", F.size("words").alias("length"), wanted).groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
     found = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(found, "token").join(F.broadcast(corpus))  # one row
+    rows = hits.join(F.broadcast(found), "token").join(F.broadcast(corpus))  # a row for each query token, and one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     return rows.groupBy("id").agg((-F.sum(weight)).alias("rank"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collector_number, name_norm, word_number
 from ..operators.rank import best_per_key
-from ..operators.search import bm25, inverted_index, match_class, resolve_in_stages, token_matches, trigram_similarity
+from ..operators.search import bm25, match_class, resolve_in_stages, token_matches, trigram_similarity
 from .registry import Tables, query
 
 
@@ -61,7 +61,7 @@ SELECT id, round(-sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf +
 FROM h JOIN f USING (token), c GROUP BY id
 """)
 def search_bm25(t: Tables) -> DataFrame:
-    found = bm25(inverted_index(t.documents, "doc_id", "text"), ["und", "the", "thoning", "que"])
+    found = bm25(t.documents, "doc_id", "text", ["und", "the", "thoning", "que"])
     return found.select("id", F.round("rank", 6).alias("rank"))
 
 
