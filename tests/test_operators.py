@@ -116,10 +116,14 @@ def test_catalogue(spark, tmp_path):
 
 
 def test_listing(spark):
-    body = "Commander\n1 Big One (ABC) 12 *F*\n\nDeck:\n4x Plain [xyz]\nOdd Name\n// note\nSideboard (3)\n2 Last"
+    body = "Commander\n1 Big One (ABC) 12 *F*\n\nDeck:\n4x Plain [xyz]\nOdd Name\n// note\n// Sideboard\n2 Last\nxantid swarm\n2nd sunrise thing\n4 x Two (AB) [Ramp,x y] ^own^\nName My list\nConsidering\n12\n1 Top [Commander{top}] *E*"
     lines = listing.exploded_lines(spark.createDataFrame([(1, body)], "k int, t string"), ["k"], "t")
     got = [(r.zone, r.quantity, r.name, r.set_code, r.collector_number, r.finish) for r in listing.parsed_listing(lines, ["k"]).orderBy("line_no").collect()]
-    assert got == [("commander", 1, "Big One", "abc", "12", "foil"), ("main", 4, "Plain", "xyz", None, "nonfoil"), ("main", 1, "Odd Name", None, None, "nonfoil"), ("side", 2, "Last", None, None, "nonfoil")]
+    assert got == [
+        ("commander", 1, "Big One", "abc", "12", "foil"), ("deck", 4, "Plain", "xyz", None, "nonfoil"), ("deck", 1, "Odd Name", None, None, "nonfoil"), ("sideboard", 2, "Last", None, None, "nonfoil"),
+        ("sideboard", 1, "xantid swarm", None, None, "nonfoil"), ("sideboard", 1, "2nd sunrise thing", None, None, "nonfoil"), ("sideboard", 4, "Two", "ab", None, "nonfoil"),
+        ("maybeboard", 1, "12", None, None, "nonfoil"), ("commander", 1, "Top", None, None, "etched"),
+    ]
     names = listing.player_names(spark.createDataFrame([(1, "1. Ann\n- Bob\n\nann\n3) Cy")], "k int, t string"), ["k"], "t")
     assert [r.name for r in names.orderBy("line_no").collect()] == ["Ann", "Bob", "Cy"]
     assert one(spark, listing.csv_line(F.lit('a"b'), F.lit(None), F.lit("x,y"))) == '"a""b",,"x,y"'
@@ -164,6 +168,32 @@ def test_swiss_pairs_properties(spark):
         assert not any({r.a, r.b} == {1, 2} for r in rows if r.contest == c)
 
 
+def test_swiss_pairs_of_many_players(spark):
+    for n in (128, 129):
+        players = spark.createDataFrame([(0, p, p, 3 * ((n - p) // 26), int(p == 129)) for p in range(1, n + 1)], "contest int, player int, rank int, points int, byes int")
+        met = spark.createDataFrame([(0, p, p + 5, 1) for p in range(1, n - 5)], "contest int, a int, b int, met int")
+        rows = contest.swiss_pairs(players, met).collect()
+        seen = sorted(x for r in rows for x in (r.a, r.b) if x is not None)
+        byes = [r.a for r in rows if r.b is None]
+        assert seen == list(range(1, n + 1)) and len(byes) == n % 2 and 129 not in byes  # no second bye
+        assert not any(abs(r.a - r.b) == 5 for r in rows if r.b is not None)
+
+
+def test_swiss_rematches_are_swapped_away(spark):
+    """Four players of whom the last two would have to meet again."""
+    players = spark.createDataFrame([(0, p, p) for p in range(4)], "contest int, player int, rank int")
+    met = spark.createDataFrame([(0, 2, 3, 1), (0, 0, 2, 1), (0, 1, 3, 1)], "contest int, a int, b int, met int")
+    assert {frozenset((r.a, r.b)) for r in contest.swiss_pairs(players, met).collect()} == {frozenset((0, 3)), frozenset((1, 2))}
+
+
+def test_pods_part_who_have_met(spark):
+    players = spark.createDataFrame([(0, p, p) for p in range(16)], "contest int, player int, rank int")
+    plain = {r.player: r.pod for r in contest.pods(players).collect()}
+    together = [(0, a, b, 1) for a in range(16) for b in range(a + 1, 16) if plain[a] == plain[b]]
+    now = {r.player: r.pod for r in contest.pods(players, spark.createDataFrame(together, "contest int, a int, b int, met int")).collect()}
+    assert sum(now[a] == now[b] for _, a, b, _ in together) <= 4 and sorted(list(now.values()).count(k) for k in range(4)) == [4] * 4
+
+
 def test_pods_use_every_player_once(spark):
     rows = contest.pods(spark.createDataFrame([(0, p, p) for p in range(14)], "contest int, player int, rank int")).collect()
     sizes = [sum(r.pod == k for r in rows) for k in {r.pod for r in rows}]
