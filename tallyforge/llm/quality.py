@@ -229,7 +229,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             meta = meta_features(piece).astype(np.uint8)
             packed = [np.ascontiguousarray(x) for x in (text, np.packbits(meta, axis=1))]
             columns = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(x)]).cast(pa.binary()) for x in packed]
-            yield pa.RecordBatch.from_arrays([*piece.columns[:2], *columns], ["doc_id", "label", "text_view", "meta_view"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), *columns], ["doc_id", "text_view", "meta_view"])
 
 
 def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -285,16 +285,17 @@ def featured(docs: DataFrame, labels: DataFrame | None = None, label_col: str =
 
     Several labels of one doc_id count as their rounded mean.
     """
-    docs = _plain(docs)
+    columns = ["doc_id", "text", "source", "lang", "n_chars"]
+    rows = _plain(docs).select(columns).mapInArrow(_feature_rows, "doc_id long, text_view binary, meta_view binary")
     if labels is None:
-        rows = docs.withColumn("label", F.lit(-1))
+        rows = rows.withColumn("label", F.lit(-1))
     else:
         told = labels.select(F.col("doc_id").cast("long"), F.col(label_col).cast("double").alias("label")).where("doc_id is not null and label is not null")
         told = told.groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
-        rows = docs.select("doc_id").distinct().join(told, "doc_id")
-        rows = docs.join(materialize(rows, "labels"), "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
-    rows = rows.select("doc_id", "label", "text", "source", "lang", "n_chars").mapInArrow(_feature_rows, "doc_id long, label int, text_view binary, meta_view binary")
-    return materialize(rows.withColumn("apart", F.coalesce(F.pmod(F.xxhash64(F.lit("apart"), "doc_id"), F.lit(5)) == 0, F.lit(False))), "features")
+        # features, not texts, meet the labels, by a merge at every size as both grow
+        rows = rows.join(told.hint("merge"), "doc_id", "left").withColumn("label", F.coalesce("label", F.lit(-1)))
+    apart = F.coalesce(F.pmod(F.xxhash64(F.lit("apart"), "doc_id"), F.lit(5)) == 0, F.lit(False))
+    return materialize(rows.select("doc_id", "label", "text_view", "meta_view", apart.alias("apart")), "features")
 
 
 def learn(features: DataFrame, rounds: int = ROUNDS, calibrated: int = CALIBRATED) -> dict:
