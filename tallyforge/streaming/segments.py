@@ -69,28 +69,41 @@ def segments(frames: DataFrame, split: int = 20) -> DataFrame:
     return frames.groupBy("capture").applyInPandas(run, OUT)
 
 
-def segments_streamed(frames: DataFrame, split: int = 20) -> DataFrame:
-    """The same over a stream: a frame of kind ``final`` ends its capture. Frames of a batch are put in order of idx."""
+def _streamed_step(split: int, idle_ms: int | None):
+    """One batch of one capture, or its time-out: takes the stored state further and gives the groups that close."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         machine = Segmenter(split, state=tuple(state.get) if state.exists else None)
-        rows = pd.concat(list(batches)).sort_values("idx")
-        closed, over = [], False
-        for idx, kind, sig, x in rows[["idx", "kind", "sig", "x"]].itertuples(index=False):
-            if kind == "final":
-                over = True
-                if machine.frames:
-                    closed.append(machine.close("end"))
-            elif out := machine.push(idx, kind, sig, x):
-                closed.append(out)
+        closed, over = [], state.hasTimedOut
+        if not over:
+            for idx, kind, sig, x in pd.concat(list(batches)).sort_values("idx")[["idx", "kind", "sig", "x"]].itertuples(index=False):
+                if kind == "final":
+                    over = True
+                elif out := machine.push(idx, kind, sig, x):
+                    closed.append(out)
         if over:
+            if machine.frames:
+                closed.append(machine.close("end"))
             state.remove()
         else:
             state.update(machine.state())
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield _rows(key[0], closed)
 
+    return run
+
+
+def segments_streamed(frames: DataFrame, split: int = 20, idle_ms: int | None = None) -> DataFrame:
+    """The same over a stream: a frame of kind ``final`` ends its capture. Frames of a batch are put in order of idx.
+
+    With ``idle_ms``, a capture without frames for so long (processing time) ends too, so that state is kept for live
+    captures only; frames that come after that open a capture anew, with groups numbered from one. Sources that do not
+    end every capture need it, under a ``processingTime`` trigger: with ``availableNow`` such a stream would wait for
+    time-outs without end. Without it, state stays until ``final`` comes.
+    """
     stored = "number int, first long, last long, frames int, sig long, x double, worst int, empties int"
-    return frames.groupBy("capture").applyInPandasWithState(run, OUT, stored, "append", "NoTimeout")
+    return frames.groupBy("capture").applyInPandasWithState(_streamed_step(split, idle_ms), OUT, stored, "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
 
 
 def contiguous_prefix(groups: DataFrame, capture: str, number: str, final: str) -> DataFrame:
@@ -103,7 +116,10 @@ def contiguous_prefix(groups: DataFrame, capture: str, number: str, final: str)
 
 
 def ingested_once(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Idempotent ingest: a key that comes again is the same row. On a stream, state is kept for every key."""
+    """Idempotent ingest of a table: a key that comes again is the same row. Streams take ``flows.ingested_once``, whose
+    state a watermark bounds; they are refused here."""
+    if rows.isStreaming:
+        raise ValueError("a stream needs flows.ingested_once, which bounds its state by a watermark")
     return rows.dropDuplicates(keys)
 
 

@@ -6,6 +6,7 @@ import itertools
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from tallyforge.functions.predicates import Predicates, java_regex, split_match
 from tallyforge.operators import contest, entity, multiset, rank, rules, upsert
 from tallyforge.sources import catalog, listing
 from tallyforge.functions import quality
-from tallyforge.streaming.segments import LiveSegmenter, Segmenter, contiguous_prefix, folded, segments, segments_streamed
+from tallyforge.streaming.segments import LiveSegmenter, Segmenter, _streamed_step, contiguous_prefix, folded, ingested_once, segments, segments_streamed
 
 
 def one(spark, col):
@@ -234,6 +235,36 @@ def test_segments_batch_equals_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("segments").collect())) == batch
 
 
+class Stored:
+    """The state of one capture as the stream's step sees it."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.wait = None, False, False, None
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def setTimeoutDuration(self, ms):
+        self.wait = ms
+
+
+def test_idle_captures_end_and_leave_no_state():
+    step, state = _streamed_step(20, 5000), Stored()
+    rows = pd.DataFrame([(7, 1, "stable", 0, 0.0), (7, 0, "stable", 0, 0.0)], columns=["capture", "idx", "kind", "sig", "x"])
+    assert pd.concat(step((7,), iter([rows]), state)).empty and state.exists and state.wait == 5000
+    state.hasTimedOut = True
+    assert pd.concat(step((7,), iter([]), state)).values.tolist() == [[7, 1, 0, 1, 2, "end"]]
+    assert not state.exists
+
+
+def test_unbounded_ingest_of_streams_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="watermark"):
+        ingested_once(spark.readStream.schema("k string").parquet(str(tmp_path)), ["k"])
+
+
 def test_segment_rules():
     def run(*kinds, sigs=None):
         m = Segmenter()
