@@ -5,7 +5,8 @@ have equal anchors, so the corpus falls into reference shards (all text around o
 apart. Within a shard, the stretches that share one anchor occurrence ("stretches") are taken in document order:
 a stretch equal to an earlier one is repeated as a whole; each other stretch streams through the suffix automaton
 of the shard's earlier stretches, and runs whose matching statistic reaches ``window`` are repeated.
-Shards above ``most`` different stretches take an exact window-hash aggregation instead, which Spark spreads over tasks.
+A shard above ``most`` different stretches is cut again by a longer anchor, up to the window itself, where each shard is
+one window and a stretch can only be equal as a whole.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .shared import discard, gram_hashes, hash_spans, materialize, mix, range_hashes, row_pieces, text_bytes, words_of
 
-ANCHOR = 6
-#: Different stretches of one shard that one automaton takes.
+#: Words of the first anchor, and words it grows by where a shard is cut again.
+ANCHOR, GROWS = 6, 7
+#: Different stretches of one shard that one automaton takes; larger shards are cut again.
 MOST = 2000
 
 
@@ -40,13 +42,12 @@ def _leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def stretches(words: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """(row, start in the row, windows, anchor hash, content hash) of each stretch of hashed words."""
+def stretches(words: np.ndarray, rows: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """(row, start in the row, windows, anchor hash, content hash) of each stretch of hashed words; anchors have ``anchor`` words."""
     sizes = np.diff(rows)
     if len(words) < window:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    anchor = min(ANCHOR, window)
     grams = gram_hashes(words, anchor)
     chosen = _leftmost_minimum(grams, window - anchor + 1)
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -62,46 +63,69 @@ def stretches(words: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndar
     return row[first], first - rows[row[first]], many, grams[chosen[first]], content
 
 
-def _stretch_rows(window: int):
-    """Stretches of each piece of rows, combined before the shuffle.
+#: ``base`` is where the row that a stretch was cut from starts in its document.
+STRETCH = "anchor long, content long, doc_id long, start int, base int, windows int, known boolean"
+
+
+def _stretch_batch(row: np.ndarray, doc: np.ndarray, start: np.ndarray, base: np.ndarray, many: np.ndarray, anchor: np.ndarray, content: np.ndarray, window: int) -> pa.RecordBatch:
+    """Stretches of a piece of rows, combined before the shuffle.
 
     Of equal stretches of a piece only the first in document order is left to compare; the others are repeats wherever
     the first of all is. They leave as merged spans with ``known`` set and a key of their own, so that a stretch that
     fills the corpus is no hot key.
     """
+    order = np.lexsort((start, doc, content))
+    first = order[np.maximum.accumulate(np.where(np.r_[True, content[order][1:] != content[order][:-1]], np.arange(len(order)), 0))]
+    later = order[(doc[order] != doc[first]) | (start[order] != start[first])]
+    repeat = np.zeros(len(row), bool)
+    repeat[later] = True
+    at = np.flatnonzero(repeat)
+    end = start[at] + many[at] + window - 1
+    opens = np.flatnonzero(np.r_[True, (row[at][1:] != row[at][:-1]) | (start[at][1:] > end[:-1])]) if len(at) else at
+    head, tail = at[opens], (at[np.r_[opens[1:], len(at)] - 1] if len(at) else at)
+    size = start[tail] + many[tail] - start[head]
+    own = mix(doc[head].astype(np.uint64) ^ mix(start[head].astype(np.uint64)))
+    new = ~repeat
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.r_[anchor[new], own].view(np.int64)),
+            pa.array(np.r_[content[new], own].view(np.int64)),
+            pa.array(np.r_[doc[new], doc[head]]),
+            pa.array(np.r_[start[new], start[head]].astype(np.int32)),
+            pa.array(np.r_[base[new], base[head]].astype(np.int32)),
+            pa.array(np.r_[many[new], size].astype(np.int32)),
+            pa.array(np.r_[np.zeros(int(new.sum()), bool), np.ones(len(head), bool)]),
+        ],
+        ["anchor", "content", "doc_id", "start", "base", "windows", "known"],
+    )
+
+
+def _stretch_rows(window: int, width: int):
+    """The stretches of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in row_pieces(batch, "text"):
                 body, offsets = text_bytes(piece.column(1))
                 starts, ends, rows = words_of(body, offsets)
-                row, start, many, anchor, content = stretches(hash_spans(body, starts, ends), rows, window)
-                if not len(row):
-                    continue
-                doc = piece.column(0).to_numpy()[row]
-                order = np.lexsort((start, doc, content))
-                first = order[np.maximum.accumulate(np.where(np.r_[True, content[order][1:] != content[order][:-1]], np.arange(len(order)), 0))]
-                later = order[(doc[order] != doc[first]) | (start[order] != start[first])]
-                repeat = np.zeros(len(row), bool)
-                repeat[later] = True
-                at = np.flatnonzero(repeat)
-                end = start[at] + many[at] + window - 1
-                opens = np.flatnonzero(np.r_[True, (row[at][1:] != row[at][:-1]) | (start[at][1:] > end[:-1])]) if len(at) else at
-                head, tail = at[opens], (at[np.r_[opens[1:], len(at)] - 1] if len(at) else at)
-                size = start[tail] + many[tail] - start[head]
-                own = mix(doc[head].astype(np.uint64) ^ mix(start[head].astype(np.uint64)))
-                new = ~repeat
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.r_[anchor[new], own].view(np.int64)),
-                        pa.array(np.r_[content[new], own].view(np.int64)),
-                        pa.array(np.r_[doc[new], doc[head]]),
-                        pa.array(np.r_[start[new], start[head]].astype(np.int32)),
-                        pa.array(np.r_[many[new], size].astype(np.int32)),
-                        pa.array(np.r_[np.zeros(int(new.sum()), bool), np.ones(len(head), bool)]),
-                    ],
-                    ["anchor", "content", "doc_id", "start", "windows", "known"],
-                )
+                row, start, many, anchor, content = stretches(hash_spans(body, starts, ends), rows, window, width)
+                if len(row):
+                    yield _stretch_batch(row, piece.column(0).to_numpy()[row], start, np.zeros(len(row), np.int32), many, anchor, content, window)
+
+    return run
+
+
+def _narrower_rows(window: int, width: int):
+    """The stretches, by longer anchors, of stretches of too large a shard; starts stay those of the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in row_pieces(batch, "words"):
+                doc, base, packed = piece.column(0).to_numpy(), piece.column(1).to_numpy(), piece.column(2).to_pylist()
+                rows = np.cumsum([0, *(len(p) // 8 for p in packed)])
+                row, start, many, anchor, content = stretches(np.frombuffer(b"".join(packed), np.uint64), rows, window, width)
+                if len(row):
+                    yield _stretch_batch(row, doc[row], base[row] + start, base[row], many, anchor, content, window)
 
     return run
 
@@ -181,21 +205,30 @@ def _long_runs(found: list[int], window: int) -> list[tuple[int, int]]:
 
 
 def _automaton_spans(window: int):
-    """Rows come sorted by (anchor, doc_id, start); only one shard's automaton is held at a time."""
+    """Rows come sorted by (anchor, doc_id, start); only one shard's automaton is held at a time.
+
+    Different texts at one place wait for each other, as a place is no repeat of itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, automaton = None, SuffixAutomaton()
+        automaton, here, waiting = SuffixAutomaton(), None, {}
         for batch in batches:
             docs, starts, ends = [], [], []
             for anchor, doc, start, packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if anchor != shard:
-                    shard, automaton = anchor, SuffixAutomaton()
-                symbols = np.frombuffer(packed, np.int64).tolist()
+                if here != (anchor, doc, start):
+                    if here and here[0] == anchor:
+                        for symbols in waiting.values():
+                            automaton.add(symbols)
+                    else:
+                        automaton = SuffixAutomaton()
+                    here, waiting = (anchor, doc, start), {}
+                if packed in waiting:
+                    continue
+                waiting[packed] = symbols = np.frombuffer(packed, np.int64).tolist()
                 for a, b in _long_runs(automaton.matching(symbols), window):
                     docs.append(doc)
                     starts.append(start + a)
                     ends.append(start + b)
-                automaton.add(symbols)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "start", "end"])
 
     return run
@@ -229,23 +262,6 @@ def _content_rows(window: int):
     return run
 
 
-def _window_rows(window: int):
-    """One row for each window of a stretch: two hashes and its place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            anchors, hashes, docs, at = [], [], [], []
-            for anchor, doc, start, packed in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                h = gram_hashes(np.frombuffer(packed, np.uint64), window)
-                anchors += [anchor] * len(h)
-                hashes += mix(h ^ np.uint64(1)).view(np.int64).tolist()
-                docs += [doc] * len(h)
-                at += range(start, start + len(h))
-            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(hashes, pa.int64()), pa.array(docs, pa.int64()), pa.array(at, pa.int32())], ["anchor", "window", "doc_id", "start"])
-
-    return run
-
-
 def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in row_pieces(batch, "text", 4 << 20):
@@ -277,35 +293,49 @@ def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, most: int = MOST) -> DataFrame:
-    """(doc_id, start, end) word spans covered by windows that also start earlier; spans may overlap.
+def _shards(found: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of stretches that are equal to an earlier one, and the first of each different stretch of shards with several.
 
-    ``docs`` has doc_id and text. Earlier means a smaller doc_id, or the same document and an earlier start.
+    The latter are (anchor, doc_id, start, base, windows, different); ``different`` counts the stretches of the shard.
     """
-    last = F.lit(window - 1)
-    found = materialize(docs.mapInArrow(_stretch_rows(window), "anchor long, content long, doc_id long, start int, windows int, known boolean"), "stretches")
-    known = materialize(found.where("known").select("doc_id", "start", (F.col("start") + F.col("windows") + last).cast("int").alias("end")), "known-spans")
+    end = (F.col("start") + F.col("windows") + F.lit(window - 1)).cast("int").alias("end")
+    known = materialize(found.where("known").select("doc_id", "start", end), "known-spans")
     # counts combine before the shuffle and are written, so that hot anchors meet their rows in joins of plain tables, which Spark can split
     held = materialize(found.where("not known").groupBy("anchor").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("anchor"), "shared-anchors")
-    live = materialize(found.where("not known").join(held, "anchor").select("anchor", "content", "doc_id", "start", "windows"), "live-stretches")
+    live = materialize(found.where("not known").join(held, "anchor").drop("known"), "live-stretches")
     discard(found)
-    place = F.struct("doc_id", "start")
-    contents = materialize(live.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.max("windows").alias("windows"), F.count(F.lit(1)).alias("n")), "contents")
-    repeats = live.join(contents.where("n > 1").select("anchor", "content", "first"), ["anchor", "content"]).where(place != F.col("first"))
-    whole = known.unionByName(repeats.select("doc_id", "start", (F.col("start") + F.col("windows") + last).cast("int").alias("end")))
-
+    first = F.min(F.struct("doc_id", "start", "base")).alias("first")
+    contents = materialize(live.groupBy("anchor", "content").agg(first, F.max("windows").alias("windows"), F.count(F.lit(1)).alias("n")), "contents")
+    repeats = live.join(contents.where("n > 1").select("anchor", "content", "first"), ["anchor", "content"]).where("doc_id != first.doc_id or start != first.start")
     shards = materialize(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")).where("different > 1"), "shards")
-    wanted = contents.join(shards, "anchor").select("first.*", "windows", "anchor", "different")
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", "different")).alias("wanted"))
-    content = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_content_rows(window), "anchor long, different long, doc_id long, start int, words binary")
-    content = materialize(content, "stretch-words")
-    parts = content.where(F.col("different") <= most).select("anchor", "doc_id", "start", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    matched = parts.mapInArrow(_automaton_spans(window), "doc_id long, start int, end int")
+    return known.unionByName(repeats.select("doc_id", "start", end)), contents.join(shards, "anchor").select("anchor", "first.*", "windows", "different")
+
 
-    windows = content.where(F.col("different") > most).select("anchor", "doc_id", "start", "words").mapInArrow(_window_rows(window), "anchor long, window long, doc_id long, start int")
-    firsts = materialize(windows.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first-windows")
-    hot = windows.join(firsts, ["anchor", "window"]).where(place != F.col("first")).select("doc_id", "start", (F.col("start") + window).cast("int").alias("end"))
-    return whole.unionByName(matched).unionByName(hot)
+def repeated_spans(docs: DataFrame, window: int = 20, most: int = MOST) -> DataFrame:
+    """(doc_id, start, end) word spans covered by windows that also start earlier; spans may overlap.
+
+    ``docs`` has doc_id and text. Earlier means a smaller doc_id, or the same document and an earlier start.
+    """
+    width = min(ANCHOR, window)
+    found = materialize(docs.mapInArrow(_stretch_rows(window, width), STRETCH), "stretches")
+    spans, different = _shards(found, window)
+    wanted = different.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", "different")).alias("wanted"))
+    content = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_content_rows(window), "anchor long, different long, doc_id long, start int, words binary")
+    while True:
+        content = materialize(content, "stretch-words")
+        parts = content.where(F.col("different") <= most).select("anchor", "doc_id", "start", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
+        spans = spans.unionByName(parts.mapInArrow(_automaton_spans(window), "doc_id long, start int, end int"))
+        large = content.where(F.col("different") > most).select("doc_id", F.col("start").alias("base"), "words").distinct()
+        if width == window or large.isEmpty():
+            return spans
+        large = materialize(large, "large-shards")
+        width = min(width + GROWS, window)
+        found = materialize(large.mapInArrow(_narrower_rows(window, width), STRETCH), "stretches")
+        whole, different = _shards(found, window)
+        spans = spans.unionByName(whole)
+        size = 8 * (F.col("windows") + window - 1)
+        content = different.join(large, ["doc_id", "base"]).withColumn("words", F.col("words").substr(8 * (F.col("start") - F.col("base")) + 1, size))
+        content = content.where(F.octet_length("words") == size).select("anchor", "different", "doc_id", "start", "words")
 
 
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, most: int = MOST) -> DataFrame:
@@ -320,7 +350,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_spans(rows.where("doc_id is not null"), window, most)
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    by_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     return rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_kept_texts, "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string")
 
 

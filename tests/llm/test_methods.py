@@ -579,6 +579,33 @@ def test_substrings_against_brute_force(spark, docs, most):
     assert kept(substring.remove_repeated_spans(table(spark, texts), window=5, most=most)) == brute_spans(list(enumerate(texts)), 5)
 
 
+@pytest.mark.parametrize("most", [substring.MOST, 30, 3])
+def test_substrings_of_shards_cut_again(spark, most):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    passage = r.sample(words, 34)
+    texts = []
+    for _ in range(240):  # passages of every length from 6 words on, at every place, in text of their own
+        a, n = r.randrange(20), r.randrange(6, 30)
+        texts.append(" ".join([*r.choices(words, k=r.randrange(30)), *passage[a : a + n], *r.choices(words, k=r.randrange(30)), *passage[:8], *r.choices(words, k=20)]))
+    assert kept(substring.remove_repeated_spans(table(spark, texts), most=most)) == brute_spans(list(enumerate(texts)))
+
+
+def test_substrings_of_a_repeated_row(spark):
+    texts = ["a b c d e f g h", "a b c d e x y z", "q a b c d e f w"]
+    want = brute_spans(list(enumerate(texts)), 5)
+    rows = [(i, t) for i, t in enumerate(texts) for _ in range(3)]
+    for most in (substring.MOST, 1):
+        got = substring.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), window=5, most=most)
+        assert got.count() == 9 and kept(got) == want
+    r = random.Random(3)
+    texts = [" ".join(r.choices("abc", k=30)) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(texts) for _ in range(2)]
+    for most in (substring.MOST, 1):
+        got = substring.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), window=8, most=most)
+        assert kept(got) == brute_spans(list(enumerate(texts)), 8)
+
+
 def test_matching_statistics():
     r = random.Random(2)
     for _ in range(20):
