@@ -47,6 +47,6 @@ def apportion(df: DataFrame, keys: list[str], weight: str, total: Column, order:
 
 
 def seeded_sample(df: DataFrame, keys: list[str], id_col: str, n: int, seed: int) -> DataFrame:
-    """n rows, one for each key, in the order of a hash of seed and id."""
-    one = best_per_key(df.withColumn("__h", F.xxhash64(F.lit(seed), id_col)), keys, [F.col("__h"), F.col(id_col)])
+    """n rows, one for each key, in the order of the MD5 of ``seed/id``."""
+    one = best_per_key(df.withColumn("__h", F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))), keys, [F.col("__h"), F.col(id_col)])
     return one.orderBy("__h", id_col).limit(n).drop("__h")

@@ -169,7 +169,10 @@ def having_between(t: Tables) -> DataFrame:
     return t.part.groupBy(F.col("p_type").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_brand").alias("brands")).where(F.col("brands").between(2, 25))
 
 
-@query()
+@query("""
+SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY md5('7/' || p_partkey), p_partkey) AS r FROM part)
+WHERE r = 1 ORDER BY md5('7/' || p_partkey), p_partkey LIMIT 10
+""")
 def sampled_variants(t: Tables) -> DataFrame:
     """Ten brands, one variant each, by a seeded hash: the same rows on every run."""
     return seeded_sample(t.part, ["p_brand"], "p_partkey", 10, 7).select("p_brand", "p_partkey")

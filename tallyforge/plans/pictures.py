@@ -13,7 +13,7 @@ from ..operators.statistics import order_statistic
 from .registry import Tables, query
 
 BOXES = """
-WITH b AS (SELECT label AS g, vec_id AS id, CAST(embedding[1] AS DOUBLE) AS "left", CAST(embedding[2] AS DOUBLE) AS top,
+WITH RECURSIVE b AS (SELECT label AS g, vec_id AS id, CAST(embedding[1] AS DOUBLE) AS "left", CAST(embedding[2] AS DOUBLE) AS top,
   CAST(embedding[1] AS DOUBLE) + 0.1 AS "right", CAST(embedding[2] AS DOUBLE) + 0.1 AS bottom, CAST(embedding[3] AS DOUBLE) AS score FROM embeddings),
 o AS (SELECT x.g, x.id AS a, y.id AS b, greatest(0, least(x."right", y."right") - greatest(x."left", y."left")) * greatest(0, least(x.bottom, y.bottom) - greatest(x.top, y.top)) AS both_
   FROM b x JOIN b y ON x.g = y.g AND x.id < y.id),
@@ -43,7 +43,13 @@ def best_overlap(t: Tables) -> DataFrame:
     return pairs(t).groupBy("g", "a").agg(F.min_by("b", F.struct(-F.col("iou"), F.col("b"))).alias("b"))
 
 
-@query()
+@query(BOXES + """
+, near AS (SELECT g, a AS id, b AS other FROM p UNION ALL SELECT g, b, a FROM p),
+l AS (SELECT b.g, b.id, row_number() OVER (PARTITION BY b.g ORDER BY score DESC, b.id) AS n, (SELECT coalesce(list(other), []) FROM near WHERE near.g = b.g AND near.id = b.id) AS others FROM b),
+r AS (SELECT g, n, [id] AS kept FROM l WHERE n = 1
+  UNION ALL SELECT l.g, l.n, CASE WHEN list_has_any(kept, others) THEN kept ELSE list_append(kept, l.id) END FROM r JOIN l ON l.g = r.g AND l.n = r.n + 1)
+SELECT g, unnest(max_by(kept, n)) AS id FROM r GROUP BY g
+""")
 def suppressed_boxes(t: Tables) -> DataFrame:
     """The boxes that greedy suppression keeps."""
     return suppressed(boxes(t), pairs(t), ["g"]).select("g", "id")
@@ -58,7 +64,14 @@ def reading_order(t: Tables) -> DataFrame:
     return boxes(t).select("g", "id", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query()
+@query("""
+WITH RECURSIVE w AS (SELECT CAST(c_nationkey AS BIGINT) AS a, o_orderkey % 25 AS b, count(*) AS weight FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+p AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(weight) AS weight FROM w WHERE a <> b GROUP BY 1, 2),
+e AS (SELECT *, row_number() OVER (ORDER BY weight DESC, a, b) AS n FROM p),
+u AS (SELECT a, b, n FROM e UNION ALL SELECT b, a, n FROM e),
+reach AS (SELECT n, a AS node FROM e UNION SELECT reach.n, u.b FROM reach JOIN u ON u.a = reach.node AND u.n < reach.n)
+SELECT a, b, weight FROM e WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.n = e.n AND reach.node = e.b)
+""")
 def registration_forest(t: Tables) -> DataFrame:
     """Nations that trade most, joined in a maximum spanning forest."""
     return spanning_forest(trade(t))
@@ -69,7 +82,16 @@ def trade(t: Tables) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id % 20 AS contest, event_id AS seq, user_id AS player, CAST(floor(value) AS BIGINT) AS amount,
+  CASE WHEN event_type = 'error' THEN 'undo' WHEN event_type = 'signup' AND value > 80 THEN 'drop' ELSE 'add' END AS kind FROM events),
+d AS (SELECT contest, player, min(seq) AS closed FROM e WHERE kind = 'drop' GROUP BY 1, 2),
+c AS (SELECT e.*, row_number() OVER (PARTITION BY contest ORDER BY seq) AS n FROM e LEFT JOIN d USING (contest, player) WHERE kind = 'undo' OR kind = 'add' AND (closed IS NULL OR seq < closed)),
+r AS (SELECT DISTINCT contest, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS stack FROM c
+  UNION ALL SELECT c.contest, c.n, CASE kind WHEN 'add' THEN list_append(stack, seq) ELSE stack[1:len(stack) - 1] END FROM r JOIN c ON c.contest = r.contest AND c.n = r.n + 1),
+s AS (SELECT unnest(max_by(stack, n)) AS seq FROM r GROUP BY contest)
+SELECT contest, player, CAST(sum(amount) AS BIGINT) AS score, count(*) AS changes FROM s JOIN e USING (seq) GROUP BY 1, 2
+""")
 def command_replay(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_type") == "error", "undo").when((F.col("event_type") == "signup") & (F.col("value") > 80), "drop").otherwise("add")
     rows = t.events.select((F.col("user_id") % 20).alias("contest"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("user_id").alias("player"), F.floor("value").alias("amount"))
