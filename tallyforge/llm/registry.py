@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, lines, pieces, quality, sharding, simhash, substring, topk, warc
+from . import decontaminate, langid, lines, pieces, quality, resample, sharding, simhash, substring, topk, warc
 
 QUERIES = {
     "op1_shards": sharding.query,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_substring": substring.query,
     "op10_quality": quality.query,
+    "op11_resample": resample.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": topk.SQL,
     "op8_warc": warc.SQL,
+    "op11_resample": resample.SQL,
 }

@@ -56,6 +56,26 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Tasks that add up the vectors of partitions.
+SUMS = 4
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for batch in batches:
+        for packed in batch.column(0):
+            mine = np.frombuffer(packed.as_buffer(), np.float64)
+            total = mine if total is None else total + mine
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+
+def added_up(vectors: DataFrame, size: int) -> np.ndarray:
+    """The sum of a column of packed doubles, ``size`` a row; tasks add up what partitions bring, the driver adds SUMS rows."""
+    rows = vectors.repartition(SUMS).mapInArrow(_added, "sums binary").collect()
+    return sum((np.frombuffer(r.sums, np.float64) for r in rows), np.zeros(size))
+
+
 # --------------------------------------------------------------------------- texts in Arrow batches
 
 
