@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, lines, pieces, quality, resample, sharding, simhash, substring, topk, warc
+from . import collocations, decontaminate, langid, lines, pieces, quality, resample, sharding, simhash, substring, topk, warc
 
 QUERIES = {
     "op1_shards": sharding.query,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_substring": substring.query,
     "op10_quality": quality.query,
     "op11_resample": resample.query,
+    "op12_collocations": collocations.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": topk.SQL,
     "op8_warc": warc.SQL,
     "op11_resample": resample.SQL,
+    "op12_collocations": collocations.SQL,
 }
