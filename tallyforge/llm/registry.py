@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, decontaminate, langid, lines, pieces, quality, resample, sharding, simhash, substring, topk, warc
+from . import collocations, decontaminate, langid, lines, pieces, quality, resample, sharding, simhash, substring, topk, toxicity, warc
 
 QUERIES = {
     "op1_shards": sharding.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality": quality.query,
     "op11_resample": resample.query,
     "op12_collocations": collocations.query,
+    "op13_toxicity": toxicity.query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": topk.SQL,
