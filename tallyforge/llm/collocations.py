@@ -1,9 +1,10 @@
 """Collocations by count streams in prefix and suffix order.
 
-Counting: a phrase that occurs often has only words and word pairs that do. A first pass adds up hashed counters of words
-and pairs in a table of fixed size; a second pass counts, as exact strings, the runs whose words and pairs may all be
-frequent. Counters only ever count too much, so they save work and decide nothing. Counts of a task are combined before
-they are shuffled.
+Counting: a phrase that occurs often has only parts that do. A first pass adds up hashed counters of words and pairs, a
+second one of runs of three and four whose pairs may be frequent; a third pass counts, as exact strings, the runs all of
+whose counters may be. Counters only ever count too much, so they save work and decide nothing. What is shuffled for them
+are sorted slots, coded by their gaps; the table of bits that says which counters are full grows with the text up to
+``MOST_COUNTERS``. Exact counts of a task are combined before they are shuffled.
 
 Streams: the frequent phrases of all lengths are laid out in prefix order (by their words) and in suffix order (by their
 words from the last). In prefix order every phrase follows its own beginnings, so one pass with a stack as deep as a
@@ -32,9 +33,10 @@ TOP = 2000
 #: A phrase goes if a longer one keeps this share (per cent) of its occurrences.
 KEPT = 80
 SCALE = 2_000_000
-#: Counters of words and pairs (a byte each, in every task), and the parts that they are added up in. Fixed, whatever the
-#: input: with a thousand million different pairs they rule out little, and more counts are shuffled.
-COUNTERS = 1 << 24
+#: A counter for each so many bytes of text, and how many there are at least and at most: their bits go to every task, 128
+#: MB at most. Beyond some hundred GB of text they rule out less and less, and more exact counts are shuffled.
+COUNTER_BYTES, LEAST_COUNTERS, MOST_COUNTERS = 8, 1 << 16, 1 << 30
+#: Parts that counters are added up in.
 SHARDS = 64
 #: Bytes of text taken together, and bytes looked at behind a cut for the last words of phrases.
 PIECE = 1 << 20
@@ -90,49 +92,88 @@ def _cut(body: np.ndarray, at: int, end: int) -> int:
     return end
 
 
-def _joined(piece: np.ndarray) -> np.ndarray:
-    """Does the next word stand in the same piece?"""
-    return np.r_[piece[1:] == piece[:-1], False] if len(piece) else np.zeros(0, bool)
+class Counters:
+    """Which counters of runs of 1 to LONGEST words are full; None where they are not counted yet."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.full = size, [None] * LONGEST
+
+    def _hashes(self, langs: list[str], low: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+        salt = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in langs], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return hash_spans(low, starts, ends) ^ salt[row]
+
+    def runs(self, langs: list[str], low: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, piece: np.ndarray, most: int = LONGEST) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For 1 to ``most`` words: where runs begin that stand in one piece and may be frequent as far as is known, and
+        their slots."""
+        h = self._hashes(langs, low, starts, ends, row)
+        at, key = np.arange(len(h)), h
+        before = np.ones(len(h), bool)
+        for k in range(1, most + 1):
+            if k > 1:
+                at = at[at < len(h) - k + 1]
+                at = at[before[at] & before[at + 1] & (piece[at] == piece[at + k - 1])]
+                key = h[at]
+                for j in range(1, k):
+                    key = mix(key * np.uint64(0xD1342543DE82EF95) + h[at + j])
+            slots = (key % np.uint64(self.size)).astype(np.int64)
+            full = self.full[k - 1]
+            if full is not None:
+                may = (full[slots >> 3] >> (7 - (slots & 7)) & 1).astype(bool)
+                at, slots = at[may], slots[may]
+            before = np.zeros(len(h) + 1, bool)
+            before[at] = True
+            yield at, slots
+
+
+def _slotted(counters: Counters, lengths: tuple[int, ...]):
+    """The slots of runs of the given lengths, each with how often it was met, in SHARDS parts a slice."""
 
-
-def _slots(langs: list[str], low: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counters of each word and of each pair of a word and the next."""
-    salt = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in langs], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h = hash_spans(low, starts, ends) ^ salt[row]
-    pair = mix(h[:-1] * np.uint64(0xD1342543DE82EF95) + h[1:])
-    return (h % np.uint64(counters)).astype(np.int64), np.r_[(pair % np.uint64(counters)).astype(np.int64), 0][: len(h)]
-
-
-def _sketched(counters: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(counters, np.uint16)
-        for langs, low, starts, ends, row, piece, own in _words(batches):
-            one, two = _slots(langs, low, starts, ends, row, counters)
-            slots, n = np.unique(np.r_[one[:own], two[:own][_joined(piece)[:own]]], return_counts=True)
-            seen[slots] = np.minimum(seen[slots] + n, least)
-        yield from _shards(seen)
+        width = counters.size // SHARDS
+        for *words, own in _words(batches):
+            found = [slots[at < own] for k, (at, slots) in enumerate(counters.runs(*words, most=max(lengths)), 1) if k in lengths]
+            slots, n = np.unique(np.concatenate(found), return_counts=True)
+            cuts = np.searchsorted(slots, width * np.arange(SHARDS + 1))
+            shards = np.flatnonzero(np.diff(cuts))
+            packed = []
+            for shard in shards:
+                mine = slots[cuts[shard] : cuts[shard + 1]] - shard * width
+                gaps = np.diff(mine, prepend=0).astype(np.uint32)  # by bytes of equal weight, of which the high ones are zeros
+                packed.append(gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + np.minimum(n[cuts[shard] : cuts[shard + 1]], 255).astype(np.uint8).tobytes())
+            if packed:
+                yield pa.RecordBatch.from_arrays([pa.array(shards.astype(np.int32)), pa.array(packed, pa.binary())], ["shard", "slots"])
 
     return run
 
 
-def _shards(seen: np.ndarray) -> Iterator[pa.RecordBatch]:
-    parts = [zlib.compress(x.astype(np.uint8).tobytes(), 1) for x in np.split(seen, SHARDS)]
-    yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int32()), pa.array(parts, pa.binary())], ["shard", "seen"])
+def _filled(width: int, least: int):
+    """For each shard, a bit for every counter that reached ``least``."""
 
-
-def _summed(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for shard, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine = np.frombuffer(zlib.decompress(packed), np.uint8).astype(np.uint16)
-                total[shard] = np.minimum(total[shard] + mine, least) if shard in total else mine
+            for shard, packed in zip(*batch.columns, strict=True):
+                raw = np.frombuffer(packed.as_buffer(), np.uint8)
+                n = len(raw) // 5
+                at = np.cumsum(np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view(np.uint32).ravel(), dtype=np.int64)
+                seen = total.setdefault(shard.as_py(), np.zeros(width, np.uint8))
+                seen[at] = np.minimum(seen[at].astype(np.uint16) + raw[4 * n :], least)
         for shard, seen in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(seen >= least).tobytes()], pa.binary())], ["shard", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([np.packbits(seen >= least).tobytes()], pa.binary())], ["shard", "bits"])
 
     return run
 
 
+def _full_counters(rows: DataFrame, counters: Counters, lengths: tuple[int, ...], least: int) -> np.ndarray:
+    """A bit for every counter: do the runs of the given lengths fill it?"""
+    width = counters.size // SHARDS
+    out = np.zeros(counters.size // 8, np.uint8)
+    parts = rows.mapInArrow(_slotted(counters, lengths), "shard int, slots binary").repartition(SHARDS, "shard").mapInArrow(_filled(width, min(least, 255)), "shard int, bits binary")
+    for r in parts.collect():  # SHARDS rows, a bit a counter
+        out[r.shard * width // 8 : (r.shard + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 def _texts(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """The spans as strings; spans may overlap."""
     size = ends - starts
@@ -150,14 +191,13 @@ def _combined(held: list[pa.Table]) -> pa.Table:
     return out.rename_columns({"f_sum": "f"}).select(_COUNTS.names).cast(_COUNTS)
 
 
-def _counted(often: np.ndarray, counters: int):
+def _counted(counters: Counters):
     """Counts of the runs that may be frequent; the number of all words of a language comes as a run of no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         rows = 0
         for langs, low, starts, ends, row, piece, own in _words(batches):
-            one, two = _slots(langs, low, starts, ends, row, counters)
             size = ends - starts
             at = np.cumsum(size + 1) - size - 1
             body = np.full(int((size + 1).sum()), 32, np.uint8)
@@ -166,20 +206,14 @@ def _counted(often: np.ndarray, counters: int):
             body[solid] = low[~BREAKS[low]]
             names = sorted(set(langs))
             lang = np.array([names.index(x) for x in langs], np.int64)[row]
-            runs = [(often[one // 8] >> (7 - one % 8) & 1).astype(bool)]
-            pair = _joined(piece) & (often[two // 8] >> (7 - two % 8) & 1).astype(bool)
-            for k in range(1, LONGEST):
-                longer = pair[k - 1 :] if k > 1 else pair
-                runs.append((runs[-1] if k > 1 else np.ones(len(pair), bool))[: len(longer)] & longer)
-            for which, name in enumerate(names):
-                mine = lang == which
-                n = int(np.count_nonzero(mine[:own]))
-                if n:
-                    held.append(pa.table([[name], [""], [0], [n]], schema=_COUNTS))
-                for k, may in enumerate(runs, 1):
-                    first = np.flatnonzero(may[:own] & mine[: len(may)][:own])
-                    if len(first):
-                        found = _texts(body, at[first], at[first + k - 1] + size[first + k - 1]).value_counts()
+            for name, n in zip(names, np.bincount(lang[:own], minlength=len(names)).tolist(), strict=True):
+                held.append(pa.table([[name], [""], [0], [n]], schema=_COUNTS))
+            for k, (first, _) in enumerate(counters.runs(langs, low, starts, ends, row, piece), 1):
+                first = first[first < own]
+                for which, name in enumerate(names):
+                    mine = first[lang[first] == which]
+                    if len(mine):
+                        found = _texts(body, at[mine], at[mine + k - 1] + size[mine + k - 1]).value_counts()
                         many = len(found)
                         held.append(pa.table([pa.repeat(pa.scalar(name), many), found.field("values"), pa.repeat(pa.scalar(k, pa.int32()), many), found.field("counts")], schema=_COUNTS))
                         rows += many
@@ -194,16 +228,17 @@ def _counted(often: np.ndarray, counters: int):
     return run
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, counters: int = COUNTERS) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = LEAST, most_counters: int = MOST_COUNTERS) -> DataFrame:
     """(lang, phrase, words, f), written: runs of 1 to LONGEST words with f of ``least`` or more, and each language's
     number of words as the empty phrase."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
-    may = min(least, 255)
-    shards = rows.mapInArrow(_sketched(counters, may), "shard int, seen binary").repartition(SHARDS, "shard").mapInArrow(_summed(may), "shard int, seen binary").collect()
-    often = np.zeros(counters // 8, np.uint8)  # SHARDS rows, a bit a counter
-    for r in shards:
-        often[r.shard * (counters // 8 // SHARDS) : (r.shard + 1) * (counters // 8 // SHARDS)] = np.frombuffer(r.seen, np.uint8)
-    runs = rows.mapInArrow(_counted(often, counters), "lang string, phrase string, words int, f long")
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    counters = Counters(min(max(1 << (size // COUNTER_BYTES).bit_length(), LEAST_COUNTERS), most_counters))
+    for lengths in ((1, 2), (3, 4)):
+        full = _full_counters(rows, counters, lengths, least)
+        for k in lengths:
+            counters.full[k - 1] = full
+    runs = rows.mapInArrow(_counted(counters), "lang string, phrase string, words int, f long")
     counts = runs.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
     return materialize(counts, "phrases")
 
@@ -280,7 +315,7 @@ def stream(phrases: DataFrame) -> DataFrame:
     return out
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, kept: int = KEPT, counters: int = COUNTERS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, kept: int = KEPT, most_counters: int = MOST_COUNTERS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score: the first ``top`` phrases of each language of ``docs`` (lang, text).
 
     Score, cut and order are those of the lowest-scoring cut; a phrase goes if a longer candidate keeps ``kept`` per cent
@@ -289,7 +324,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, kept: int
     rows. Repeated rows count each; doc_id and other columns are not read. An empty table gives an empty result. Products
     are decimals, so no count overflows.
     """
-    counts = phrase_counts(docs, least, counters)
+    counts = phrase_counts(docs, least, most_counters)
     words = counts.where("words > 0").select("lang", F.split("phrase", " ").alias("words"), "f")
     ahead = stream(words)
     back = stream(words.withColumn("words", F.reverse("words")))

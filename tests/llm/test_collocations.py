@@ -6,7 +6,6 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -59,7 +58,7 @@ def test_against_plain_python(spark, least, counters, top):
     docs = made(300, least) + [("en", None), (None, None), ("en", ""), ("fr", " . , "), ("en", "one one one " * 40), ("en", "one one one " * 40)]
     df = spark.createDataFrame(docs, "lang string, text string").withColumns({c: F.lit(1) for c in ("part", "words", "f", "n", "score", "doc_id")})
     want = plain(docs, least, top)
-    assert len(want) > 20 and got(collocations.collocations(df, least, top, counters=counters)) == want
+    assert len(want) > 20 and got(collocations.collocations(df, least, top, most_counters=counters)) == want
 
 
 def test_empty(spark):
@@ -74,7 +73,7 @@ def test_texts_cut_between_words(monkeypatch):
     monkeypatch.setattr(collocations, "BEHIND", 4)
     docs = [*made(4, 5), ("en", "x" * 400 + " Y " + "z" * 90 + " q. r"), ("en", " " * 300), ("de", "a b c d e f g h " * 60)]
     batch = pa.RecordBatch.from_arrays([pa.array([lang or "und" for lang, _ in docs]), pa.array([t for _, t in docs])], ["lang", "text"])
-    rows = pa.Table.from_batches(collocations._counted(np.full(64, 255, np.uint8), 512)(iter([batch]))).to_pylist()
+    rows = pa.Table.from_batches(collocations._counted(collocations.Counters(512))(iter([batch]))).to_pylist()
     want = Counter()
     for lang, text in docs:
         for w in pieces(text):
