@@ -4,7 +4,7 @@ Counting: a phrase that occurs often has only parts that do. A first pass adds u
 second one of runs of three and four whose pairs may be frequent; a third pass counts, as exact strings, the runs all of
 whose counters may be. Counters only ever count too much, so they save work and decide nothing. What is shuffled for them
 are sorted slots, coded by their gaps; the table of bits that says which counters are full grows with the text up to
-``MOST_COUNTERS``. Exact counts of a task are combined before they are shuffled.
+``MOST_COUNTERS``. Exact counts of a task are combined and leave as blocks, which are merged on the other side.
 
 Streams: the frequent phrases of all lengths are laid out in prefix order (by their words) and in suffix order (by their
 words from the last). In prefix order every phrase follows its own beginnings, so one pass with a stack as deep as a
@@ -38,6 +38,8 @@ SCALE = 2_000_000
 COUNTER_BYTES, LEAST_COUNTERS, MOST_COUNTERS = 8, 1 << 16, 1 << 30
 #: Parts that counters are added up in.
 SHARDS = 64
+#: Exact counts are merged in a part for each so many bytes of text, within these bounds.
+PART_BYTES, LEAST_PARTS, MOST_PARTS = 8 << 20, 32, 8192
 #: Bytes of text taken together, and bytes looked at behind a cut for the last words of phrases.
 PIECE = 1 << 20
 BEHIND = 1 << 12
@@ -191,8 +193,41 @@ def _combined(held: list[pa.Table]) -> pa.Table:
     return out.rename_columns({"f_sum": "f"}).select(_COUNTS.names).cast(_COUNTS)
 
 
-def _counted(counters: Counters):
-    """Counts of the runs that may be frequent; the number of all words of a language comes as a run of no words."""
+def _blocks(counts: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
+    """Combined counts as one block for each part, by a hash of the phrase."""
+    body, offsets = text_bytes(counts["phrase"])
+    part = (hash_spans(body, offsets[:-1], offsets[1:]) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    counts, cuts = counts.take(pa.array(order)), np.searchsorted(part[order], np.arange(parts + 1))
+    held = np.flatnonzero(np.diff(cuts))
+    blocks = []
+    for k in held:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, _COUNTS, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
+            stream.write_table(counts.slice(cuts[k], cuts[k + 1] - cuts[k]).combine_chunks())
+        blocks.append(out.getvalue().to_pybytes())
+    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(blocks, pa.binary())], ["part", "block"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of blocks, combined as far as memory is bounded."""
+    held: list[pa.Table] = []
+    rows = 0
+    for batch in batches:
+        for block in batch.column(1):
+            held.append(pa.ipc.open_stream(block.as_buffer()).read_all())
+            rows += held[-1].num_rows
+            if rows >= COMBINE:
+                held = [_combined(held)]
+                rows = 0
+                if held[0].num_rows >= PASS_ON:
+                    yield from held.pop().to_batches(max_chunksize=10_000)
+    if held:
+        yield from _combined(held).to_batches(max_chunksize=10_000)
+
+
+def _counted(counters: Counters, parts: int):
+    """Counts of the runs that may be frequent, in blocks; the number of all words of a language comes as a run of no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -221,9 +256,9 @@ def _counted(counters: Counters):
                 held = [_combined(held)]
                 rows = 0
                 if held[0].num_rows >= PASS_ON:
-                    yield from held.pop().to_batches(max_chunksize=10_000)
+                    yield from _blocks(held.pop(), parts)
         if held:
-            yield from _combined(held).to_batches(max_chunksize=10_000)
+            yield from _blocks(_combined(held), parts)
 
     return run
 
@@ -238,7 +273,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most_counters: int = MOST
         full = _full_counters(rows, counters, lengths, least)
         for k in lengths:
             counters.full[k - 1] = full
-    runs = rows.mapInArrow(_counted(counters), "lang string, phrase string, words int, f long")
+    parts = min(max(size // PART_BYTES, LEAST_PARTS), MOST_PARTS)
+    blocks = rows.mapInArrow(_counted(counters, parts), "part int, block binary").repartition(parts, "part")
+    runs = blocks.mapInArrow(_merged, "lang string, phrase string, words int, f long")
     counts = runs.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
     return materialize(counts, "phrases")
 

@@ -73,7 +73,7 @@ def test_texts_cut_between_words(monkeypatch):
     monkeypatch.setattr(collocations, "BEHIND", 4)
     docs = [*made(4, 5), ("en", "x" * 400 + " Y " + "z" * 90 + " q. r"), ("en", " " * 300), ("de", "a b c d e f g h " * 60)]
     batch = pa.RecordBatch.from_arrays([pa.array([lang or "und" for lang, _ in docs]), pa.array([t for _, t in docs])], ["lang", "text"])
-    rows = pa.Table.from_batches(collocations._counted(collocations.Counters(512))(iter([batch]))).to_pylist()
+    rows = pa.Table.from_batches(collocations._merged(collocations._counted(collocations.Counters(512), 3)(iter([batch])))).to_pylist()
     want = Counter()
     for lang, text in docs:
         for w in pieces(text):
