@@ -44,7 +44,7 @@ PART_BYTES, LEAST_PARTS, MOST_PARTS = 8 << 20, 32, 8192
 PIECE = 1 << 20
 BEHIND = 1 << 12
 #: Different counts that a task holds before it combines them, and at which it passes them on.
-COMBINE, PASS_ON = 200_000, 600_000
+COMBINE, PASS_ON = 100_000, 250_000
 
 #: Bytes that end pieces, and those that end words.
 ENDS = np.zeros(256, bool)
@@ -189,7 +189,9 @@ _COUNTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", p
 
 
 def _combined(held: list[pa.Table]) -> pa.Table:
-    out = pa.concat_tables(held).combine_chunks().group_by(["lang", "phrase", "words"]).aggregate([("f", "sum")])
+    out = pa.concat_tables(held).group_by(["lang", "phrase", "words"]).aggregate([("f", "sum")])
+    held.clear()
+    pa.default_memory_pool().release_unused()
     return out.rename_columns({"f_sum": "f"}).select(_COUNTS.names).cast(_COUNTS)
 
 
