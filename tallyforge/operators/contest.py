@@ -133,8 +133,30 @@ def placing(bracket: DataFrame) -> DataFrame:
     return best.withColumn("place", F.rank().over(Window.partitionBy("contest").orderBy(F.desc("reached"))))
 
 
-def suggested_rounds(n: Column) -> Column:
-    return F.when(n <= 2, 1).when(n <= 4, 2).when(n <= 8, 3).when(n <= 16, 4).when(n <= 32, 5).when(n <= 64, 6).when(n <= 128, 7).when(n <= 226, 8).otherwise(9)
+def suggested_rounds(n: Column, cut: Column | None = None) -> Column:
+    """Rounds for n players; a cut to four or fewer of 9 to 16 players asks for five."""
+    rounds = F.when(n < 2, 0).when(n <= 128, F.ceil(F.log2(n)).cast("int")).when(n <= 226, 8).when(n <= 409, 9).otherwise(10)
+    return rounds if cut is None else F.when((cut <= 4) & n.between(9, 16), 5).otherwise(rounds)
+
+
+def suggested_pod_rounds(n: Column) -> Column:
+    return F.when(n < 3, 0).when(n <= 12, 3).when(n <= 24, 4).otherwise(5)
+
+
+def bracket_slots(seeds: DataFrame) -> DataFrame:
+    """Every slot of each contest's bracket (contest, size, slot, seed, player); player is null in a slot without a seed.
+
+    ``seeds`` has contest, seed (from 1, without gaps) and player. A slot's seed follows from its bits, from the highest:
+    in a bracket twice as large a seed keeps the even one of its two slots and faces its mirror in the odd one.
+    """
+    sizes = seeds.groupBy("contest").agg(bracket_size(F.max("seed")).alias("size"))
+    slots = sizes.select("contest", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("slot"))
+    depth = F.round(F.log2("size")).cast("int")
+    rounds = F.filter(F.sequence(F.lit(0), depth), lambda i: i > 0)
+    half = lambda i: F.floor(F.col("slot") / F.pow(F.lit(2), depth - i)) % 2
+    seed = F.aggregate(rounds, F.lit(1).cast("long"), lambda s, i: F.when(half(i) == 0, s).otherwise(F.pow(F.lit(2), i).cast("long") + 1 - s))
+    players = seeds.select("contest", F.col("seed").cast("long").alias("seed"), "player")
+    return slots.withColumn("seed", seed).join(players, ["contest", "seed"], "left").select("contest", "size", "slot", "seed", "player")
 
 
 def pod_sizes(n: Column) -> Column:
@@ -145,103 +167,6 @@ def pod_sizes(n: Column) -> Column:
     return F.when(n < 3, F.array().cast("array<int>")).when(n == 5, F.array(F.lit(5))).otherwise(whole)
 
 
-def _best_for_both(offers: DataFrame, ends: list[str]) -> DataFrame:
-    """Rows of ``offers`` (contest, offer) that are the best offer of both their ends (fields of ``offer``)."""
-    each = offers.select("contest", "offer", F.explode(F.array(*[F.col(f"offer.{e}") for e in ends])).alias("end"))
-    best = each.groupBy("contest", "end").agg(F.min("offer").alias("offer"))
-    return best.groupBy("contest", "offer").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("contest", "offer")
-
-
-def swiss_pairs(players: DataFrame, met: DataFrame, near: int = 6, repairs: int = 3) -> DataFrame:
-    """Pairs for the next round (contest, a, b), few rematches and small gaps in points.
-
-    ``players`` has contest, player, rank and, if known, points and byes. With an odd number, the player with the fewest
-    byes, of those the one with the fewest points, has a bye (b is null). Everyone else is offered the ``near`` players
-    ranked next; an offer costs first its meetings so far, then the squared gap in points, then the gap in ranks, and a
-    hash parts equal ones, so that many pairs form at once. Mutual best offers pair in rounds of joins, all contests
-    together, until nobody is left. Rematches that remain trade partners with pairs near them.
-    """
-    from .tables import settled
-
-    points, byes = (F.col(c) if c in players.columns else F.lit(0) for c in ("points", "byes"))
-    left = players.select("contest", "player", "rank", points.cast("double").alias("points"), byes.alias("byes"))
-    odd = left.groupBy("contest").agg(F.count(F.lit(1)).alias("n"), F.max_by("player", F.struct(-F.col("byes"), -F.col("points"), F.col("rank"), F.col("player"))).alias("a")).where("n % 2 = 1")
-    alone = settled(odd.select("contest", "a", F.lit(None).cast(left.schema["player"].dataType).alias("b")))
-    left = settled(left.join(alone.select("contest", F.col("a").alias("player")), ["contest", "player"], "left_anti").drop("byes"))
-    both = settled(met.select("contest", "a", "b", "met").unionByName(met.select("contest", F.col("b").alias("a"), F.col("a").alias("b"), "met")).groupBy("contest", "a", "b").agg(F.sum("met").alias("met")))
-    done, turn = None, 0
-    while True:
-        # ranks close up, so that whoever is left sees the next ones left
-        ranked = numbered(left, ["contest"], [F.col("rank"), F.col("player")], "r")
-        other = ranked.select("contest", F.col("player").alias("b"), F.col("points").alias("pb"), F.col("r").alias("rb"))
-        mine = ranked.select("contest", F.col("player").alias("a"), F.col("points").alias("pa"), "r", F.explode(F.sequence(F.col("r") + 1, F.col("r") + near)).alias("rb"))
-        offers = mine.join(other, ["contest", "rb"]).join(both, ["contest", "a", "b"], "left")
-        cost = F.struct(F.coalesce("met", F.lit(0)).alias("met"), ((F.col("pa") - F.col("pb")) ** 2).alias("points"), (F.col("rb") - F.col("r")).alias("gap"), F.xxhash64("contest", "a", "b", F.lit(turn)).alias("hash"))
-        pairs = settled(_best_for_both(offers.select("contest", F.struct(cost.alias("cost"), "a", "b", "pa", "pb").alias("offer")), ["a", "b"]))
-        if pairs.isEmpty():
-            break
-        rows = pairs.select("contest", "offer.a", "offer.b", "offer.pa", "offer.pb", F.col("offer.cost.met").alias("met"))
-        done = rows if done is None else done.unionByName(rows)
-        gone = pairs.select("contest", F.explode(F.array("offer.a", "offer.b")).alias("player"))
-        left, turn = settled(left.join(gone, ["contest", "player"], "left_anti")), turn + 1
-    if done is None:
-        return alone
-    done = settled(done)
-    for _ in range(repairs):
-        swapped = _without_rematches(done, both, near)
-        if swapped is None:
-            break
-        done = settled(swapped)
-    return done.select("contest", "a", "b").unionByName(alone)
-
-
-def _without_rematches(pairs: DataFrame, both: DataFrame, near: int) -> DataFrame | None:
-    """Pairs in which rematches have traded partners with one of the ``near`` pairs before or after; None if none can."""
-    from .tables import settled
-
-    rows = numbered(pairs, ["contest"], [F.desc(F.greatest("pa", "pb")), F.col("a")], "k")
-    bad = rows.where("met > 0").select("contest", "k", "a", "b", "pa", "pb", "met", F.explode(F.sequence(F.col("k") - near, F.col("k") + near)).alias("k2"))
-    other = rows.select("contest", F.col("k").alias("k2"), F.col("a").alias("c"), F.col("b").alias("d"), F.col("pa").alias("pc"), F.col("pb").alias("pd"), F.col("met").alias("met2"))
-    side = lambda x, y: F.struct(F.col(x).alias("p"), F.col(y).alias("points"))
-    a, b, c, d = side("a", "pa"), side("b", "pb"), side("c", "pc"), side("d", "pd")
-    ways = F.explode(F.array(F.struct(a.alias("w"), c.alias("x"), b.alias("y"), d.alias("z")), F.struct(a.alias("w"), d.alias("x"), b.alias("y"), c.alias("z")))).alias("way")
-    trades = bad.join(other, ["contest", "k2"]).where("k <> k2").select("contest", "k", "k2", (F.col("met") + F.col("met2")).alias("before"), ways).select("contest", "k", "k2", "before", "way.*")
-    for left, right, name in (("w", "x", "m1"), ("y", "z", "m2")):
-        had = both.select(F.col("contest").alias("__contest"), F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("met").alias(name))
-        same = (F.col("contest") == F.col("__contest")) & (F.col(f"{left}.p") == F.col("__a")) & (F.col(f"{right}.p") == F.col("__b"))
-        trades = trades.join(had, same, "left").drop("__contest", "__a", "__b")
-    after = F.coalesce("m1", F.lit(0)) + F.coalesce("m2", F.lit(0))
-    gap = (F.col("w.points") - F.col("x.points")) ** 2 + (F.col("y.points") - F.col("z.points")) ** 2
-    trades = trades.where(after < F.col("before")).select("contest", F.struct((after - F.col("before")).alias("met"), gap.alias("gap"), "k", "k2", "w", "x", "y", "z", F.coalesce("m1", F.lit(0)).alias("m1"), F.coalesce("m2", F.lit(0)).alias("m2")).alias("offer"))
-    taken = settled(_best_for_both(trades, ["k", "k2"]))
-    if taken.isEmpty():
-        return None
-    new = F.array(*[F.struct(F.col(f"offer.{x}.p").alias("a"), F.col(f"offer.{y}.p").alias("b"), F.col(f"offer.{x}.points").alias("pa"), F.col(f"offer.{y}.points").alias("pb"), F.col(f"offer.{m}").alias("met")) for x, y, m in (("w", "x", "m1"), ("y", "z", "m2"))])
-    kept = rows.join(taken.select("contest", F.explode(F.array("offer.k", "offer.k2")).alias("k")), ["contest", "k"], "left_anti")
-    return kept.select("contest", "a", "b", "pa", "pb", "met").unionByName(taken.select("contest", F.explode(new).alias("x")).select("contest", "x.*"))
-
-
-def pods(players: DataFrame, met: DataFrame | None = None, ways: int = 8) -> DataFrame:
-    """Tables of four and three (contest, pod, player) dealt over the ranks, so that each table mixes them.
-
-    Seat r goes to table r mod tables, moved on by ``way`` tables for each tier of ranks. Of ``ways`` such deals, each
-    contest takes the one in which the fewest players meet again (``met`` has contest, a, b, met).
-    """
-    w = Window.partitionBy("contest")
-    p = numbered(players, ["contest"], [F.col("rank"), F.col("player")], "r").withColumn("n", F.count(F.lit(1)).over(w)).where("n >= 3")
-    tables = F.when(F.col("n") == 5, 1).otherwise(F.ceil(F.col("n") / 4))
-    tier = F.floor((F.col("r") - 1) / tables)
-    pod = F.pmod(F.col("r") - 1 + tier * F.col("way"), tables).cast("int").alias("pod")
-    if met is None:
-        return p.withColumn("way", F.lit(1)).select("contest", pod, "player")
-    dealt = p.withColumn("way", F.explode(F.sequence(F.lit(1), F.lit(ways)))).select("contest", "way", pod, "player")
-    one, two = (dealt.select("contest", "way", F.col("pod").alias(f"pod_{x}"), F.col("player").alias(x)) for x in "ab")
-    again = met.join(one, ["contest", "a"]).join(two, ["contest", "way", "b"]).where("pod_a = pod_b").groupBy("contest", "way").agg(F.sum("met").alias("again"))
-    cost = dealt.select("contest", "way").distinct().join(again, ["contest", "way"], "left")
-    best = cost.groupBy("contest").agg(F.min_by("way", F.struct(F.coalesce("again", F.lit(0)), F.col("way"))).alias("way"))
-    return dealt.join(best, ["contest", "way"]).select("contest", "pod", "player")
-
-
 def valid_score(best_of: Column, a: Column, b: Column, draws: Column) -> Column:
     """Scores possible in a match of best of one or three."""
     need = F.when(best_of == 1, 1).otherwise(2)

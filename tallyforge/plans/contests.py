@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.contest import bracket_rounds, bracket_size, meetings, minutes_left, placing, pod_sizes, pod_standings, pods, round_robin, seed_order, sides, standings, suggested_rounds, swiss_pairs, valid_score
+from ..operators.contest import bracket_rounds, bracket_size, bracket_slots, meetings, minutes_left, placing, pod_sizes, pod_standings, round_robin, sides, standings, suggested_pod_rounds, suggested_rounds, valid_score
+from ..operators.pairing import first_pairs, pods, swiss_pairs
 from .registry import Tables, query
 
 MATCHES = """
@@ -126,21 +127,30 @@ def round_robin_pairs(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE s(size, seeds) AS (SELECT 1, [1] UNION ALL SELECT size * 2, flatten(list_transform(seeds, lambda x: [x, size * 2 + 1 - x])) FROM s WHERE size < 16)
-SELECT size, array_to_string(seeds, ',') AS seeds FROM s WHERE size > 1
+WITH RECURSIVE p AS (SELECT s_nationkey AS contest, s_suppkey AS player, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS seed FROM supplier),
+n AS (SELECT contest, count(*) AS n FROM p GROUP BY 1),
+s(size, seeds) AS (SELECT 1, [1] UNION ALL SELECT size * 2, flatten(list_transform(seeds, lambda x: [x, size * 2 + 1 - x])) FROM s WHERE size < (SELECT max(n) FROM n)),
+z AS (SELECT contest, size, unnest(range(size)) AS slot, unnest(seeds) AS seed FROM n JOIN s ON size >= n AND size < 2 * n)
+SELECT contest, size, slot, seed, player FROM z LEFT JOIN p USING (contest, seed)
 """)
 def bracket_seed(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(n, ",".join(map(str, seed_order(n)))) for n in (2, 4, 8, 16)], "size int, seeds string")
+    """The brackets of each nation's suppliers, seeded by balance."""
+    seed = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey"))
+    return bracket_slots(t.supplier.select(F.col("s_nationkey").alias("contest"), F.col("s_suppkey").alias("player"), seed.alias("seed"))).withColumn("slot", F.col("slot").cast("long"))
 
 
 @query("""
-SELECT n AS players, CAST(pow(2, ceil(log2(n))) AS INTEGER) AS size, CASE WHEN n <= 2 THEN 1 WHEN n <= 4 THEN 2 WHEN n <= 8 THEN 3 WHEN n <= 16 THEN 4 WHEN n <= 32 THEN 5 ELSE 6 END AS rounds,
-  CASE WHEN n < 3 THEN '' WHEN n = 5 THEN '5' ELSE rtrim(repeat('4,', CAST(ceil(n / 4) - (ceil(n / 4) * 4 - n) AS INTEGER)) || repeat('3,', CAST(ceil(n / 4) * 4 - n AS INTEGER)), ',') END AS pods
-FROM range(1, 41) r(n)
+WITH c AS (SELECT o_custkey AS contest, count(*) AS players, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS cut FROM orders GROUP BY 1)
+SELECT contest, players, CAST(pow(2, ceil(log2(players))) AS INTEGER) AS size,
+  CASE WHEN cut <= 4 AND players BETWEEN 9 AND 16 THEN 5 WHEN players < 2 THEN 0 ELSE CAST(ceil(log2(players)) AS INTEGER) END AS rounds, CASE WHEN players < 3 THEN 0 WHEN players <= 12 THEN 3 WHEN players <= 24 THEN 4 ELSE 5 END AS pod_rounds,
+  CASE WHEN players < 3 THEN '' WHEN players = 5 THEN '5' ELSE rtrim(repeat('4,', CAST(ceil(players / 4) - (ceil(players / 4) * 4 - players) AS INTEGER)) || repeat('3,', CAST(ceil(players / 4) * 4 - players AS INTEGER)), ',') END AS pods
+FROM c
 """)
 def contest_sizes(t: Tables) -> DataFrame:
-    n = F.col("id").cast("int")
-    return t.spark.range(1, 41).select(F.col("id").alias("players"), bracket_size(n).alias("size"), suggested_rounds(n).alias("rounds"), F.array_join(pod_sizes(n), ",").alias("pods"))
+    """Brackets, rounds and tables for contests as large as each customer's number of orders, with a cut of its finished ones."""
+    c = t.orders.groupBy(F.col("o_custkey").alias("contest")).agg(F.count(F.lit(1)).alias("players"), F.count_if(F.col("o_orderstatus") == "F").alias("cut"))
+    n = F.col("players").cast("int")
+    return c.select("contest", "players", bracket_size(n).alias("size"), suggested_rounds(n, F.col("cut")).alias("rounds"), suggested_pod_rounds(n).alias("pod_rounds"), F.array_join(pod_sizes(n), ",").alias("pods"))
 
 
 @query("""
@@ -190,10 +200,46 @@ def table_numbers(t: Tables) -> DataFrame:
 def swiss_pairing(t: Tables) -> DataFrame:
     """The next round of every contest."""
     m = matches(t)
-    return swiss_pairs(standings(m), meetings(sides(m)))
+    return swiss_pairs(standings(m), meetings(sides(m))).select("contest", "a", "b")
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT o_custkey AS a, o_custkey // 8 * 8 + (o_custkey % 8 + 1 + o_orderkey % 7) % 8 AS b, CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'P' THEN 1 ELSE 0 END AS p FROM orders WHERE o_orderpriority = '1-URGENT'),
+c AS (SELECT c_custkey AS player, c_custkey // 8 AS contest FROM customer),
+k AS (SELECT contest, player, row_number() OVER (PARTITION BY contest ORDER BY player) - 1 AS i, CAST(coalesce(sum(p), 0) AS BIGINT) AS points FROM c LEFT JOIN o ON a = player GROUP BY 1, 2),
+n AS (SELECT contest, count(*) AS n, min(points) - 3 AS low FROM k GROUP BY 1),
+v AS (SELECT contest, player, i, points FROM k UNION ALL SELECT contest, NULL, n, low FROM n WHERE n % 2 = 1),
+m AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS met FROM o GROUP BY 1, 2),
+e AS (SELECT x.contest, x.i, y.i AS j, coalesce(met, 0) AS met, (x.points - y.points) ** 2 AS gap FROM v x JOIN v y ON x.contest = y.contest AND x.i < y.i LEFT JOIN m ON m.a = least(x.player, y.player) AND m.b = greatest(x.player, y.player)),
+w(contest, used, met, gap) AS (
+  SELECT contest, 0::BIGINT, 0::BIGINT, 0::DOUBLE FROM n
+  UNION ALL
+  SELECT w.contest, w.used | (1::BIGINT << e.i) | (1::BIGINT << e.j), w.met + e.met, w.gap + e.gap FROM w JOIN e ON e.contest = w.contest AND (w.used & ((1::BIGINT << (e.i + 1)) - 1)) = (1::BIGINT << e.i) - 1 AND (w.used >> e.j) & 1 = 0
+)
+SELECT w.contest, CAST(min(w.met * 1e9 + w.gap) // 1e9 AS BIGINT) AS met, min(w.met * 1e9 + w.gap) % 1e9 AS gap FROM w JOIN n USING (contest) WHERE w.used = (1::BIGINT << (n.n + n.n % 2)) - 1 GROUP BY 1
+""")
+def swiss_cost(t: Tables) -> DataFrame:
+    """What the next round costs in contests of eight customers, whose urgent orders were matches: as little as any pairing of them."""
+    k, me = F.col("o_orderkey"), F.col("o_custkey")
+    one, two = F.floor(me / 8), F.floor(me / 8) * 8 + (me % 8 + 1 + k % 7) % 8
+    played = t.orders.where("o_orderpriority = '1-URGENT'").select(one.alias("contest"), me.alias("a"), two.alias("b"), F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "P", 1).otherwise(0).alias("p"))
+    points = played.groupBy(F.col("a").alias("player")).agg(F.sum("p").alias("points"))
+    players = t.customer.select(F.floor(F.col("c_custkey") / 8).alias("contest"), F.col("c_custkey").alias("player")).join(points, "player", "left").withColumn("rank", F.col("player"))
+    met = played.groupBy("contest", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("met"))
+    return swiss_pairs(players, met).groupBy("contest").agg(F.sum("met").alias("met"), F.sum("gap").alias("gap"))
+
+
+@query("""
+WITH d AS (SELECT s_nationkey AS contest, s_suppkey AS player, row_number() OVER (PARTITION BY s_nationkey ORDER BY md5('11/' || s_suppkey), s_suppkey) AS k FROM supplier)
+SELECT x.contest, x.player AS a, y.player AS b FROM d x LEFT JOIN d y ON x.contest = y.contest AND y.k = x.k + 1 WHERE x.k % 2 = 1
+""")
+def first_round(t: Tables) -> DataFrame:
+    """The drawn first round of each nation's suppliers."""
+    return first_pairs(t.supplier.select(F.col("s_nationkey").alias("contest"), F.col("s_suppkey").alias("player")), 11)
 
 
 @query()
 def pod_pairing(t: Tables) -> DataFrame:
+    """The next tables of every contest."""
     m = matches(t)
     return pods(standings(m), meetings(sides(m)))

@@ -83,9 +83,9 @@ def messages(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("id"), text.alias("text"))
 
 
-@query("SELECT doc_id, url_encode(left(text, 200)) AS url FROM documents")
+@query("SELECT doc_id, url_encode(text) AS url FROM documents")
 def urls_encoded(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", url_text(F.substring("text", 1, 200)).alias("url"))
+    return t.documents.select("doc_id", url_text(F.col("text")).alias("url"))
 
 
 @query("""

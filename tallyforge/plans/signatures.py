@@ -1,4 +1,4 @@
-"""Signature queries: embeddings become two longs of bits, labels are items."""
+"""Signature queries: the signs and steps of an embedding's components are its signatures, labels are items."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from .registry import Tables, query
 SIGNED = """
 WITH s AS (
   SELECT vec_id AS id, label AS item,
-    list_sum([CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i ELSE 0 END for i in range(0, 60)])::BIGINT AS art,
-    list_sum([CASE WHEN embedding[i + 1] > embedding[i % 64 + 2] THEN 1::HUGEINT << i ELSE 0 END for i in range(0, 60)])::BIGINT AS full_,
+    list_sum([CASE WHEN embedding[i + 1] > 0 THEN 1::HUGEINT << i ELSE 0 END for i in range(0, 64)])::HUGEINT AS art,
+    list_sum([CASE WHEN embedding[i + 1] > embedding[(i + 1) % 64 + 1] THEN 1::HUGEINT << i ELSE 0 END for i in range(0, 64)])::HUGEINT AS full_,
     CASE WHEN vec_id % 5 = 0 THEN 2.0 ELSE 0.0 END::DOUBLE AS bonus
   FROM embeddings
 ), d AS (
@@ -27,7 +27,7 @@ WITH s AS (
 def signed(t: Tables) -> tuple[DataFrame, DataFrame]:
     e = F.col("embedding")
     rows = t.embeddings.select(
-        F.col("vec_id").alias("id"), F.col("label").alias("item"), F.array(sign_bits(e, 0, 60)).alias("art"), F.array(sign_bits(e, 0, 60, 1)).alias("full"),
+        F.col("vec_id").alias("id"), F.col("label").alias("item"), F.array(sign_bits(e, 0, 64)).alias("art"), F.array(sign_bits(e, 0, 64, 1)).alias("full"),
         F.when(F.col("vec_id") % 5 == 0, 2.0).otherwise(0.0).alias("bonus"),
     )
     return rows, rows.where("id % 20 = 0")

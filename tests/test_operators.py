@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import geometry, hamming, money, text
 from tallyforge.functions.predicates import Predicates, java_regex, split_match
-from tallyforge.operators import contest, entity, multiset, rank, rules, upsert
+from tallyforge.operators import contest, entity, multiset, pairing, rank, rules, upsert
 from tallyforge.sources import catalog, listing
 from tallyforge.functions import quality
 from tallyforge.streaming.segments import LiveSegmenter, Segmenter, _streamed_step, contiguous_prefix, folded, ingested_once, segments, segments_streamed
@@ -162,7 +162,7 @@ def test_round_robin_and_brackets(spark):
 def test_swiss_pairs_properties(spark):
     players = spark.createDataFrame([(c, p, p) for c in range(3) for p in range(1, 8 + c)], "contest int, player int, rank int")
     met = spark.createDataFrame([(c, 1, 2, 1) for c in range(3)], "contest int, a int, b int, met int")
-    rows = contest.swiss_pairs(players, met).collect()
+    rows = pairing.swiss_pairs(players, met).collect()
     for c in range(3):
         seen = [x for r in rows if r.contest == c for x in (r.a, r.b) if x is not None]
         assert sorted(seen) == list(range(1, 8 + c)) and sum(r.b is None for r in rows if r.contest == c) == (7 + c) % 2
@@ -173,7 +173,7 @@ def test_swiss_pairs_of_many_players(spark):
     for n in (128, 129):
         players = spark.createDataFrame([(0, p, p, 3 * ((n - p) // 26), int(p == 129)) for p in range(1, n + 1)], "contest int, player int, rank int, points int, byes int")
         met = spark.createDataFrame([(0, p, p + 5, 1) for p in range(1, n - 5)], "contest int, a int, b int, met int")
-        rows = contest.swiss_pairs(players, met).collect()
+        rows = pairing.swiss_pairs(players, met).collect()
         seen = sorted(x for r in rows for x in (r.a, r.b) if x is not None)
         byes = [r.a for r in rows if r.b is None]
         assert seen == list(range(1, n + 1)) and len(byes) == n % 2 and 129 not in byes  # no second bye
@@ -184,19 +184,19 @@ def test_swiss_rematches_are_swapped_away(spark):
     """Four players of whom the last two would have to meet again."""
     players = spark.createDataFrame([(0, p, p) for p in range(4)], "contest int, player int, rank int")
     met = spark.createDataFrame([(0, 2, 3, 1), (0, 0, 2, 1), (0, 1, 3, 1)], "contest int, a int, b int, met int")
-    assert {frozenset((r.a, r.b)) for r in contest.swiss_pairs(players, met).collect()} == {frozenset((0, 3)), frozenset((1, 2))}
+    assert {frozenset((r.a, r.b)) for r in pairing.swiss_pairs(players, met).collect()} == {frozenset((0, 3)), frozenset((1, 2))}
 
 
 def test_pods_part_who_have_met(spark):
     players = spark.createDataFrame([(0, p, p) for p in range(16)], "contest int, player int, rank int")
-    plain = {r.player: r.pod for r in contest.pods(players).collect()}
+    plain = {r.player: r.pod for r in pairing.pods(players).collect()}
     together = [(0, a, b, 1) for a in range(16) for b in range(a + 1, 16) if plain[a] == plain[b]]
-    now = {r.player: r.pod for r in contest.pods(players, spark.createDataFrame(together, "contest int, a int, b int, met int")).collect()}
+    now = {r.player: r.pod for r in pairing.pods(players, spark.createDataFrame(together, "contest int, a int, b int, met int")).collect()}
     assert sum(now[a] == now[b] for _, a, b, _ in together) <= 4 and sorted(list(now.values()).count(k) for k in range(4)) == [4] * 4
 
 
 def test_pods_use_every_player_once(spark):
-    rows = contest.pods(spark.createDataFrame([(0, p, p) for p in range(14)], "contest int, player int, rank int")).collect()
+    rows = pairing.pods(spark.createDataFrame([(0, p, p) for p in range(14)], "contest int, player int, rank int")).collect()
     sizes = [sum(r.pod == k for r in rows) for k in {r.pod for r in rows}]
     assert sorted(r.player for r in rows) == list(range(14)) and sorted(sizes) == [3, 3, 4, 4]
 
