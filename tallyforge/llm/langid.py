@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import row_pieces, row_slices, text_bytes
+from .shared import last_ticket, row_pieces, row_slices, text_bytes, ticket
 
 #: First and last code point of scripts' blocks.
 SCRIPTS = [
@@ -155,9 +155,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     held = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not held:
         return Model([], np.zeros(0, np.int64), np.zeros(0, np.int64))
-    ticket = F.pmod(F.xxhash64(F.lit("learn"), "doc_id"), F.lit(1_000_000))
-    limit = F.create_map(*[x for lang, n in held.items() for x in (F.lit(lang), F.lit(min(1_000_000, 1_000_000 * most // n)))])
-    sample = rows.where(ticket < limit[F.col("lang")]).select("lang", "text")
+    limit = F.create_map(*[x for lang, n in held.items() for x in (F.lit(lang), F.lit(last_ticket(most, n)))])
+    sample = rows.where(ticket("learn", F.col("doc_id")) <= limit[F.col("lang")]).select("lang", "text")
     counts = sample.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = counts.toArrow()  # at most languages x 2**16 rows of numbers, whatever the input
     return Model(found.column("lang").to_pylist(), found.column("bucket").to_numpy(), found.column("n").to_numpy())

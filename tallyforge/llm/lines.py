@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,6 @@ MANY = 3
 LONG = 20
 #: Lines of a document whose every line is an anchor.
 FEW = 2
-#: Holders of one anchor that are put in order by one task; more are dealt to groups by a hash, each in order.
-HOLDERS = 1000
 BLANK = 0
 #: Lines that one step of the alignment takes as Python lists.
 STEP = 1 << 18
@@ -177,6 +176,39 @@ def _anchors(many: int, long: int) -> Column:
     return F.array_distinct(F.concat(one, two, running(many, lambda x: key(many, x))))
 
 
+def _after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of width, key and doc, with the doc of the row before where width and key are the same."""
+    part, last = TaskContext.get().partitionId(), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        width, key = (batch.column(i).to_numpy() for i in (0, 1))
+        docs = batch.column(2)
+        held = pa.concat_arrays([last[2], docs]) if last else docs
+        same = np.r_[bool(last) and last[:2] == (width[0], key[0]), (width[1:] == width[:-1]) & (key[1:] == key[:-1])]
+        at = np.arange(len(docs)) - (0 if last else 1)
+        earlier = held.take(pa.array(at, pa.int64(), mask=~same))
+        last = (width[-1], key[-1], docs.slice(len(docs) - 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns, earlier, pa.array(np.full(len(docs), part, np.int32))], [*batch.schema.names, "earlier", "part"])
+
+
+def nearest_earlier(met: DataFrame) -> DataFrame:
+    """Rows of ``met`` (width, key, doc, few, always) whose anchor an earlier document has, with the nearest such one.
+
+    All rows are put in order over ranges, which cut a frequent anchor as often as its length asks for; the first row of
+    a range finds its document in the last row of the range before, so no anchor has a first holder but one.
+    """
+    ordered = met.select("width", "key", "doc", "few", "always").repartitionByRange("width", "key", "doc").sortWithinPartitions("width", "key", "doc")
+    doc = met.schema["doc"].dataType.simpleString()
+    rows = materialize(ordered.mapInArrow(_after, f"width int, key long, doc {doc}, few boolean, always boolean, earlier {doc}, part int"), "in-order")
+    row = F.struct("width", "key", "doc")
+    ends = rows.groupBy("part").agg(F.min(row).alias("first"), F.max(row).alias("last"))  # a row a range
+    ends = ends.withColumn("before", F.lag("last").over(Window.orderBy("part")))
+    ends = ends.where((F.col("first.width") == F.col("before.width")) & (F.col("first.key") == F.col("before.key"))).select("first.*", F.col("before.doc").alias("across"))
+    found = rows.join(F.broadcast(ends), ["width", "key", "doc"], "left").withColumn("earlier", F.coalesce("earlier", "across"))
+    return found.where(F.col("earlier").isNotNull() & (F.col("earlier") != F.col("doc"))).drop("across", "part")
+
+
 def removed_lines(rows: DataFrame, rare: int = RARE, many: int = MANY, long: int = LONG) -> DataFrame:
     """(doc, gone): for documents that lose lines, whether each line goes; ``rows`` has doc (orderable) and text."""
     words = F.transform(_split(F.col("text")), lambda x: F.regexp_count(x, F.lit(r"\S+")))
@@ -190,9 +222,7 @@ def removed_lines(rows: DataFrame, rare: int = RARE, many: int = MANY, long: int
     # written, so that the join below is between two plain tables whose hot keys Spark can split
     shared = materialize(shared.where(anchor | F.col("some_few")).select("width", "key", "docs", anchor.alias("always")), "shared-lines")
     met = materialize(occurs.select("doc", "few", "width", "key").join(shared, ["width", "key"]), "holders")
-    group = F.pmod(F.xxhash64("doc"), F.ceil(F.col("docs") / HOLDERS))
-    before = Window.partitionBy("width", "key", group).orderBy("doc")
-    pairs = met.withColumn("earlier", F.lag("doc").over(before)).where(F.col("earlier").isNotNull() & (F.col("always") | F.col("few")))
+    pairs = nearest_earlier(met).where(F.col("always") | F.col("few"))
     pairs = materialize(pairs.groupBy("doc", "earlier").agg(F.collect_list(F.struct("width", "key")).alias("anchors")), "line-pairs")
     sides = pairs.hint("merge").join(lists.select("doc", F.col("lines").alias("later")), "doc").hint("merge").join(lists.select(F.col("doc").alias("earlier"), F.col("lines").alias("before")), "earlier")
     doc_type = rows.schema["doc"].dataType.simpleString()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import gram_hashes, hash_spans, materialize, row_pieces, text_bytes, words_of
+from .shared import gram_hashes, hash_spans, last_ticket, materialize, row_pieces, text_bytes, ticket, words_of
 
 #: Labelled documents kept apart that calibration takes, at most; they are chosen by a hash of doc_id.
 CALIBRATED = 20_000
@@ -308,7 +308,7 @@ def learn(features: DataFrame, rounds: int = ROUNDS, calibrated: int = CALIBRATE
 
     def calibration(weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         held = features.where("apart and label >= 0")
-        share = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(1_000_000)) < 1_000_000 * calibrated // max(held.count(), 1)
+        share = ticket("calibrate", F.col("doc_id")) <= last_ticket(calibrated, held.count())
         got = held.where(share).mapInArrow(_odds_rows(weights), "z0 double, z1 double, label int").collect()
         return np.array([[r.z0, r.z1] for r in got]).reshape(-1, 2), np.array([r.label for r in got])
 

@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # --------------------------------------------------------------------------- durable tables
 
@@ -56,6 +57,16 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def ticket(name: str, key: Column) -> Column:
+    """63 bits drawn for a key by a hash."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(name), key), 1)
+
+
+def last_ticket(most: int, n: int) -> int:
+    """The largest ticket to take so that about ``most`` of n rows are taken, all if there are no more, whatever n is."""
+    return min((1 << 63) - 1, (most << 63) // max(n, 1))
+
+
 #: Tasks that add up the vectors of partitions.
 SUMS = 4
 
