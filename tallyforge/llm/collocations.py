@@ -44,7 +44,7 @@ PART_BYTES, LEAST_PARTS, MOST_PARTS = 8 << 20, 32, 8192
 PIECE = 1 << 20
 BEHIND = 1 << 12
 #: Different counts that a task holds before it combines them, and at which it passes them on.
-COMBINE, PASS_ON = 100_000, 250_000
+COMBINE, PASS_ON = 150_000, 600_000
 
 #: Bytes that end pieces, and those that end words.
 ENDS = np.zeros(256, bool)
