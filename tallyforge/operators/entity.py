@@ -59,13 +59,15 @@ def representatives(clusters: DataFrame) -> DataFrame:
 def greedy_swaps(missing: DataFrame, extra: DataFrame, group: list[str], size: str, most: float = 1.0) -> DataFrame:
     """Likely swaps (missing, extra, gap): same group, sizes at most ``most`` apart, each used once, smallest gap first.
 
-    Rounds of joins take every pair that is the best offer of both its ends; each round takes at least one.
+    Sizes meet in bins of the width ``most`` and the bins beside, not in whole groups. Rounds of joins take every pair
+    that is the best offer of both its ends; each round takes at least one.
     """
     from .tables import settled
 
-    m = missing.select(*group, F.col("id").alias("missing"), F.col(size).alias("s1"))
-    e = extra.select(*group, F.col("id").alias("extra"), F.col(size).alias("s2"))
-    offers = settled(m.join(e, group).withColumn("gap", F.abs(F.col("s1") - F.col("s2"))).where(F.col("gap") <= most).select("missing", "extra", "gap"))
+    bin_ = lambda c: F.floor(F.col(c) / most)
+    m = missing.select(*group, F.col("id").alias("missing"), F.col(size).alias("s1")).withColumn("bin", F.explode(F.sequence(bin_("s1") - 1, bin_("s1") + 1)))
+    e = extra.select(*group, F.col("id").alias("extra"), F.col(size).alias("s2")).withColumn("bin", bin_("s2"))
+    offers = settled(m.join(e, [*group, "bin"]).withColumn("gap", F.abs(F.col("s1") - F.col("s2"))).where(F.col("gap") <= most).select("missing", "extra", "gap"))
     done = None
     while True:
         key = F.struct("gap", "missing", "extra")

@@ -32,4 +32,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import catalog, contests, entries, holdings, lookup, pictures, rules, signatures, statistics, streams, texts, value  # noqa: E402, F401
+from . import catalog, contests, entries, holdings, lookup, pictures, rules, scenes, signatures, statistics, streams, texts, value  # noqa: E402, F401
