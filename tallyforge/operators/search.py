@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import all_words_match, grams, name_norm, tokens
+from .tables import written
 
 
 def token_matches(df: DataFrame, text: str, query: str, prefix: bool = True) -> DataFrame:
@@ -35,18 +36,24 @@ def inverted_index(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, id_col: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, rank): smaller is better, as in full-text engines that rank by negated BM25.
 
-    Each document leaves only the query's tokens, so no other token is shuffled; corpus counts are one-row aggregates
-    over the documents' lengths. Documents without a token do not count.
+    Texts are read and tokenised once: a written row a document holds its length and how often it has each query token.
+    Corpus counts are one row over that table, and a document's rank needs nothing but its own row. Documents without a
+    token do not count; tokens asked for twice count once.
     """
+    query = list(dict.fromkeys(query))
     words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("words")).where(F.size("words") > 0)
-    corpus = words.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("words")).alias("mean"))
-    wanted = F.explode(F.filter("words", lambda x: x.isin(query))).alias("token")
-    hits = words.select("id", F.size("words").alias("length"), wanted).groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    found = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(F.broadcast(found), "token").join(F.broadcast(corpus))  # a row for each query token, and one row
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return rows.groupBy("id").agg((-F.sum(weight)).alias("rank"))
+    hits = written(words.select("id", F.size("words").alias("length"), *[F.size(F.filter("words", _equals(w))).alias(f"tf{i}") for i, w in enumerate(query)]))
+    corpus = hits.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
+    rank = F.lit(0.0)
+    for i in range(len(query)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        rank = rank - F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    found = hits.where(F.greatest(F.lit(0), *[F.col(f"tf{i}") for i in range(len(query))]) > 0)
+    return found.join(F.broadcast(corpus)).select("id", rank.alias("rank"))  # one row
+
+
+def _equals(word: str):
+    return lambda x: x == word
 
 
 def resolve_in_stages(asked: DataFrame, key: str, stages: list[tuple[str, DataFrame]]) -> DataFrame:
