@@ -161,4 +161,4 @@ def test_pipeline_stages(spark, docs, none, items, tmp_path):
             assert name == "tokens" or out.columns == df.columns
             assert out.count() <= len(ROWS)
     assert {r.doc_id for r in corpus_pipeline.run(spark, where).collect()} <= {None, 1, 4, 5}
-    assert "pipeline" not in registry.QUERIES and len(registry.QUERIES) == 10
+    assert "pipeline" not in registry.QUERIES and len(registry.QUERIES) == 13
