@@ -94,13 +94,17 @@ def _streamed_step(split: int, idle_ms: int | None):
     return run
 
 
-def segments_streamed(frames: DataFrame, split: int = 20, idle_ms: int | None = None) -> DataFrame:
+#: A capture without frames for an hour ends.
+IDLE_MS = 3_600_000
+
+
+def segments_streamed(frames: DataFrame, split: int = 20, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """The same over a stream: a frame of kind ``final`` ends its capture. Frames of a batch are put in order of idx.
 
-    With ``idle_ms``, a capture without frames for so long (processing time) ends too, so that state is kept for live
-    captures only; frames that come after that open a capture anew, with groups numbered from one. Sources that do not
-    end every capture need it, under a ``processingTime`` trigger: with ``availableNow`` such a stream would wait for
-    time-outs without end. Without it, state stays until ``final`` comes.
+    A capture without frames for ``idle_ms`` (processing time) ends too, so that state is kept for live captures only;
+    frames that come after that open a capture anew, with groups numbered from one. This needs a ``processingTime``
+    trigger: with ``availableNow`` such a stream would wait for time-outs without end. Sources that end every capture
+    themselves may pass None; state then stays until ``final`` comes.
     """
     stored = "number int, first long, last long, frames int, sig long, x double, worst int, empties int"
     return frames.groupBy("capture").applyInPandasWithState(_streamed_step(split, idle_ms), OUT, stored, "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")

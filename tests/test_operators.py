@@ -229,7 +229,7 @@ def test_segments_batch_equals_stream(spark, tmp_path):
         more = [f for f in rows if part * 20 <= f[1] < part * 20 + 20] + ([(c, 10**6, "final", 0, 0.0) for c in range(4)] if part == 2 else [])
         spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(str(src))
         n += len(more)
-    stream = segments_streamed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src)))
+    stream = segments_streamed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src)), idle_ms=None)
     q = stream.writeStream.format("memory").queryName("segments").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("segments").collect())) == batch
