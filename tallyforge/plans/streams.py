@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.entity import constrained_clusters, greedy_swaps, representatives
-from ..streaming.segments import contiguous_prefix, folded, hidden_copies, ingested_once, live_segments, segments
+from ..streaming.live import live_segments
+from ..streaming.segments import contiguous_prefix, folded, hidden_copies, ingested_once, segments
 from .registry import Tables, query
 
 
@@ -15,15 +16,47 @@ def frames(t: Tables) -> DataFrame:
     return t.events.select(F.col("user_id").alias("capture"), F.col("event_id").alias("idx"), kind.alias("kind"), F.xxhash64(F.floor(F.col("value") / 10)).alias("sig"), (F.col("value") / 100).alias("x"))
 
 
-@query()
+@query("""
+WITH RECURSIVE f AS (
+  SELECT user_id AS capture, event_id AS idx, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+    CASE WHEN event_type = 'error' THEN 3 WHEN value > 60 THEN 2 WHEN value > 35 THEN 1 ELSE 0 END AS k, floor(value / 10) AS art, value / 100 AS x FROM events
+), m AS (
+  SELECT DISTINCT user_id AS capture, 0::BIGINT AS n, 0 AS number, -1::BIGINT AS first, -1::BIGINT AS last, 0 AS frames, 0::DOUBLE AS art, 0::DOUBLE AS x, 0 AS worst, 0 AS waits,
+    NULL::STRUCT(number INTEGER, first BIGINT, last BIGINT, frames INTEGER, why VARCHAR) AS told FROM events
+  UNION ALL
+  SELECT capture, n, number + CASE WHEN why IS NULL THEN 0 ELSE 1 END, CASE WHEN k = 0 AND (frames = 0 OR why IS NOT NULL) THEN idx ELSE first END, CASE WHEN k = 0 THEN idx ELSE last END,
+    CASE WHEN why IS NOT NULL THEN 0 ELSE frames END + CASE WHEN k = 0 THEN 1 ELSE 0 END, CASE WHEN k = 0 THEN new_art ELSE art END, CASE WHEN k = 0 THEN new_x ELSE x END,
+    CASE WHEN k = 0 THEN 0 ELSE greatest(worst, k) END, CASE WHEN k = 0 THEN 0 ELSE waits + 1 END,
+    CASE WHEN why IS NOT NULL THEN {'number': number + 1, 'first': first, 'last': last, 'frames': frames, 'why': why} END
+  FROM (SELECT m.capture, f.n, m.number, m.first, m.last, m.frames, m.art, m.x, m.worst, m.waits, f.k, f.idx, f.art AS new_art, f.x AS new_x,
+      CASE WHEN m.frames = 0 THEN NULL WHEN f.k = 3 AND m.waits >= 1 THEN 'empty' WHEN f.k <> 0 THEN NULL WHEN m.worst >= 2 THEN 'moved'
+        WHEN f.art <> m.art THEN 'changed' WHEN m.worst = 1 AND 1 - abs(f.x - m.x) < 0.7 THEN 'shifted' END AS why
+    FROM m JOIN f ON f.capture = m.capture AND f.n = m.n + 1)
+), e AS (SELECT capture, arg_max({'number': number + 1, 'first': first, 'last': last, 'frames': frames, 'why': 'end'}, n) AS told FROM m GROUP BY 1)
+SELECT capture, told.number AS number, told.first AS first, told.last AS last, told.frames AS frames, told.why AS why FROM m WHERE told IS NOT NULL
+UNION ALL SELECT capture, told.number, told.first, told.last, told.frames, told.why FROM e WHERE told.frames > 0
+""")
 def segment_events(t: Tables) -> DataFrame:
     return segments(frames(t))
 
 
+def live_frames(t: Tables) -> DataFrame:
+    """Frames whose signature is the day's, one of three, and the picture's score."""
+    art = F.xxhash64(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86_400) % 3)
+    return frames(t).join(t.events.select(F.col("event_id").alias("idx"), art.alias("art")), "idx").select("capture", "idx", "kind", F.col("art").alias("sig"), (1 - F.col("x")).alias("x"))
+
+
 @query()
 def segment_live(t: Tables) -> DataFrame:
     held = frames(t).withColumn("sig", F.col("capture") % 3).withColumn("x", 1 - F.col("x"))
-    return live_segments(held)
+    return live_segments(held).select("capture", "number", "emitted", "frames", "doubtful", "best")
+
+
+@query()
+def segment_live_answers(t: Tables) -> DataFrame:
+    """Groups told live while every sign-up asks for another frame of the first groups and large values reject them."""
+    asked = t.events.select(F.col("user_id").alias("capture"), F.col("event_id").alias("idx"), F.when(F.col("event_type") == "signup", "rearm").when(F.col("value") > 100, "reject").alias("kind"), (F.col("event_id") % 3 + 1).alias("number"))
+    return live_segments(live_frames(t), asked.where("kind is not null"))
 
 
 @query("""
@@ -82,7 +115,19 @@ def notices_once(t: Tables) -> DataFrame:
     return t.events.where("event_id > 5000").select("user_id", "event_type").distinct().join(sent, ["user_id", "event_type"], "left_anti")
 
 
-@query()
+@query("""
+WITH RECURSIVE g AS (
+  SELECT user_id AS capture, event_id AS number, event_type AS item, CAST(trunc(value) AS BIGINT) % 30 + 1 AS frames, event_id % 6 AS before, event_id % 3 = 0 AS gone,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, median(CAST(trunc(value) AS BIGINT) % 30 + 1) OVER (PARTITION BY user_id) AS middle FROM events
+), m AS (
+  SELECT capture, n, number, item, frames, 1 AS merged, 0 AS ended FROM g WHERE n = 1
+  UNION ALL
+  SELECT g.capture, g.n, CASE WHEN joins THEN s.number ELSE g.number END, g.item, g.frames + CASE WHEN joins THEN s.frames ELSE 0 END, CASE WHEN joins THEN s.merged + 1 ELSE 1 END, 0
+  FROM (SELECT m.capture, m.n, m.number, m.frames, m.merged, coalesce(m.item = h.item AND (NOT h.gone OR (h.frames < 4 AND h.before <= 3 AND m.frames + h.frames <= 1.6 * h.middle)), false) AS joins
+    FROM m JOIN g h ON h.capture = m.capture AND h.n = m.n + 1) s JOIN g ON g.capture = s.capture AND g.n = s.n + 1
+)
+SELECT capture, number, arg_max(item, n) AS item, max(frames) AS frames, max(merged) AS merged FROM m GROUP BY 1, 2
+""")
 def fragment_fold(t: Tables) -> DataFrame:
     groups = t.events.select(F.col("user_id").alias("capture"), F.col("event_id").alias("number"), F.col("event_type").alias("item"), (F.col("value").cast("long") % 30 + 1).alias("frames"), (F.col("event_id") % 6).alias("gap_before"), (F.col("event_id") % 3 == 0).alias("left"))
     return folded(groups)

@@ -1,7 +1,7 @@
 """Segments of ordered frames: one state machine for batches and for Structured Streaming.
 
-A group opens on the first stable frame. It closes on two empty frames, on a stable frame after the card left or moved
-fast, on a signature that differs in more than ``split`` bits, or on a small overlap after unstable frames. Frames have
+A group opens on the first stable frame. It closes on an empty frame that is not the first frame of its pause, on a
+stable frame after the card left or moved fast, on a signature that differs in more than ``split`` bits, or on a small overlap after unstable frames. Frames have
 capture, idx, kind (empty, fast, unstable, stable), sig (long) and x (position).
 """
 
@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .carried import carried
+
 ORDER = {"stable": 0, "unstable": 1, "fast": 2, "empty": 3}
 OUT = "capture long, number int, first long, last long, frames int, why string"
 
@@ -22,28 +24,28 @@ class Segmenter:
 
     def __init__(self, split: int = 20, near: float = 0.7, state: tuple | None = None) -> None:
         self.split, self.near = split, near
-        self.number, self.first, self.last, self.frames, self.sig, self.x, self.worst, self.empties = state or (0, -1, -1, 0, 0, 0.0, 0, 0)
+        self.number, self.first, self.last, self.frames, self.sig, self.x, self.worst, self.waits = state or (0, -1, -1, 0, 0, 0.0, 0, 0)
 
     def state(self) -> tuple:
-        return (self.number, self.first, self.last, self.frames, self.sig, self.x, self.worst, self.empties)
+        return (self.number, self.first, self.last, self.frames, self.sig, self.x, self.worst, self.waits)
 
     def push(self, idx: int, kind: str, sig: int, x: float) -> tuple | None:
         """Takes a frame; the group (number, first, last, frames, why) that it closes, if any."""
         if kind != "stable":
             self.worst = max(self.worst, ORDER[kind])
-            self.empties = self.empties + 1 if kind == "empty" else 0
-            return self.close("empty") if self.empties >= 2 and self.frames else None
+            self.waits += 1
+            return self.close("empty") if kind == "empty" and self.waits >= 2 and self.frames else None
         out = None
         if self.frames:
             if self.worst >= ORDER["fast"]:
                 out = self.close("moved")
             elif ((sig ^ self.sig) & (1 << 64) - 1).bit_count() > self.split:
                 out = self.close("changed")
-            elif self.worst == ORDER["unstable"] and 1 - abs(x - self.x) < self.near:
+            elif self.worst == ORDER["unstable"] and self.overlap(x, self.x) < self.near:
                 out = self.close("shifted")
         if not self.frames:
             self.first = idx
-        self.last, self.frames, self.sig, self.x, self.worst, self.empties = idx, self.frames + 1, sig, x, 0, 0
+        self.last, self.frames, self.sig, self.x, self.worst, self.waits = idx, self.frames + 1, sig, x, 0, 0
         return out
 
     def close(self, why: str) -> tuple:
@@ -52,21 +54,26 @@ class Segmenter:
         self.frames = 0
         return out
 
+    def overlap(self, x, before) -> float:
+        """How much two places have in common."""
+        return 1 - abs(x - before)
+
+    def take(self, *frame) -> list[tuple]:
+        closed = self.push(*frame)
+        return [closed] if closed else []
+
+    def end(self) -> list[tuple]:
+        return [self.close("end")] if self.frames else []
+
 
 def _rows(capture: int, closed: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame([(capture, *c) for c in closed], columns=["capture", "number", "first", "last", "frames", "why"])
 
 
 def segments(frames: DataFrame, split: int = 20) -> DataFrame:
-    """Groups of every capture; what is open at its end closes with it. A capture is one ordered sequence."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        machine = Segmenter(split)
-        found = [machine.push(*f) for f in rows.sort_values("idx")[["idx", "kind", "sig", "x"]].itertuples(index=False)]
-        found = [f for f in found if f]
-        return _rows(key[0], found + ([machine.close("end")] if machine.frames else []))
-
-    return frames.groupBy("capture").applyInPandas(run, OUT)
+    """Groups of every capture; what is open at its end closes with it. A capture is one ordered sequence, read in batches:
+    a task holds one batch and the state."""
+    return carried(frames.select("capture", "idx", "kind", "sig", "x"), "capture", ["idx"], lambda: Segmenter(split), OUT)
 
 
 def _streamed_step(split: int, idle_ms: int | None):
@@ -106,7 +113,7 @@ def segments_streamed(frames: DataFrame, split: int = 20, idle_ms: int | None =
     trigger: with ``availableNow`` such a stream would wait for time-outs without end. Sources that end every capture
     themselves may pass None; state then stays until ``final`` comes.
     """
-    stored = "number int, first long, last long, frames int, sig long, x double, worst int, empties int"
+    stored = "number int, first long, last long, frames int, sig long, x double, worst int, waits int"
     return frames.groupBy("capture").applyInPandasWithState(_streamed_step(split, idle_ms), OUT, stored, "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
 
 
@@ -130,78 +137,30 @@ def ingested_once(rows: DataFrame, keys: list[str]) -> DataFrame:
 def folded(groups: DataFrame, short: int = 4, gap: int = 3, span: float = 1.6) -> DataFrame:
     """Merges fragments of one card (capture, number, item, frames, gap_before, left): a group joins the one before if it
     is the same item and the card did not leave, or if it is short, close and fits ``span`` medians; the order matters,
-    as each merge changes what the next group is compared with."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("number")
-        median = float(rows.frames.median())
-        out: list[list] = []
-        for number, item, frames, before, left in rows[["number", "item", "frames", "gap_before", "left"]].itertuples(index=False):
-            last = out[-1] if out else None
-            if last and last[1] == item and (not left or (frames < short and before <= gap and last[2] + frames <= span * median)):
-                last[2] += frames
-                last[3] += 1
-            else:
-                out.append([number, item, frames, 1])
-        return pd.DataFrame([(key[0], *o) for o in out], columns=["capture", "number", "item", "frames", "merged"])
-
-    return groups.groupBy("capture").applyInPandas(run, "capture long, number long, item string, frames long, merged long")
-
-
-LIVE = "capture long, number int, emitted long, frames int, doubtful boolean"
-
-
-class LiveSegmenter:
-    """Groups told early: after ``steady`` stable frames, later if the picture is doubtful.
-
-    Six empty frames close a group and motion does not. A different signature closes it once it has come ``confirm``
-    times in a row. Groups too short to be told are dropped.
-    """
-
-    def __init__(self, steady: int = 4, late: int = 12, doubt: float = 0.5, sure: float = 0.7, empties: int = 6, confirm: int = 2, split: int = 20) -> None:
-        self.steady, self.late, self.doubt, self.sure, self.limit, self.confirm, self.split = steady, late, doubt, sure, empties, confirm, split
-        self.number, self.other = 0, 0
-        self.reset()
-
-    def reset(self) -> None:
-        self.frames, self.empties, self.sig, self.told, self.scores = 0, 0, None, False, []
-
-    def rearm(self) -> None:
-        """Lets the open group be told once more, after the receiver asked for a better frame."""
-        self.told, self.frames = False, 0
-
-    def push(self, idx: int, kind: str, sig: int, score: float) -> tuple | None:
-        if kind != "stable":
-            self.empties = self.empties + 1 if kind == "empty" else self.empties
-            if self.empties >= self.limit:
-                self.reset()
-            return None
-        self.empties = 0
-        if self.sig is not None and ((sig ^ self.sig) & (1 << 64) - 1).bit_count() > self.split:
-            self.other += 1
-            if self.other < self.confirm:
-                return None
-            self.reset()
-        self.other = 0
-        self.sig = sig if self.sig is None else self.sig
-        self.frames += 1
-        self.scores = sorted([*self.scores, score])[-15:]
-        middle = self.scores[len(self.scores) // 2]
-        if self.told or self.frames < (self.steady if middle >= self.sure else self.late):
-            return None
-        self.told, self.number = True, self.number + 1
-        return (self.number, idx, self.frames, middle < self.doubt)
-
-
-def live_segments(frames: DataFrame) -> DataFrame:
-    """Groups as they would be told live (frames: capture, idx, kind, sig, x as the picture's score)."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        machine = LiveSegmenter()
-        found = [machine.push(*f) for f in rows.sort_values("idx")[["idx", "kind", "sig", "x"]].itertuples(index=False)]
-        return pd.DataFrame([(key[0], *f) for f in found if f], columns=["capture", "number", "emitted", "frames", "doubtful"])
-
-    return frames.groupBy("capture").applyInPandas(run, LIVE)
+    as each merge changes what the next group is compared with. Medians are an aggregate of their own; a task holds one
+    batch and the last group."""
+    medians = groups.groupBy("capture").agg(F.expr("percentile(frames, 0.5)").alias("__median")).withColumnRenamed("capture", "__capture")
+    rows = groups.join(medians, F.col("capture").eqNullSafe(F.col("__capture"))).select("capture", "number", "item", "frames", "gap_before", "left", "__median")
+    return carried(rows, "capture", ["number"], lambda: Folder(short, gap, span), "capture long, number long, item string, frames long, merged long")
+
+
+class Folder:
+    """The last group, which the next one may join."""
+
+    def __init__(self, short: int, gap: int, span: float) -> None:
+        self.short, self.gap, self.span, self.last = short, gap, span, None
+
+    def take(self, number: int, item: str, frames: int, before: int, left: bool, median: float) -> list[tuple]:
+        last = self.last
+        if last and last[1] == item and (not left or (frames < self.short and before <= self.gap and last[2] + frames <= self.span * median)):
+            last[2] += frames
+            last[3] += 1
+            return []
+        self.last = [number, item, frames, 1]
+        return [tuple(last)] if last else []
+
+    def end(self) -> list[tuple]:
+        return [tuple(self.last)] if self.last else []
 
 
 def hidden_copies(angles: DataFrame, least: float = 1.8, margin: int = 5) -> DataFrame:

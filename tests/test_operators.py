@@ -15,7 +15,7 @@ from tallyforge.functions.predicates import Predicates, java_regex, split_match
 from tallyforge.operators import contest, entity, multiset, pairing, rank, rules, upsert
 from tallyforge.sources import catalog, listing
 from tallyforge.functions import quality
-from tallyforge.streaming.segments import LiveSegmenter, Segmenter, _streamed_step, contiguous_prefix, folded, ingested_once, segments, segments_streamed
+from tallyforge.streaming.segments import Segmenter, _streamed_step, contiguous_prefix, folded, ingested_once, segments, segments_streamed
 
 
 def one(spark, col):
@@ -304,18 +304,6 @@ def test_running_allowance_equals_greedy(spark):
             left -= min(q, left)
 
 
-def test_live_segments_tell_once():
-    m = LiveSegmenter()
-    told = [m.push(i, "stable", 0, 0.9) for i in range(6)]
-    assert told == [None] * 3 + [(1, 3, 4, False)] + [None] * 2
-    assert m.push(6, "stable", (1 << 40) - 1, 0.9) is None and m.push(7, "stable", 0, 0.9) is None  # one odd frame changes nothing
-    m.rearm()
-    assert [m.push(8 + i, "stable", 0, 0.9) for i in range(4)][-1] == (2, 11, 4, False)
-    assert [m.push(20 + i, "empty", 0, 0.0) for i in range(6)] == [None] * 6 and m.sig is None
-    low = LiveSegmenter()
-    assert [x for x in (low.push(i, "stable", 0, 0.3) for i in range(14)) if x] == [(1, 11, 12, True)]
-
-
 def test_frame_quality(spark):
     quad = F.array(*[F.array(F.lit(float(x)), F.lit(float(y))) for x, y in ((0, 0), (2, 0), (2, 3), (0, 3))])
     assert one(spark, quality.quality_score(F.lit(1000.0), F.lit(0.0), quad)) == pytest.approx(1.0)
