@@ -18,12 +18,13 @@ def distance(a: Column, b: Column) -> Column:
 
 def sign_bits(vector: Column, start: int, count: int, against: int = 0) -> Column:
     """A long with bit i set if component start + i exceeds component start + i + against (or zero, if against is 0)."""
-    out = F.lit(0).cast("long")
-    for i in range(count):
-        left = F.element_at(vector, start + i + 1)
-        right = F.element_at(vector, (start + i + against) % 64 + 1) if against else F.lit(0.0)
-        out = out.bitwiseOR(F.when(left > right, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
+
+    def with_bit(bits: Column, i: Column) -> Column:
+        right = F.element_at(vector, (F.lit(start + against) + i) % 64 + 1) if against else F.lit(0.0)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), i)
+        return F.when(F.element_at(vector, F.lit(start + 1) + i) > right, bits.bitwiseOR(bit)).otherwise(bits)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(count - 1)), F.lit(0).cast("long"), with_bit)
 
 
 def combined(art: Column, full: Column, bonus: Column) -> Column:

@@ -1,42 +1,122 @@
-"""Nearest signatures and nearest neighbours."""
+"""Nearest signatures by tables of their parts, and nearest neighbours by cells."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.hamming import combined, distance
 from .rank import top_per_key
+from .tables import dropped, written
 
-#: Queries that one pass broadcasts to all rows.
+#: Bits of a band; there are at most 2^16 values a band, so tables over them have a fixed size.
+BAND = 16
+#: Radii that are probed together, as long as they need fewer probes than there are rows.
+STEPS = ((0, 1, 2), (3,), (4,), (5,), (6,), (7,))
+#: Queries that one pass over all rows broadcasts.
 BLOCK = 2_000
 
 
-def scored(rows: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Score of every query against every row, in blocks of queries.
+def _bands(signature: Column, words: int) -> list[Column]:
+    """The 16-bit parts of an array of longs."""
+    return [F.shiftrightunsigned(signature[w], BAND * i).bitwiseAND(F.lit((1 << BAND) - 1)).cast("int") for w in range(words) for i in range(64 // BAND)]
+
+
+def _by_band(df: DataFrame, art: str, full: str, words: int) -> DataFrame:
+    parts = [*_bands(F.col(art), words), *_bands(F.col(full), words)]
+    return df.select("*", F.posexplode(F.array(*parts)).alias("band", "part"))
+
+
+def _first(found: DataFrame, k: int, distinct: str | None, ties: str) -> DataFrame:
+    if distinct:
+        found = found.groupBy("query_id", distinct).agg(F.min_by("id", F.struct("score", "id")).alias("id"), F.min("score").alias("score"))
+    return top_per_key(found, ["query_id"], [F.col("score"), F.col(ties)], k)
+
 
-    Both tables have id, art and full (arrays of longs); rows also have bonus. A block of queries has a fixed size, so it
-    may be broadcast; more queries make more blocks.
+def nearest(rows: DataFrame, queries: DataFrame, k: int, distinct: str | None = None, words: int = 1, report: list | None = None, ties: str = "id") -> DataFrame:
+    """The k best other rows of each query (query_id, id, score, rank and ``distinct``), by score, then id.
+
+    ``rows`` has id, art and full (arrays of ``words`` longs) and bonus (null: 0), ``queries`` id, art and full. With
+    ``distinct``, a column of the rows, the k best values of it, each with its best row; ``ties`` (id or that column)
+    then orders values of one score.
+
+    Rows are indexed by every 16-bit part of both signatures. Queries probe the parts within a growing radius r, until
+    their result is sure: a row not met within r differs in more than r bits of every part, so its score is at least
+    1.5 * parts * (r + 1) less the largest bonus, and a k-th best score below that is final. A pair counts at its nearest
+    part only, so it is scored once. A radius that needs more probes a query than there are rows ends this: the queries
+    left meet all rows not met, in broadcast blocks of 2,000, as they have nothing near. Of equal rows only as many as
+    can be among the best take part. ``report`` gets a step's (radius, pairs scored, queries left after it).
+
+    Rows with a signature that is null, short or holds null take no part. Queries that meet no row are not in the result.
     """
-    n = max(1, -(-queries.count() // block))
-    at = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    asked = queries.select(F.col("id").alias("query_id"), F.col("art").alias("q_art"), F.col("full").alias("q_full"))
-    out = None
-    for b in range(n):
-        part = rows.crossJoin(F.broadcast(asked.where(at == b)))
-        part = part.withColumn("score", combined(distance(F.col("art"), F.col("q_art")), distance(F.col("full"), F.col("q_full")), F.col("bonus")))
-        out = part if out is None else out.unionByName(part)
-    return out
+    whole = lambda c: (F.size(c) == words) & ~F.exists(c, lambda x: x.isNull())
+    extra = [distinct] if distinct else []
+    copies = [F.col(c) for c in ("art", "full", "bonus", *extra)]
+    # signatures may be dear to make: they are written before anything, filters too, looks at them
+    given = written(rows.select("id", "art", "full", F.coalesce(F.col("bonus").cast("double"), F.lit(0.0)).alias("bonus"), *extra))
+    held = written(top_per_key(given.where(whole("art") & whole("full")), copies, [F.col("id")], 2 if distinct else k + 1, "__copy").drop("__copy"))
+    most, size = held.agg(F.max("bonus"), F.count(F.lit(1))).first()
+    index = written(_by_band(held, "art", "full", words))
+    asked = written(queries.select(F.col("id").alias("query_id"), F.col("art").alias("q_art"), F.col("full").alias("q_full")))
+    left = asked.where(whole("q_art") & whole("q_full"))
+    masks = rows.sparkSession.range(1 << BAND).select(F.col("id").cast("int").alias("mask"), F.bit_count("id").alias("bits"), F.lit(1).alias("one"))
+    parts = 64 // BAND * words
+    pairs = [F.bit_count(x.bitwiseXOR(y)) for side in ("art", "full") for x, y in zip(_bands(F.col(side), words), _bands(F.col(f"q_{side}"), words), strict=True)]
+    apart = F.array(*pairs)
+    score = combined(distance(F.col("art"), F.col("q_art")), distance(F.col("full"), F.col("q_full")), F.col("bonus"))
+    best, done, old, reached = None, [], [given, asked, held, index], -1
 
+    def ranked_so_far(met: DataFrame) -> tuple[DataFrame, Observation]:
+        """The best of what was met now and before, as a written table."""
+        counted = Observation()
+        found = met.observe(counted, F.count(F.lit(1)).alias("n")).select("query_id", "id", score.alias("score"), *extra)
+        ranked = written(_first(found if best is None else found.unionByName(best), k, distinct, ties).select("query_id", "id", "score", *extra, "rank"))
+        return ranked, counted
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query; ties go to the smaller id."""
-    return top_per_key(scored(rows, queries).where("id <> query_id"), ["query_id"], [F.col("score"), F.col("id")], k)
+    for step in STEPS:
+        if step != STEPS[0] and sum(math.comb(BAND, r) for r in step) * 2 * parts > size:
+            break
+        near = masks.where(F.col("bits").isin(*step))  # at most 65,536 rows
+        probes = _by_band(left, "q_art", "q_full", words).withColumn("one", F.lit(1)).join(F.broadcast(near), "one")
+        probes = probes.select("query_id", "q_art", "q_full", "band", F.col("part").bitwiseXOR(F.col("mask")).alias("part"), "bits")
+        met = probes.join(index, ["band", "part"]).where("id <> query_id").withColumn("apart", apart)
+        met = met.where((F.array_min("apart") == F.col("bits")) & (F.array_position("apart", F.array_min("apart")) == F.col("band") + 1))
+        reached = step[-1]
+        ranked, counted = ranked_so_far(met)
+        sure = ranked.where((F.col("rank") == k) & (F.col("score") < 1.5 * parts * (reached + 1) - (most or 0.0))).select("query_id")
+        done.append(ranked.join(sure, "query_id", "left_semi"))
+        best = ranked.join(sure, "query_id", "left_anti").drop("rank")
+        old.append(left)
+        left = written(left.join(sure, "query_id", "left_anti"))
+        n = left.count()
+        if report is not None:
+            report.append((reached, counted.get["n"], n))
+        if not n:
+            break
+    n = left.count()
+    if n:
+        blocks = -(-n // BLOCK)
+        met = None
+        for b in range(blocks):
+            block = F.broadcast(left.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
+            part = held.join(block, (F.col("id") != F.col("query_id")) & (F.array_min(apart) > reached))
+            met = part if met is None else met.unionByName(part)
+        ranked, counted = ranked_so_far(met)
+        done.append(ranked)
+        if report is not None:
+            report.append((BAND, counted.get["n"], 0))
+    dropped(*old, left)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
-def nearest_in_two_stages(rows: DataFrame, queries: DataFrame, k: int, rerank, factor: int = 3) -> DataFrame:
-    """The best ``factor * k`` by score, ranked again by ``rerank`` (a column of both sides), then the best k."""
-    first = top_per_key(scored(rows, queries).where("id <> query_id"), ["query_id"], [F.col("score"), F.col("id")], factor * k, "first")
+def nearest_in_two_stages(rows: DataFrame, queries: DataFrame, k: int, rerank: Column, factor: int = 3) -> DataFrame:
+    """The best ``factor * k`` by score, ranked again by ``rerank`` (of query_id, id and score) added, then the best k."""
+    first = nearest(rows, queries, factor * k).withColumnRenamed("rank", "first")
     return top_per_key(first.withColumn("final", F.col("score") + rerank), ["query_id"], [F.col("final"), F.col("id")], k)
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.hamming import confidence, sign_bits, similarity
 from ..operators.disk_index import DiskIndex
-from ..operators.nearest import nearest, nearest_in_two_stages, neighbours, scored
-from ..operators.rank import other_key_best, top_per_key
+from ..operators.nearest import nearest, nearest_in_two_stages, neighbours
+from ..operators.rank import other_key_best
 from ..operators.tables import shared_folder
 from .registry import Tables, query
 
@@ -62,7 +62,7 @@ SELECT query_id, item, best, rival, round(least(0.995, 1 / (1 + exp(-(coalesce(r
 """)
 def knn_confidence(t: Tables) -> DataFrame:
     """The best item of each query, the best rival of another item, and the confidence of the margin."""
-    best = other_key_best(scored(*signed(t)).where("id <> query_id"), ["query_id"], "item", "score")
+    best = other_key_best(nearest(*signed(t), 2, "item", ties="item"), ["query_id"], "item", "score")
     return best.withColumn("confidence", F.round(confidence(F.col("best"), F.col("rival")), 6))
 
 
@@ -72,9 +72,8 @@ SELECT query_id, item, id, n, round(least(1, greatest(0, 1 - score / 110)), 6) A
 """)
 def distinct_topn(t: Tables) -> DataFrame:
     """The three best rows of different items."""
-    one = top_per_key(scored(*signed(t)).where("id <> query_id"), ["query_id", "item"], [F.col("score"), F.col("id")], 1, "r")
-    best = top_per_key(one, ["query_id"], [F.col("score"), F.col("id")], 3, "n")
-    return best.select("query_id", "item", "id", F.col("n").cast("long").alias("n"), F.round(similarity(F.col("score")), 6).alias("similarity"))
+    best = nearest(*signed(t), 3, "item")
+    return best.select("query_id", "item", "id", F.col("rank").cast("long").alias("n"), F.round(similarity(F.col("score")), 6).alias("similarity"))
 
 
 @query("""
