@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.command_log import replayed_log
 from ..operators.contest import bracket_rounds, bracket_size, bracket_slots, meetings, minutes_left, placing, pod_sizes, pod_standings, round_robin, sides, standings, suggested_pod_rounds, suggested_rounds, valid_score
 from ..operators.pairing import first_pairs, pods, swiss_pairs
 from .registry import Tables, query
@@ -243,3 +244,43 @@ def pod_pairing(t: Tables) -> DataFrame:
     """The next tables of every contest."""
     m = matches(t)
     return pods(standings(m), meetings(sides(m)))
+
+
+@query("""
+WITH RECURSIVE c AS (
+  SELECT user_id % 40 AS contest, event_id AS seq, k, CASE WHEN k IN ('add', 'remove', 'drop', 'undrop') THEN CAST(user_id // 40 % 3 AS VARCHAR) WHEN k IN ('result', 'clear') THEN CAST(event_id % 4 AS VARCHAR) ELSE '' END AS name,
+    CASE WHEN k IN ('add', 'remove', 'drop', 'undrop') THEN 'player' WHEN k IN ('result', 'clear') THEN 'match' WHEN k IN ('go', 'pause', 'resume', 'reset') THEN 'clock' ELSE 'contest' END AS thing,
+    row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS n
+  FROM (SELECT *, (['start', 'add', 'result', 'drop', 'go', 'undrop', 'pause', 'cut', 'clear', 'resume', 'finish', 'reopen', 'reset', 'uncut', 'remove', 'add', 'unstart', 'rename'])[CAST(floor(value * 100) AS BIGINT) % 18 + 1] AS k FROM events)
+), p AS (
+  SELECT DISTINCT contest, 0::BIGINT AS n, 0 AS phase FROM c
+  UNION ALL
+  SELECT c.contest, c.n, CASE k || phase WHEN 'start0' THEN 1 WHEN 'unstart1' THEN 0 WHEN 'cut1' THEN 2 WHEN 'uncut2' THEN 1 WHEN 'finish1' THEN 3 WHEN 'finish2' THEN 4 WHEN 'reopen3' THEN 1 WHEN 'reopen4' THEN 2 ELSE phase END
+  FROM p JOIN c ON c.contest = p.contest AND c.n = p.n + 1
+), e AS (
+  SELECT c.*, phase, row_number() OVER (PARTITION BY c.contest, thing, name ORDER BY c.n) AS i FROM c JOIN p ON p.contest = c.contest AND p.n = c.n - 1
+), q AS (
+  SELECT DISTINCT contest, thing, name, 0::BIGINT AS i, 0 AS state, 0 AS fits FROM e WHERE thing <> 'contest'
+  UNION ALL
+  SELECT contest, thing, name, i, coalesce(new, state), CASE WHEN new IS NULL THEN 0 ELSE 1 END FROM (
+    SELECT e.contest, e.thing, e.name, e.i, q.state, CASE
+      WHEN k = 'add' AND phase <= 1 AND state = 0 THEN 1 WHEN k = 'remove' AND phase = 0 AND state = 1 THEN 0 WHEN k = 'reset' AND phase <= 2 AND state > 0 THEN 0 WHEN phase NOT IN (1, 2) THEN NULL
+      WHEN k = 'drop' AND state = 1 THEN 2 WHEN k = 'undrop' AND state = 2 THEN 1 WHEN k = 'result' THEN 1 WHEN k = 'clear' AND state = 1 THEN 0
+      WHEN k = 'go' AND state = 0 THEN 1 WHEN k = 'pause' AND state = 1 THEN 2 WHEN k = 'resume' AND state = 2 THEN 1 END AS new
+    FROM q JOIN e ON e.contest = q.contest AND e.thing = q.thing AND e.name = q.name AND e.i = q.i + 1)
+), f AS (
+  SELECT contest, thing, name, arg_max(state, i) AS ends, sum(fits) AS applied, count(*) - 1 - sum(fits) AS refused FROM q GROUP BY 1, 2, 3
+  UNION ALL
+  SELECT e.contest, 'contest', '', max(z.phase), sum(CASE WHEN a.phase <> e.phase THEN 1 ELSE 0 END), sum(CASE WHEN a.phase <> e.phase THEN 0 ELSE 1 END)
+  FROM e JOIN p a ON a.contest = e.contest AND a.n = e.n JOIN (SELECT contest, arg_max(phase, n) AS phase FROM p GROUP BY 1) z ON z.contest = e.contest WHERE thing = 'contest' GROUP BY 1
+)
+SELECT contest, thing, name, CASE thing WHEN 'player' THEN (['absent', 'in', 'dropped'])[ends + 1] WHEN 'match' THEN (['none', 'set'])[ends + 1] WHEN 'clock' THEN (['idle', 'going', 'paused'])[ends + 1]
+  ELSE (['open', 'running', 'playoff', 'finished', 'finished after playoff'])[ends + 1] END AS state, CAST(applied AS BIGINT) AS applied, CAST(refused AS BIGINT) AS refused FROM f
+""")
+def command_log(t: Tables) -> DataFrame:
+    """Events as commands of contests: sixteen kinds and one that is not known."""
+    kinds = ["start", "add", "result", "drop", "go", "undrop", "pause", "cut", "clear", "resume", "finish", "reopen", "reset", "uncut", "remove", "add", "unstart", "rename"]
+    kind = F.array(*map(F.lit, kinds))[(F.floor(F.col("value") * 100) % len(kinds)).cast("int")]
+    rows = t.events.select((F.col("user_id") % 40).alias("contest"), F.col("event_id").alias("seq"), kind.alias("kind"), F.floor(F.col("user_id") / 40).alias("u"))
+    name = F.when(F.col("kind").isin("result", "clear"), F.col("seq") % 4).otherwise(F.col("u") % 3).cast("string")
+    return replayed_log(rows.select("contest", "seq", "kind", name.alias("name")))
