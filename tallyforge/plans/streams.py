@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.entity import constrained_clusters, greedy_swaps, representatives
 from ..streaming.live import live_segments
 from ..streaming.segments import contiguous_prefix, folded, hidden_copies, ingested_once, segments
+from ..streaming.watching import frame_kinds
 from .registry import Tables, query
 
 
@@ -46,6 +47,18 @@ def live_frames(t: Tables) -> DataFrame:
     return frames(t).join(t.events.select(F.col("event_id").alias("idx"), art.alias("art")), "idx").select("capture", "idx", "kind", F.col("art").alias("sig"), (1 - F.col("x")).alias("x"))
 
 
+@query()
+def kinds_of_frames(t: Tables) -> DataFrame:
+    """Events as outlines that shift with their value; errors show none."""
+    v = F.col("value")
+    x, y = 100 + v % 9, 100 + (v * 10) % 7
+    side = F.when(v > 120, 40.0).when(v > 90, 110.0).otherwise(80 + v % 5)
+    quad = F.when(F.col("event_type") != "error", F.array(x, y, x + side, y, x + side, y + side, x, y + side))
+    day = F.dayofmonth(F.col("ts")) % 3
+    rows = t.events.select(F.col("user_id").alias("capture"), F.col("event_id").alias("idx"), quad.alias("quad"), (15 + v % 40).alias("sharp"), ((v * 100) % 100).alias("score"), F.xxhash64(day).alias("sig"))
+    return frame_kinds(rows)
+
+
 @query()
 def segment_live(t: Tables) -> DataFrame:
     held = frames(t).withColumn("sig", F.col("capture") % 3).withColumn("x", 1 - F.col("x"))
