@@ -14,14 +14,15 @@ from .tables import written
 ROWS = 2048
 
 
-def meet(a: DataFrame, b: DataFrame, keys: list[str], by: str, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, rows: int = ROWS) -> DataFrame:
+def meet(a: DataFrame, b: DataFrame, keys: list[str], by: str, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, rows: int = ROWS, rows_b: int | None = None) -> DataFrame:
     """``run`` of every block of ``a`` with every block of ``b`` of the same key; blocks are dealt by a hash of ``by``.
 
-    Each pair of rows of a key comes together in exactly one piece, and no piece holds more than about ``rows`` of a side.
+    Each pair of rows of a key comes together in exactly one piece, and no piece holds more than about ``rows`` of a side
+    (``rows_b`` of ``b``, if given).
     """
     a, b = written(a), written(b)
-    blocks = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
-    sizes = written(blocks(a, "__na").join(blocks(b, "__nb"), keys))
+    blocks = lambda df, name, rows: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+    sizes = written(blocks(a, "__na", rows).join(blocks(b, "__nb", rows_b or rows), keys))
     block = lambda n: F.pmod(F.xxhash64(by, F.lit(11)), F.col(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = a.join(sizes, keys).withColumn("__a", block("__na")).withColumn("__b", all_("__nb")).drop("__na", "__nb")

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.hamming import combined, distance
+from .blocks import columns_of, meet
 from .rank import top_per_key
 from .tables import dropped, written
 
 #: Bits of a band; there are at most 2^16 values a band, so tables over them have a fixed size.
 BAND = 16
-#: Radii that are probed together, as long as they need fewer probes than there are rows.
+#: Radii that are probed together, as long as that costs less than a scan.
 STEPS = ((0, 1, 2), (3,), (4,), (5,), (6,), (7,))
-#: Queries that one pass over all rows broadcasts.
-BLOCK = 2_000
+#: Queries and rows of a piece of the scan, and pairs that it scores at once.
+BLOCK, ROWS, PAIRS = 2_048, 1 << 15, 1 << 20
+#: Rows that a scan passes in the time of one probe, or of one pair that a probe meets; scans below so many rows cost as those.
+DEAR, LEAST = 64, 1 << 17
 
 
 def _bands(signature: Column, words: int) -> list[Column]:
@@ -35,6 +40,56 @@ def _first(found: DataFrame, k: int, distinct: str | None, ties: str) -> DataFra
     return top_per_key(found, ["query_id"], [F.col("score"), F.col(ties)], k)
 
 
+def _scan(asked: pa.Table, held: pa.Table, words: int, k: int, distinct: str | None, reached: int) -> pa.Table:
+    """Of each query the rows (or values of ``distinct``) of a piece that can be among its k best, each value's best row."""
+    names = ["query_id", "id", "score", *([distinct] if distinct else [])]
+    part = lambda i, j, score: pa.table([asked.column("query_id").take(pa.array(i)), held.column("id").take(pa.array(j)), pa.array(score), *([held.column(distinct).take(pa.array(j))] if distinct else [])], names)
+    none = np.zeros(0, np.int64)
+    if not asked.num_rows or not held.num_rows:
+        return part(none, none, np.zeros(0))
+    asked, held = asked.combine_chunks(), held.sort_by([(c, "ascending") for c in ([distinct] if distinct else []) + ["id"]]).combine_chunks()
+    bits = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
+    both = pa.concat_arrays([asked.column("query_id").combine_chunks(), held.column("id").combine_chunks()]).dictionary_encode().indices.to_numpy()
+    me, other = both[: asked.num_rows], both[asked.num_rows :]
+    sides = [(bits(asked, f"q_{c}"), bits(held, c)) for c in ("art", "full")]
+    bonus = held.column("bonus").to_numpy()
+    if distinct:
+        value = held.column(distinct).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        nth = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(value)]))
+    found, step = [], max(1, PAIRS // held.num_rows)
+    for at in range(0, asked.num_rows, step):
+        here, counts = slice(at, at + step), []
+        near = me[here, None] == other
+        for q, r in sides:
+            count = np.zeros(near.shape, np.uint16)
+            apart = np.full(near.shape, 16, np.uint8) if reached >= 0 else None
+            for w in range(words):
+                x = q[here, w, None] ^ r[:, w]
+                count += np.bitwise_count(x)
+                if apart is not None:
+                    np.minimum(apart, np.bitwise_count(x.view(np.uint16)).reshape(*x.shape, 4).min(axis=2), out=apart)
+            counts.append(count)
+            if apart is not None:
+                near |= apart <= reached  # met before
+        score = counts[0] + 0.5 * counts[1] - bonus
+        score[near] = np.inf
+        if distinct:
+            best = np.minimum.reduceat(score, starts, axis=1)
+            kth = np.partition(best, k - 1, axis=1)[:, k - 1, None] if best.shape[1] > k else np.inf
+            i, j = np.nonzero(score == np.where((best <= kth) & np.isfinite(best), best, np.nan)[:, nth])
+            first = np.r_[True, (np.diff(i) > 0) | (np.diff(nth[j]) > 0)][: len(i)]  # rows are in order of value, then id
+        else:
+            kth = np.partition(score, k - 1, axis=1)[:, k - 1, None] if score.shape[1] > k else np.inf
+            i, j = np.nonzero((score <= kth) & np.isfinite(score))
+            order = np.lexsort((j, score[i, j], i))
+            i, j = i[order], j[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j = i[first], j[first]
+        found.append((i + at, j, score[i, j]))
+    return part(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int, distinct: str | None = None, words: int = 1, report: list | None = None, ties: str = "id") -> DataFrame:
     """The k best other rows of each query (query_id, id, score, rank and ``distinct``), by score, then id.
 
@@ -45,9 +100,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, distinct: str | None =
     Rows are indexed by every 16-bit part of both signatures. Queries probe the parts within a growing radius r, until
     their result is sure: a row not met within r differs in more than r bits of every part, so its score is at least
     1.5 * parts * (r + 1) less the largest bonus, and a k-th best score below that is final. A pair counts at its nearest
-    part only, so it is scored once. A radius that needs more probes a query than there are rows ends this: the queries
-    left meet all rows not met, in broadcast blocks of 2,000, as they have nothing near. Of equal rows only as many as
-    can be among the best take part. ``report`` gets a step's (radius, pairs scored, queries left after it).
+    part only, so it is scored once. A radius whose probes and the rows that they meet cost more than a scan ends this: the
+    queries left meet all rows not met, block by block inside tasks, as they have nothing near. A block gives only what
+    can be among the k best. Of equal rows only as many as can be among the best take part. ``report`` gets a step's (radius, pairs scored, queries left after it).
 
     Rows with a signature that is null, short or holds null take no part. Queries that meet no row are not in the result.
     """
@@ -76,7 +131,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, distinct: str | None =
         return ranked, counted
 
     for step in STEPS:
-        if step != STEPS[0] and sum(math.comb(BAND, r) for r in step) * 2 * parts > size:
+        if sum(math.comb(BAND, r) for r in step) * 2 * parts * (1 + size / (1 << BAND)) * DEAR > max(size, LEAST * words):
             break
         near = masks.where(F.col("bits").isin(*step))  # at most 65,536 rows
         probes = _by_band(left, "q_art", "q_full", words).withColumn("one", F.lit(1)).join(F.broadcast(near), "one")
@@ -96,17 +151,16 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, distinct: str | None =
         if not n:
             break
     n = left.count()
-    if n:
-        blocks = -(-n // BLOCK)
-        met = None
-        for b in range(blocks):
-            block = F.broadcast(left.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
-            part = held.join(block, (F.col("id") != F.col("query_id")) & (F.array_min(apart) > reached))
-            met = part if met is None else met.unionByName(part)
-        ranked, counted = ranked_so_far(met)
-        done.append(ranked)
+    if n or not done:
         if report is not None:
-            report.append((BAND, counted.get["n"], 0))
+            pairs_left = held.crossJoin(F.broadcast(left)).where((F.col("id") != F.col("query_id")) & (F.array_min(apart) > reached))
+            report.append((BAND, pairs_left.count(), 0))
+        run = lambda x, y: _scan(x, y, words, k, distinct, reached)
+        kind = asked.schema["query_id"].dataType.simpleString()
+        one, two = (df.withColumn("one", F.lit(1)) for df in (left.withColumnRenamed("query_id", "id"), held))
+        met = meet(one.withColumn("query_id", F.col("id")), two, ["one"], "id", run, f"query_id {kind}, {columns_of(held, ['id'])}, score double" + (f", {columns_of(held, extra)}" if extra else ""), BLOCK, ROWS)
+        done.append(_first(met if best is None else met.unionByName(best), k, distinct, ties).select("query_id", "id", "score", *extra, "rank"))
+        done[-1] = written(done[-1])
     dropped(*old, left)
     out = done[0]
     for d in done[1:]:
