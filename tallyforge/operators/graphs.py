@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import settled
+from .tables import settled, written
 
 
 def overlaps(a: DataFrame, b: DataFrame, group: list[str], cell: float, least: float = 0.55) -> DataFrame:
@@ -82,20 +82,30 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         label = settled(label.join(up, "part", "left").select("node", F.coalesce("to", "part").alias("part")))
 
 
-def replayed(commands: DataFrame) -> DataFrame:
+def replayed(commands: DataFrame, size: int = 4096) -> DataFrame:
     """Replays score commands per contest (contest, seq, kind, player, amount): the state is a score a player.
 
     ``add`` changes, ``undo`` takes back the last change that still stands, ``drop`` closes a player; changes of closed
-    players do not count. Undone changes are found by the running balance of changes and undos, with windows alone.
+    players do not count. Undone changes are found by the running balance of changes and undos. Sums and minima run within
+    chunks of ``size`` numbers and over the chunks' totals, so that a long log is split; seq is a number.
     """
-    order = Window.partitionBy("contest").orderBy("seq")
-    closed = F.min(F.when(F.col("kind") == "drop", F.col("seq"))).over(Window.partitionBy("contest", "player"))
-    rows = commands.withColumn("closed", closed).where((F.col("kind") != "add") | F.col("closed").isNull() | (F.col("seq") < F.col("closed"))).where("kind <> 'drop'")
-    step = F.when(F.col("kind") == "add", 1).otherwise(-1)
-    depth = F.sum(step).over(order)
+    shut = commands.where("kind = 'drop'").groupBy("contest", "player").agg(F.min("seq").alias("closed"))
+    rows = commands.where("kind <> 'drop'").join(shut, ["contest", "player"], "left").where((F.col("kind") != "add") | F.col("closed").isNull() | (F.col("seq") < F.col("closed")))
+    rows = rows.select("contest", "seq", "kind", "player", "amount", F.floor(F.col("seq") / size).alias("chunk"))
+    order = Window.partitionBy("contest", "chunk").orderBy("seq")
     # undos without a change to undo do not count: lift the balance by its lowest point so far
-    floor = F.least(F.lit(0), F.min("depth").over(order))
-    rows = rows.withColumn("depth", depth).withColumn("height", F.col("depth") - floor)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    stands = (F.col("kind") == "add") & (F.coalesce(F.min("height").over(after), F.lit(1 << 30)) >= F.col("height"))
-    return rows.withColumn("stands", stands).where("stands").groupBy("contest", "player").agg(F.sum("amount").alias("score"), F.count(F.lit(1)).alias("changes"))
+    rows = rows.withColumn("depth", F.sum(F.when(F.col("kind") == "add", 1).otherwise(-1)).over(order)).withColumn("low", F.min("depth").over(order))
+    rows = written(rows)
+    along = Window.partitionBy("contest").orderBy("chunk")
+    before, later = along.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("contest").orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = rows.groupBy("contest", "chunk").agg(F.max_by("depth", "seq").alias("total"), F.min("low").alias("least"))
+    chunks = chunks.withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    chunks = chunks.withColumn("floor", F.least(F.lit(0), F.coalesce(F.min(F.col("start") + F.col("least")).over(before), F.lit(0)))).select("contest", "chunk", "start", "floor")
+    height = F.col("start") + F.col("depth") - F.least("floor", F.col("start") + F.col("low"))
+    rows = written(rows.join(chunks, ["contest", "chunk"]).select("contest", "chunk", "seq", "kind", "player", "amount", height.alias("height")))
+    ends = rows.groupBy("contest", "chunk").agg(F.min("height").alias("least")).select("contest", "chunk", F.min("least").over(later).alias("later"))
+    # the least height of all later rows, by running minima from the end
+    after = Window.partitionBy("contest", "chunk").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("after", F.min("height").over(after)).join(ends, ["contest", "chunk"])
+    stands = (F.col("kind") == "add") & (F.coalesce(F.least("after", "later"), F.lit(1 << 30)) >= F.col("height"))
+    return rows.where(stands).groupBy("contest", "player").agg(F.sum("amount").alias("score"), F.count(F.lit(1)).alias("changes"))
