@@ -174,15 +174,43 @@ def nearest_in_two_stages(rows: DataFrame, queries: DataFrame, k: int, rerank: C
     return top_per_key(first.withColumn("final", F.col("score") + rerank), ["query_id"], [F.col("final"), F.col("id")], k)
 
 
+def _near(a: pa.Table, b: pa.Table, group: str, reach: float, k: int) -> pa.Table:
+    """Of each point of a piece the k nearest others of the other piece within reach."""
+    names = [group, "id", "x", "y", "other", "ox", "oy", "distance"]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if a.num_rows and b.num_rows:
+        a, b = a.combine_chunks(), b.sort_by("other").combine_chunks()
+        x, y, ox, oy = (t.column(c).to_numpy() for t, c in ((a, "x"), (a, "y"), (b, "ox"), (b, "oy")))
+        ids = pa.concat_arrays([a.column("id").combine_chunks(), b.column("other").combine_chunks()]).dictionary_encode().indices.to_numpy()
+        me, other = ids[: len(x)], ids[len(x) :]
+        step = max(1, PAIRS // len(ox))
+        for at in range(0, len(x), step):
+            here = slice(at, at + step)
+            apart = np.hypot(ox - x[here, None], oy - y[here, None])
+            apart[(me[here, None] == other) | (apart > reach)] = np.inf
+            kth = np.partition(apart, k - 1, axis=1)[:, k - 1, None] if apart.shape[1] > k else np.inf
+            i, j = np.nonzero((apart <= kth) & np.isfinite(apart))
+            order = np.lexsort((j, apart[i, j], i))
+            i, j = i[order], j[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            found.append((i[first] + at, j[first], apart[i[first], j[first]]))
+    i, j, apart = (np.concatenate(z) for z in zip(*found, strict=True))
+    i, j = pa.array(i), pa.array(j)
+    return pa.table([*(a.column(c).take(i) for c in (group, "id", "x", "y")), *(b.column(c).take(j) for c in ("other", "ox", "oy")), pa.array(apart)], names)
+
+
 def neighbours(points: DataFrame, group: str, reach: float, k: int) -> DataFrame:
     """Up to k nearest other points of the same group within ``reach`` (points: group, id, x, y).
 
-    Points meet through a grid of cells of the reach's size, so only near cells are compared, not whole groups.
+    Points meet through a grid of cells of the reach's size, so only near cells are compared, not whole groups; cells are
+    compared block by block inside tasks, and a block gives at most k rows for each of its points.
     """
     cell = lambda c: F.floor(F.col(c) / reach)
-    a = points.select(group, "id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    given = points.where(F.col(group).isNotNull() & F.col("id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
+    a = given.select(group, "id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
     near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     b = a.select(group, F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy")
-    b = b.withColumn("dx", near).withColumn("dy", near).select(group, "other", "ox", "oy", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    pairs = a.join(b, [group, "cx", "cy"]).where("id <> other").withColumn("distance", F.hypot(F.col("ox") - F.col("x"), F.col("oy") - F.col("y")))
-    return top_per_key(pairs.where(F.col("distance") <= reach), [group, "id"], [F.col("distance"), F.col("other")], k)
+    b = b.withColumn("dx", near).withColumn("dy", near).select(group, "other", "ox", "oy", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"), F.col("other").alias("id"))
+    kind = a.schema["id"].dataType.simpleString()
+    met = meet(a, b, [group, "cx", "cy"], "id", lambda x, y: _near(x, y, group, reach, k), f"{columns_of(a, [group, 'id', 'x', 'y'])}, other {kind}, ox double, oy double, distance double")
+    return top_per_key(met, [group, "id"], [F.col("distance"), F.col("other")], k)
