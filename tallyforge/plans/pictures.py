@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import Predicates
 from ..operators.entity import canonical_pairs, unique_anchors
-from ..operators.graphs import overlaps, replayed, spanning_forest, suppressed
+from ..operators.graphs import overlaps, replayed, spanning_forest, suppressed_in_cells
 from ..operators.multiset import compared
 from ..operators.statistics import order_statistic
 from .registry import Tables, query
@@ -52,7 +52,7 @@ SELECT g, unnest(max_by(kept, n)) AS id FROM r GROUP BY g
 """)
 def suppressed_boxes(t: Tables) -> DataFrame:
     """The boxes that greedy suppression keeps."""
-    return suppressed(boxes(t), pairs(t), ["g"]).select("g", "id")
+    return suppressed_in_cells(boxes(t), ["g"], 0.1).select("g", "id")
 
 
 @query(BOXES + """
