@@ -1,25 +1,30 @@
-"""Pairs and tables of the next round at least cost: exchanges that lower the cost, all contests at once in rounds of joins.
+"""Pairs and tables of the next round at least cost: exchanges that lower the cost, all contests at once.
 
-A cost is compared part by part: meetings so far, then squared gaps in points, then a tie break. A round of joins looks at
-every few pairs (or tables) that stand near each other, finds their best exchange, and makes those exchanges that are the
-best offer to all they touch. Contests in which nothing got better are left out of the next round. What a player knows of
-past rounds travels as a map from opponent to meetings, which is as long as the rounds played.
+A cost is compared part by part: meetings so far, then squared gaps in points, then a tie break. Every few pairs (or tables)
+that stand near each other look for their best exchange, and those that are the best offer to all they touch are made,
+until there is none (``exchanges.py``, inside tasks). A contest of up to ``PLACES`` players is one block of a task's rows; a
+larger one is cut into blocks of so many places, and again with the cuts half a block on, until neither changes anything.
+What a player knows of past rounds travels as a map from opponent to meetings, which is as long as the rounds played.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import columns_of
+from .exchanges import MOST_MET, by_groups, exchanged_pairs, traded_seats
 from .rank import numbered
-from .tables import dropped, written
+from .tables import written
 
 #: Points that the place of a bye lies below the last player, at least.
 BYE_GAP = 3
 #: Contests are improved from several starts at once.
 START = ["contest", "way"]
+#: Places of a block.
+PLACES = 512
+#: Rows that a task takes at once, about.
+ROWS = 1024
 
 
 def agreed(offers: DataFrame, keys: list[str], ends: str) -> DataFrame:
@@ -45,97 +50,31 @@ def _times(u: Column, v: Column) -> Column:
 # --------------------------------------------------------------------------- pairs
 
 
-def _matchings(labels: list[int]) -> list[list[tuple[int, int]]]:
-    if not labels:
-        return [[]]
-    first, rest = labels[0], labels[1:]
-    return [[(first, x), *m] for i, x in enumerate(rest) for m in _matchings(rest[:i] + rest[i + 1 :])]
-
-
-def _exchanges(size: int) -> list[list[tuple[int, int]]]:
-    """All ways to pair the players of ``size`` pairs (2 i, 2 i + 1) in which no pair stays."""
-    return [m for m in _matchings(list(range(2 * size))) if not any(a % 2 == 0 and b == a + 1 for a, b in m)]
-
-
-#: Bits of a cost below meetings, and below gaps in points (squared, in sixteenths) in a last round.
-MET_BITS, GAP_BITS, MOST_TIMES = 42, 20, 255
-_WAYS = [*_exchanges(2), *_exchanges(3), *_exchanges(4)]
-_AS = 128
-
-
-def pair_cost(u: Column, v: Column, final: bool = False) -> Column:
-    """Meetings (or byes), then the squared gap in points and, in a last round, the gap in ranks, as one number."""
-    met = F.when(u["r"] < v["r"], _times(u, v)).otherwise(_times(v, u))
-    gap = F.least(F.round((u["points"] - v["points"]) ** 2 * 16).cast("long"), F.lit((1 << (MET_BITS - (GAP_BITS if final else 0))) - 1))
-    if final:
-        gap = F.shiftleft(gap, GAP_BITS) + F.least(F.abs(u["rank"] - v["rank"]), F.lit((1 << GAP_BITS) - 1))
-    return F.shiftleft(F.least(met, F.lit(MOST_TIMES).cast("long")), MET_BITS) + gap
-
-
-def _crossed(pairs: DataFrame, live: DataFrame | None, near: int, final: bool) -> DataFrame:
-    """(contest, way, i, j, old_i, old_j, c00, c01, c10, c11): what players of two pairs i < j within 2 x ``near`` places would cost."""
-    wide = 2 * near
-    rows = (pairs if live is None else pairs.join(live, START, "left_semi")).withColumn("cell", F.floor(F.col("k") / wide))
-    one = rows.select(*START, F.col("k").alias("i"), F.col("cost").alias("old_i"), F.col("x").alias("i0"), F.col("y").alias("i1"), F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"))
-    two = rows.select(*START, F.col("k").alias("j"), F.col("cost").alias("old_j"), F.col("x").alias("j0"), F.col("y").alias("j1"), "cell")
-    met = one.join(two, [*START, "cell"]).where((F.col("j") > F.col("i")) & (F.col("j") <= F.col("i") + wide))
-    return met.select(*START, "i", "j", "old_i", "old_j", *[pair_cost(F.col(f"i{a}"), F.col(f"j{b}"), final).alias(f"c{a}{b}") for a in (0, 1) for b in (0, 1)])
-
-
-def _offers(crossed: DataFrame, most: int) -> DataFrame:
-    """(contest, way, offer, ends): of every two pairs, and more up to ``most``, the best exchange that lowers the cost."""
-    edge = lambda i, j: crossed.select(*START, F.col("i").alias(f"p{i}"), F.col("j").alias(f"p{j}"), *[F.col(f"c{a}{b}").alias(f"c{2 * i + a}_{2 * j + b}") for a in (0, 1) for b in (0, 1)])
-    group = edge(0, 1).join(crossed.select(*START, F.col("i").alias("p0"), F.col("j").alias("p1"), F.col("old_i").alias("o0"), F.col("old_j").alias("o1")), [*START, "p0", "p1"])
-    out = None
-    for size in range(2, most + 1):
-        if size > 2:  # another pair, near all so far
-            new = size - 1
-            old = crossed.select(*START, F.col("i").alias(f"p{new - 1}"), F.col("j").alias(f"p{new}"), F.col("old_j").alias(f"o{new}"))
-            group = group.join(edge(new - 1, new).join(old, [*START, f"p{new - 1}", f"p{new}"]), [*START, f"p{new - 1}"])
-            for i in range(new - 1):
-                group = group.join(edge(i, new), [*START, f"p{i}", f"p{new}"])
-        before = " - ".join(["", *(f"o{i}" for i in range(size))])
-        gains = [f"({' + '.join(f'c{a}_{b}' for a, b in way)}{before}) * {_AS} + {i}" for i, way in enumerate(_WAYS) if len(way) == size]
-        best = group.select(*START, F.expr(f"least({', '.join(gains)})").alias("best"), F.array(*[f"p{i}" for i in range(size)]).alias("ends")).where("best < 0")
-        best = best.select(*START, F.struct(F.shiftright("best", 7).alias("gain"), F.col("best").bitwiseAND(F.lit(_AS - 1)).cast("int").alias("as"), "ends").alias("offer"), "ends")
-        out = best if out is None else out.unionByName(best)
-    return out
-
-
-def _improved(pairs: DataFrame, most: int, near: int, final: bool) -> DataFrame:
-    """Pairs that no exchange among ``most`` near ones makes cheaper."""
-    live = None
-    while True:
-        crossed = written(_crossed(pairs, live, near, final))
-        offers = written(_offers(crossed, most))
-        dropped(crossed)
-        if offers.isEmpty():
-            dropped(offers)
-            return pairs
-        before, pairs = pairs, written(_exchanged(pairs, offers, final))
-        live = written(offers.select(*START).distinct())
-        dropped(offers, before)
-
-
-def _exchanged(pairs: DataFrame, offers: DataFrame, final: bool) -> DataFrame:
-    """Pairs after the exchanges that all their pairs agree on; the best offer of all is always among them."""
-    taken = agreed(offers, START, "ends")
-    table = F.expr(f"array({', '.join('array(' + ', '.join(f'struct({a} as a, {b} as b)' for a, b in way) + ')' for way in _WAYS)})")
-    new = taken.select(*START, "ends", F.explode(table[F.col("offer.as")]).alias("ab"))
-    place = lambda c: F.struct(F.col("ends")[F.floor(F.col(f"ab.{c}") / 2).cast("int")].alias("k"), (F.col(f"ab.{c}") % 2).alias("side"))
-    new = new.select(*START, place("a").alias("a"), place("b").alias("b"))
-    for end, name in (("a", "u"), ("b", "v")):
-        at = pairs.select(*START, F.col("k").alias(f"k_{name}"), F.col("x").alias(f"x_{name}"), F.col("y").alias(f"y_{name}"))
-        new = new.withColumn(f"k_{name}", F.col(f"{end}.k")).join(at, [*START, f"k_{name}"]).withColumn(name, F.when(F.col(f"{end}.side") == 0, F.col(f"x_{name}")).otherwise(F.col(f"y_{name}")))
-    kept = pairs.join(taken.select(*START, F.explode("ends").alias("k")), [*START, "k"], "left_anti")
-    return kept.select(*START, "k", "x", "y", "cost").unionByName(_paired(new, final))
+def _settled(rows: DataFrame, place: str, size: Column, wide: int, run, extra: str = "") -> DataFrame:
+    """``rows`` (contest, way, ``place``, ...) after ``run`` of every block, until no cut of larger contests changes anything.
 
-
-def _paired(rows: DataFrame, final: bool) -> DataFrame:
-    """(contest, way, k, x, y, cost) of (contest, way, u, v); x stands before y."""
-    u, v = F.col("u"), F.col("v")
-    x, y = F.when(u["r"] < v["r"], u).otherwise(v), F.when(u["r"] < v["r"], v).otherwise(u)
-    return rows.select(*START, x["r"].alias("k"), x.alias("x"), y.alias("y"), pair_cost(u, v, final).alias("cost"))
+    ``size`` is the places of a row's contest, ``wide`` those of a block; half a block holds whatever may be exchanged.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    columns = rows.columns
+
+    def turn(df: DataFrame, shift: int) -> DataFrame:
+        large = size > wide
+        cut = df.select(*columns, large.alias("large"), F.when(large, F.floor((F.col(place) + shift) / wide)).otherwise(0).cast("long").alias("block"))
+        schema = f"{columns_of(cut, cut.columns)}, {extra}moved boolean"
+        keys = [*START, "block"]
+        dealt = cut.repartition(tasks, *keys).sortWithinPartitions(*keys, place)
+        return written(dealt.mapInArrow(by_groups(keys, ROWS, run), schema))
+
+    out = turn(rows, 0)
+    done, large, shift = out.where("not large"), out.where("large"), 0
+    while not large.isEmpty():
+        shift = wide // 2 - shift
+        large = turn(large, shift)
+        if large.where("moved").isEmpty():
+            break
+    return done.unionByName(large)
 
 
 def swiss_pairs(players: DataFrame, met: DataFrame, near: int = 8, final: bool = False, ways: int = 4) -> DataFrame:
@@ -151,21 +90,25 @@ def swiss_pairs(players: DataFrame, met: DataFrame, near: int = 8, final: bool =
     points, byes = (F.coalesce(F.col(c), F.lit(0)) if c in players.columns else F.lit(0) for c in ("points", "byes"))
     rows = players.select("contest", "player", "rank", points.cast("double").alias("points"), byes.cast("long").alias("byes"))
     rows = written(numbered(rows, ["contest"], [F.desc("points"), F.col("rank"), F.col("player")], "r"))
-    odd = rows.groupBy("contest").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min("points").alias("least")).where("n % 2 = 1")
-    known = rows.join(_met_maps(met, rows), ["contest", "r"], "left").join(odd.select("contest", (F.col("n") + 1).alias("bye")), "contest", "left")
+    sizes = rows.groupBy("contest").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min("points").alias("least"))
+    odd = sizes.where("n % 2 = 1")
+    known = rows.join(_met_maps(met, rows), ["contest", "r"], "left").join(sizes.select("contest", "n", F.when(F.col("n") % 2 == 1, F.col("n") + 1).alias("bye")), "contest", "left")
     none = F.create_map().cast("map<int,bigint>")
     had = F.when(F.col("bye").isNotNull() & (F.col("byes") > 0), F.create_map("bye", "byes")).otherwise(none)
-    known = known.select("contest", "r", "player", "points", F.col("rank").cast("long").alias("rank"), F.map_concat(F.coalesce("met", none), had).alias("met"))
+    known = known.select("contest", "r", "player", "points", F.col("rank").cast("long").alias("rank"), F.map_concat(F.coalesce("met", none), had).alias("met"), "n")
     last = F.col("n") + 1
-    free = odd.select("contest", last.alias("r"), F.lit(None).cast(rows.schema["player"].dataType).alias("player"), (F.col("least") - BYE_GAP).alias("points"), last.cast("long").alias("rank"), none.alias("met"))
-    seats = known.unionByName(free).select("contest", F.struct("r", "player", "points", "rank", "met").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(0 if final else ways - 1))).alias("way"))
+    free = odd.select("contest", last.alias("r"), F.lit(None).cast(rows.schema["player"].dataType).alias("player"), (F.col("least") - BYE_GAP).alias("points"), last.cast("long").alias("rank"), none.alias("met"), "n")
+    seats = known.unionByName(free).select("contest", F.struct("r", "player", "points", "rank", "met", "n").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(0 if final else ways - 1))).alias("way"))
     drawn = F.when(F.col("way") > 0, F.xxhash64("contest", "p.r", "way")).otherwise(0)
     seats = numbered(seats, START, [F.desc("p.points"), drawn, F.col("p.r")], "place")
-    pairs = written(_paired(seats.groupBy(*START, F.ceil(F.col("place") / 2).alias("pair")).agg(F.min_by("p", "place").alias("u"), F.max_by("p", "place").alias("v")), final))
-    pairs = _improved(pairs, 3, near, final)
+    pairs = seats.groupBy(*START, F.ceil(F.col("place") / 2).alias("pair")).agg(F.min_by("p", "place").alias("u"), F.max_by("p", "place").alias("v"))
+    u, v = F.col("u"), F.col("v")
+    x, y = F.when(u["r"] < v["r"], u).otherwise(v), F.when(u["r"] < v["r"], v).otherwise(u)  # x stands before y
+    improved = lambda df, most: _settled(df, "k", F.col("x.n"), max(PLACES, 4 * near + 2), exchanged_pairs(most, 2 * near, final), "cost long, ")
+    pairs = improved(pairs.select(*START, x["r"].alias("k"), x.alias("x"), y.alias("y")), 3)
     total = pairs.groupBy(*START).agg(F.sum(F.col("cost").cast("decimal(20,0)")).alias("cost"))
     best = total.groupBy("contest").agg(F.min_by("way", F.struct("cost", "way")).alias("way"))
-    pairs = _improved(written(pairs.join(best, START, "left_semi")), 4, near, final)
+    pairs = improved(pairs.join(best, START, "left_semi").select(*START, "k", "x", "y"), 4)
     x, y = F.col("x"), F.col("y")
     return pairs.select("contest", x["player"].alias("a"), y["player"].alias("b"), _times(x, y).alias("met"), ((x["points"] - y["points"]) ** 2).alias("gap"))
 
@@ -179,57 +122,6 @@ def first_pairs(players: DataFrame, seed: int) -> DataFrame:
 
 # --------------------------------------------------------------------------- tables
 
-#: Times two players have met beyond which more do not weigh more.
-MOST_MET = 7
-
-
-def _weight(u: Column, v: Column) -> Column:
-    """What meeting again costs within one trade: one more of those who met oftener outweighs all others of a trade."""
-    m = F.least(_times(u, v), F.lit(MOST_MET))
-    return F.when(m > 0, F.pow(F.lit(32.0), (m - 1).cast("double")).cast("long")).otherwise(F.lit(0).cast("long"))
-
-
-def _apart(seats: DataFrame, near: int) -> DataFrame:
-    """(contest, way, p, pod, at, again, gap): what each player would add to each table within ``near`` of its own."""
-    members = seats.groupBy(*START, F.col("pod").alias("at")).agg(F.collect_list(F.struct("p.r", "p.points")).alias("members"))  # five at most
-    reach = seats.select(*START, "p", "pod", F.explode(F.sequence(F.greatest(F.col("pod") - near, F.lit(0)), F.least(F.col("pod") + near, F.col("tables") - 1))).alias("at"))
-    p = F.col("p")
-    again = F.aggregate("members", F.lit(0).cast("long"), lambda s, m: s + _weight(p, m))
-    gap = F.aggregate("members", F.lit(0.0), lambda s, m: s + (p["points"] - m["points"]) ** 2)
-    return reach.join(members, [*START, "at"]).select(*START, "p", "pod", "at", again.alias("again"), gap.alias("gap"))
-
-
-def _trades(seats: DataFrame, live: DataFrame | None, near: int) -> DataFrame:
-    """(contest, way, offer, ends): trades of two players of tables within ``near`` that lower the cost."""
-    rows = seats if live is None else seats.join(live, START, "left_semi")
-    apart = written(_apart(rows, near))
-    own = apart.where("at = pod").select(*START, F.col("p.r").alias("r"), F.col("again").alias("own_again"), F.col("gap").alias("own_gap"))
-    moves = apart.where("at <> pod").withColumn("r", F.col("p.r")).join(own, [*START, "r"]).select(*START, "p", "pod", "at", (F.col("again") - F.col("own_again")).alias("again"), (F.col("gap") - F.col("own_gap")).alias("gap"))
-    up = moves.where("pod < at").select(*START, F.col("pod").alias("a"), F.col("at").alias("b"), F.col("p").alias("i"), F.col("again").alias("i_again"), F.col("gap").alias("i_gap"))
-    down = moves.where("pod > at").select(*START, F.col("at").alias("a"), F.col("pod").alias("b"), F.struct("p.r", "p.points", "p.small").alias("j"), F.col("again").alias("j_again"), F.col("gap").alias("j_gap"))
-    i, j = F.col("i"), F.col("j")
-    # tables of the usual size come first, so only the later of two can be the smaller one
-    small = F.when(F.col("b") >= i["full"], 1).otherwise(0) - F.when(F.col("a") >= i["full"], 1).otherwise(0)
-    change = F.struct(
-        (F.col("i_again") + F.col("j_again") - 2 * _weight(i, j)).alias("again"), (small * (i["small"] - j["small"])).cast("long").alias("small"),
-        F.round(F.col("i_gap") + F.col("j_gap") - 2 * (i["points"] - j["points"]) ** 2, 6).alias("gap"),
-    )
-    trades = up.join(down, [*START, "a", "b"]).withColumn("change", change)
-    zero = F.struct(F.lit(0).cast("long").alias("again"), F.lit(0).cast("long").alias("small"), F.lit(0.0).alias("gap"))
-    out = written(trades.where(F.col("change") < zero).select(*START, F.struct("change.*", i["r"].alias("i"), j["r"].alias("j")).alias("offer"), F.array("a", "b").alias("ends")))
-    dropped(apart)
-    return out
-
-
-def _traded(seats: DataFrame, offers: DataFrame) -> DataFrame:
-    """Seats after the trades that both their tables agree on."""
-    taken = agreed(offers, START, "ends")
-    two = F.array(F.struct(F.col("offer.i").alias("r"), F.col("ends")[1].alias("to")), F.struct(F.col("offer.j").alias("r"), F.col("ends")[0].alias("to")))
-    moved = taken.select(*START, F.explode(two).alias("x")).select(*START, "x.r", "x.to")
-    after = seats.withColumn("r", F.col("p.r")).join(moved, [*START, "r"], "left").withColumn("pod", F.coalesce("to", "pod"))
-    return after.select(*seats.columns)
-
-
 def deal_cost(seats: DataFrame) -> DataFrame:
     """(contest, way, cost): pairs that meet again, the most often met first; seats of small tables taken again; gaps."""
     u, v = F.col("p"), F.col("q")
@@ -269,11 +161,7 @@ def pods(players: DataFrame, met: DataFrame | None = None, ways: int = 4, near:
     pod = F.when(n == 5, 0).when(F.col("place") <= fours, F.floor((F.col("place") - 1) / 4)).otherwise(F.col("four") + F.floor((F.col("place") - 1 - fours) / 3))
     seats = written(seated.select("contest", "way", "tables", "p", pod.cast("int").alias("pod")))
     if met is not None:
-        live = None
-        while not (offers := _trades(seats, live, near)).isEmpty():
-            before, seats = seats, written(_traded(seats, offers))
-            live = written(offers.select(*START).distinct())
-            dropped(before, offers)
+        seats = _settled(seats, "pod", F.col("tables"), max(PLACES // 4, 2 * near + 2), traded_seats(near))
         best = deal_cost(seats).groupBy("contest").agg(F.min_by("way", F.struct("cost", "way")).alias("way"))
         seats = seats.join(best, ["contest", "way"], "left_semi")
     order = seats.groupBy("contest", "pod").agg(F.avg("p.points").alias("mean"), F.min("p.r").alias("first"))
