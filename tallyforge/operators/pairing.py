@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .blocks import columns_of
 from .exchanges import MOST_MET, by_groups, exchanged_pairs, traded_seats
 from .rank import numbered
-from .tables import written
+from .tables import dealt, written
 
 #: Points that the place of a bye lies below the last player, at least.
 BYE_GAP = 3
@@ -55,8 +55,6 @@ def _settled(rows: DataFrame, place: str, size: Column, wide: int, run, extra: s
 
     ``size`` is the places of a row's contest, ``wide`` those of a block; half a block holds whatever may be exchanged.
     """
-    spark = rows.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     columns = rows.columns
 
     def turn(df: DataFrame, shift: int) -> DataFrame:
@@ -64,8 +62,8 @@ def _settled(rows: DataFrame, place: str, size: Column, wide: int, run, extra: s
         cut = df.select(*columns, large.alias("large"), F.when(large, F.floor((F.col(place) + shift) / wide)).otherwise(0).cast("long").alias("block"))
         schema = f"{columns_of(cut, cut.columns)}, {extra}moved boolean"
         keys = [*START, "block"]
-        dealt = cut.repartition(tasks, *keys).sortWithinPartitions(*keys, place)
-        return written(dealt.mapInArrow(by_groups(keys, ROWS, run), schema))
+        ordered = dealt(cut, *keys).sortWithinPartitions(*keys, place)
+        return written(ordered.mapInArrow(by_groups(keys, ROWS, run), schema))
 
     out = turn(rows, 0)
     done, large, shift = out.where("not large"), out.where("large"), 0

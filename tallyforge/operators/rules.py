@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import Predicates, first_match
 from ..functions.text import word_number
 from .rank import running_allowance
+from .tables import dealt
 
 
 def load_rules(path: str) -> dict:
@@ -36,7 +37,7 @@ def copy_limit(df: DataFrame, rule: dict) -> Column:
 
 def limited(lines: DataFrame, rule: dict, key: str, order: list[Column]) -> DataFrame:
     """Adds limit, automatic quantity (what still fits, in order) and quantity (an override wins, 0 included)."""
-    rows = lines.withColumn("limit", copy_limit(lines, rule))
+    rows = dealt(lines.withColumn("limit", copy_limit(lines, rule)), key)
     rows = running_allowance(rows, [key], order, "detected", F.col("limit"), "automatic")
     return rows.withColumn("quantity", F.coalesce("override", "automatic"))
 

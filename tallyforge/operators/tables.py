@@ -38,6 +38,16 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in as many partitions as the session shuffles into, which adaptive execution leaves apart.
+
+    Rows that compress well would else be put together by their size on the wire and fill a task's memory.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def dropped(*tables: DataFrame | None) -> None:
     """Removes the files of written tables that nothing reads any more."""
     for df in tables:

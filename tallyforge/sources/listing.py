@@ -51,16 +51,21 @@ def parsed_listing(lines: DataFrame, keys: list[str]) -> DataFrame:
     A header may stand between slashes, number signs and colons. Blank lines, comments, headers and descriptions give no
     item. Without a count, the quantity is one; a mark [Commander...] moves one item to that zone.
     """
-    raw = F.regexp_replace(F.trim(F.regexp_replace("raw", r"\s", " ")), " +", " ")
-    head = F.lower(F.regexp_replace(raw, r"^[/# :]+|[/# :]+$", ""))
+    # each step is a column of its own, so that an expression is evaluated once a line
+    line, head, opens = F.col("__line"), F.col("__head"), F.col("__opens")
+    rows = lines.withColumn("__line", F.regexp_replace(F.trim(F.regexp_replace("raw", r"\s", " ")), " +", " "))
+    rows = rows.withColumn("__head", F.lower(F.regexp_replace(line, r"^[/# :]+|[/# :]+$", "")))
     zones = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
-    opens = F.when(~raw.rlike("^[0-9]"), F.try_element_at(zones, head))
-    zone = F.last(opens, ignorenulls=True).over(Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    about = head.isin(*ABOUT) | F.lower(raw).startswith("name ")
-    rows = lines.withColumn("zone", F.coalesce(zone, F.lit("deck"))).where(opens.isNull() & (raw != "") & ~raw.startswith("//") & ~raw.startswith("#") & ~about)
-    quantity, rest = _counted(raw)
-    marks, rest = _marked(rest)
-    name, code, number = _coded(rest, marks)
+    rows = rows.withColumn("__opens", F.when(~line.rlike("^[0-9]"), F.try_element_at(zones, head)))
+    about = head.isin(*ABOUT) | F.lower(line).startswith("name ")
+    item = opens.isNull() & (line != "") & ~line.startswith("//") & ~line.startswith("#") & ~about
+    rows = rows.select(*keys, "line_no", "__line", "__opens", item.alias("__item"))
+    zone = F.last("__opens", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("zone", F.coalesce(zone, F.lit("deck"))).where("__item")
+    for step, names in ((_counted, ("__quantity", "__counted")), (_marked, ("__marks", "__rest")), (_coded, ("__name", "__code", "__number"))):
+        given = {_counted: (line,), _marked: (F.col("__counted"),), _coded: (F.col("__rest"), F.col("__marks"))}[step]
+        rows = rows.withColumns(dict(zip(names, step(*given), strict=True)))
+    quantity, marks, name, code, number = (F.col(f"__{c}") for c in ("quantity", "marks", "name", "code", "number"))
     first = (F.col("zone") == "commander") | F.lower(marks).contains("[commander")
     finish = F.when(marks.contains("*E*"), "etched").when(marks.contains("*F*"), "foil").otherwise("nonfoil")
     return rows.select(
