@@ -2,18 +2,25 @@
 
 Words hash to buckets; buckets that enough learning documents hold have an embedding, all others are the zero vector, so
 an unseen word says nothing. Filters of several widths slide over the whole text, the strongest answer of each filter is
-kept (max pooling), and a logistic layer weighs these; the answers of a few such networks are averaged. Training is plain
-numpy (minibatches, Adagrad) on a bounded sample of labelled documents; scoring runs in tasks over all rows. The sums of a
-filter's taps are tables by word, so scoring adds rows of tables. Long texts are walked in parts that overlap by a
-filter's width: the maximum over parts is that of the whole.
-
-Part of the sample is kept apart and sets a threshold for each language, by the fewest errors under the true share of
-labels. The language is the one of most likely words, also learned from the sample, so a score needs the text alone. A
-score is the logistic of the distance from the threshold: 0.5 is where the language's threshold lies.
+kept (max pooling), and a logistic layer weighs these; the answers of a few such networks are averaged. Scoring runs in
+tasks over all rows. The sums of a filter's taps are tables by word, so scoring adds rows of tables. Long texts are walked
+in parts that overlap by a filter's width: the maximum over parts is that of the whole.
+
+All labelled documents of the learning part teach. Their words are written once as bucket numbers. Training goes in rounds:
+a round's documents are dealt to shards by a hash, each shard trains its copy of the networks in a task (minibatches,
+Adagrad), and the copies are averaged, a word by how often each shard met it. Few documents are one shard, which is plain
+training; with more of them each is taken fewer times, but ``LEAST_PASSES`` times at least. Only the averages, which do not
+grow with the documents, reach the driver.
+
+A share of the documents is kept apart from training and sets a threshold for each language, by the fewest errors under the
+true share of labels; their answers are counted in bins. The language is the one of most likely words, also learned from
+all learning documents, so a score needs the text alone. A score is the logistic of the distance from the threshold: 0.5 is
+where the language's threshold lies.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +31,21 @@ from pyspark.sql import functions as F
 from .resample import BREAKS, LOWER
 from .shared import discard, hash_spans, materialize, row_pieces, text_bytes, words_of
 
-#: Learning documents of each label, at most; the ones of smallest hash.
-LEARN = 3000
-#: Words of all learning documents, at most, and bytes of one: longer ones teach nothing, but are scored whole.
-LEARN_WORDS = 12_000_000
-LEARN_BYTES = 1 << 20
-#: Of these, kept apart for thresholds: one in APART by hash.
+#: Kept apart for thresholds: one learning document in APART by hash.
 APART = 3
 BUCKETS = 1 << 18
-#: Documents of the sample that a word needs for an embedding.
+#: Learning documents that a word needs for an embedding.
 LEAST_DOCS = 15
 DIM, WIDTHS, FILTERS = 16, (1, 2, 3), 12
-EPOCHS, BATCH, RATE, DECAY, DROP = 8, 32, 0.08, 1e-4, 0.25
+BATCH, RATE, DECAY, DROP = 32, 0.08, 1e-4, 0.25
+#: Rounds of training; documents up to which each is taken in every round; and in how many rounds each is taken at least.
+ROUNDS, EVERY_ROUND, LEAST_PASSES = 8, 4000, 2
+#: Documents of a round that a shard has, about, until there are SHARDS of them.
+SHARD_DOCS, SHARDS = 2500, 16
+#: Documents and words that a shard shuffles at once, words a filter walks at once, and words of a slice of a network.
+BUFFER, BUFFER_WORDS, WALK, SLICE = 4096, 1 << 22, 1 << 18, 4096
+#: Answers from -ODDS to ODDS are counted in bins of 1 / FINE.
+ODDS, FINE = 30, 100
 #: Networks from different starts whose answers are averaged.
 NETS = 3
 #: Documents of each label that a language needs among those kept apart to have a threshold of its own, and documents to be known.
@@ -136,20 +146,33 @@ class Network:
     def answers(self, pooled: np.ndarray) -> np.ndarray:
         return pooled.astype(np.float64) @ self.out.astype(np.float64) + float(self.level[0])
 
+    def strongest(self, ids: np.ndarray, rows: np.ndarray, w: int, taps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each filter of a width answers most on each padded row, and how much; long rows are walked in parts."""
+
+        def answers(lo: int, hi: int) -> np.ndarray:
+            x = self.words[ids[lo : hi + w - 1]]
+            return sum(x[j : hi - lo + j] @ taps[j] for j in range(w))
+
+        ends = rows[1:] - max(WIDTHS) + 1
+        whole = answers(0, len(ids) - w + 1) if len(ids) <= WALK else None
+        at, best, each = np.empty((len(ends), FILTERS), np.int64), np.empty((len(ends), FILTERS), self.words.dtype), np.arange(FILTERS)
+        for i, end in enumerate(ends):
+            for lo in range(rows[i], end, WALK):
+                hi = min(lo + WALK, end)
+                answer = whole[lo:hi] if whole is not None else answers(lo, hi)
+                k = answer.argmax(axis=0)
+                more = (answer[k, each] > best[i]) | (lo == rows[i])
+                at[i], best[i] = np.where(more, lo + k, at[i]), np.where(more, answer[k, each], best[i])
+        return at, best
+
     def gradients(self, ids: np.ndarray, rows: np.ndarray, label: np.ndarray, weight: np.ndarray, keep: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Loss and gradients of all parameters on padded rows; ``keep`` scales pooled answers (dropout)."""
         n = len(rows) - 1
-        x = self.words[ids]
         places, best = [], []
         for w, taps, bias in zip(WIDTHS, self.taps, self.bias, strict=True):
-            span = len(ids) - w + 1
-            answer = sum(x[j : span + j] @ taps[j] for j in range(w)) + bias
-            at = np.empty((n, FILTERS), np.int64)
-            for i in range(n):
-                lo, hi = rows[i], rows[i + 1] - max(WIDTHS) + 1
-                at[i] = lo + answer[lo:hi].argmax(axis=0)
+            at, answer = self.strongest(ids, rows, w, taps)
             places.append(at)
-            best.append(np.maximum(answer[at, np.arange(FILTERS)], 0))
+            best.append(np.maximum(answer + bias, 0))
         pooled = np.concatenate(best, axis=1) * keep
         z = np.clip(pooled @ self.out + self.level[0], -30, 30)
         p = 1 / (1 + np.exp(-z))
@@ -163,30 +186,44 @@ class Network:
             d_bias.append(d.sum(axis=0))
             tap = np.empty_like(taps)
             for j in range(w):
-                tap[j] = np.einsum("nfd,nf->df", x[at + j], d)
+                tap[j] = np.einsum("nfd,nf->df", self.words[ids[at + j]], d)
                 np.add.at(d_words, ids[at + j].ravel(), (d[:, :, None] * taps[j].T).reshape(-1, DIM))
             d_taps.append(tap)
         d_words[0] = 0
         return loss, [d_words, *d_taps, *d_bias, d_out, d_level]
 
 
-def trained(docs: list[np.ndarray], label: np.ndarray, n_words: int, seed: int = 5) -> Network:
-    """A network fitted to documents of word numbers below ``n_words``; both labels weigh alike."""
-    net, rng = Network(n_words, seed), np.random.default_rng(seed)
-    weight = np.where(label > 0, 0.5 / max(label.mean(), 1e-9), 0.5 / max(1 - label.mean(), 1e-9))
-    past = [np.full_like(p, 1e-6) for p in net.parameters()]
-    for _ in range(EPOCHS):
+class Trainer:
+    """A network, what its steps have been so far (Adagrad), and how often this trainer has met each word."""
+
+    def __init__(self, net: Network, past: list[np.ndarray]) -> None:
+        self.net, self.past = net, past
+        self.met, self.docs = np.zeros(len(net.words), np.int64), 0
+
+    def learn(self, docs: list[np.ndarray], label: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> None:
+        """One pass over documents of word numbers, in drawn order; a batch touches the rows of its own words alone."""
+        net, part = self.net, copy.copy(self.net)
         order = rng.permutation(len(docs))
         for i in range(0, len(order), BATCH):
             take = order[i : i + BATCH]
             ids, rows = padded(np.concatenate([docs[k] for k in take]), np.r_[0, np.cumsum([len(docs[k]) for k in take])])
+            words, ids, n = np.unique(ids, return_inverse=True, return_counts=True)  # word 0 pads each row, so it comes first
             keep = (rng.random(len(net.out)) >= DROP).astype(np.float32) / (1 - DROP)
-            _, slopes = net.gradients(ids, rows, label[take], weight[take], keep)
-            for p, g, q in zip(net.parameters(), slopes, past, strict=True):
-                g = g + DECAY * p if p is not net.words else g
+            part.words = net.words[words]
+            _, (slope, *slopes) = part.gradients(ids, rows, label[take], weight[take], keep)
+            self.past[0][words] += slope * slope
+            net.words[words] -= RATE * slope / np.sqrt(self.past[0][words])
+            for p, g, q in zip(net.parameters()[1:], slopes, self.past[1:], strict=True):
+                g = g + DECAY * p
                 q += g * g
                 p -= RATE * g / np.sqrt(q)
-    return net
+            self.met[words] += n
+        self.docs += len(docs)
+
+
+def new_trainers(n_words: int) -> list[Trainer]:
+    nets = [Network(n_words, seed) for seed in range(NETS)]
+    return [Trainer(net, [np.full_like(p, 1e-6) for p in net.parameters()]) for net in nets]
 
 
 def mean_answers(nets: list[Network], pooled: list[np.ndarray]) -> np.ndarray:
@@ -212,9 +249,11 @@ def best_threshold(z: np.ndarray, label: np.ndarray, weight: np.ndarray) -> floa
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in row_pieces(batch, "text", PIECE):
-            words, rows = listed_words(part.column(part.schema.get_field_index("text")))
-            lists = [words[a:b].tobytes() for a, b in zip(rows, rows[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(lists, pa.binary())], ["key", "label", "lang", "words"])
+            lists = [[] for _ in range(part.num_rows)]
+            for words, rows, again, _ in text_parts(part.column(part.schema.get_field_index("text"))):
+                for k, (lo, hi) in enumerate(zip(rows, rows[1:], strict=False)):
+                    lists[k].append(words[lo + again : hi].tobytes())
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array([b"".join(x) for x in lists], pa.binary())], ["doc_id", "key", "lang", "words"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -226,82 +265,213 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", learn: int = LEARN, words: int = LEARN_WORDS) -> tuple[list, np.ndarray]:
-    """Learning rows (key, label, lang, words), at most ``learn`` of a label and ``words`` words, and how many labelled
-    documents there are of labels 0 and 1."""
+def learning_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> tuple[DataFrame, np.ndarray]:
+    """All learning rows (key, label, lang, words, apart, turn), and how many labelled documents there are of labels 0 and 1."""
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where("doc_id is not null and label is not null")
     told = told.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label")).where("label in (0, 1)")
-    told = materialize(told.withColumn("key", F.xxhash64(F.lit("learn"), "doc_id")), "told")
+    told = materialize(told, "told")
     n = {r.label: r["count"] for r in told.groupBy("label").count().collect()}
-    chosen = [told.where(F.col("label") == v).orderBy("key").limit(learn) for v in (0, 1)]
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]).drop("key"))  # 2 x learn rows
-    rows = _plain(docs).where(F.col("text").isNotNull() & (F.octet_length("text") <= LEARN_BYTES)).join(ids, "doc_id")
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "label", "lang", "text")
-    rows = materialize(rows.mapInArrow(_listed, "key long, label int, lang string, words binary"), "learning")
-    got = []
-    for v in (0, 1):  # a doc_id may repeat: still the rows of smallest hash
-        mine = rows.where(F.col("label") == v)
-        sizes = np.cumsum([r["size"] for r in mine.select("key", F.octet_length("words").alias("size")).orderBy("key", "size").limit(learn).collect()])
-        got += mine.orderBy("key", F.octet_length("words")).limit(int(np.count_nonzero(sizes <= 4 * words // 2))).collect()
-    for table in (told, rows):
-        discard(table)
-    return got, np.array([n.get(0, 0), n.get(1, 0)], float)
-
-
-def fit(rows: list, counts: np.ndarray) -> dict:
-    """Network, languages and thresholds from ``sample`` rows; without both labels, the share of label 1 alone."""
-    total = counts.sum()
-    prior = float(counts[1] / total) if total else 0.0
-    label = np.array([r.label for r in rows], np.int64)
-    apart = np.array([(r.key >> 7) % APART == 0 for r in rows], bool)
-    if any(not ((label == v) & (apart == a)).any() for v in (0, 1) for a in (False, True)):
-        return {"prior": prior}
-    docs = [np.frombuffer(r.words, np.int32) for r in rows]
-    seen = np.zeros(BUCKETS, np.int64)
-    for d in docs:
-        seen[np.unique(d)] += 1
-    known = np.flatnonzero(seen >= LEAST_DOCS)
+    rows = _plain(docs).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "lang", "text").mapInArrow(_listed, "doc_id long, key long, lang string, words binary")
+    apart, turn = F.pmod(F.shiftright("key", 7), F.lit(APART)) == 0, F.pmod(F.xxhash64("key", F.lit("turn")), F.lit(ROUNDS)).cast("int")
+    rows = materialize(rows.join(told, "doc_id").select("key", "label", "lang", "words", apart.alias("apart"), turn.alias("turn")), "learning")
+    discard(told)
+    return rows, np.array([n.get(0, 0), n.get(1, 0)], float)
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.int32) if x.is_valid and len(x.as_buffer()) else np.zeros(0, np.int32) for x in column]
+
+
+def _counted(names: list[str]):
+    """(lang, bucket, docs, words) of a task's rows; languages are places in ``names``, -1 for others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, place = {}, {x: i for i, x in enumerate(names)}
+        for batch in batches:
+            for lang, words in zip(batch.column("lang").to_pylist(), _lists(batch.column("words")), strict=True):
+                docs, all_ = sums.setdefault(place.get(lang, -1), (np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)))
+                at, n = np.unique(words, return_counts=True)
+                docs[at] += 1
+                all_[at] += n
+        for lang, (docs, all_) in sums.items():
+            at = np.flatnonzero(docs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lang, np.int32)), pa.array(at.astype(np.int32)), pa.array(docs[at]), pa.array(all_[at])], ["lang", "bucket", "docs", "words"])
+
+    return run
+
+
+def vocabulary(rows: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Each bucket's word number (0: none), the languages, and the log likelihood of each word in each language."""
+    langs = rows.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    names = [r.lang for r in langs if r["count"] >= KNOWN]
+    counts = rows.select("lang", "words").mapInArrow(_counted(names), "lang int, bucket int, docs long, words long")
+    counts = materialize(counts.groupBy("lang", "bucket").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")), "buckets")
+    known = counts.groupBy("bucket").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCS).select("bucket").toArrow()
+    known = np.sort(known.column("bucket").to_numpy())  # BUCKETS at most
     number = np.zeros(BUCKETS, np.int32)
     number[known] = np.arange(1, len(known) + 1)
-    docs = [number[d] for d in docs]
-    nets = [trained([d for d, a in zip(docs, apart, strict=True) if not a], label[~apart].astype(float), len(known) + 1, seed) for seed in range(NETS)]
-    tables = [net.tables() for net in nets]
-    z = np.array([mean_answers(nets, [net.pooled(*padded(d, np.array([0, len(d)])), t) for net, t in zip(nets, tables, strict=True)])[0] for d in docs])
-    names, n = np.unique([r.lang for r in rows if r.lang is not None], return_counts=True)
-    names = names[np.argsort(-n, kind="stable")][:LANGUAGES]
-    names = [x for x in names.tolist() if sum(r.lang == x for r in rows) >= KNOWN]
     likely = np.ones((len(known) + 1, len(names)))
-    for d, r in zip(docs, rows, strict=True):
-        if r.lang in names:
-            likely[:, names.index(r.lang)] += np.bincount(d, minlength=len(likely))
+    for k in range(len(names)):
+        mine = counts.where(F.col("lang") == k).select("bucket", "words").toArrow()
+        likely[:, k] += np.bincount(number[mine.column("bucket").to_numpy()], mine.column("words").to_numpy(), len(likely))
+    discard(counts)
     likely = np.log(likely / likely.sum(axis=0)).astype(np.float32)
     likely[0] = 0  # unknown words tell no language
-    lang = np.array([int(likely[d].sum(axis=0).argmax()) if names else 0 for d in docs])
-    weight = np.where(label > 0, counts[1] / (label[apart] > 0).sum(), counts[0] / (label[apart] == 0).sum())
-    common = best_threshold(z[apart], label[apart], weight[apart])
-    thresholds = np.full(max(len(names), 1), common)
-    for k in range(len(names)):
-        mine = apart & (lang == k)
-        if min((label[mine] == v).sum() for v in (0, 1)) >= OWN:
+    return number, names, likely
+
+
+def _trained(trainers: list[Trainer], number: np.ndarray, share: np.ndarray, turn: int):
+    """Trains copies of the networks on each shard of rows that come shard by shard; gives their slices with weights."""
+
+    def slices(shard: int, mine: list[Trainer]) -> Iterator[pa.RecordBatch]:
+        for k, t in enumerate(mine):
+            flat = lambda x: np.concatenate([z.ravel() for z in x]).astype(np.float32)
+            parts = [(-1, np.array([t.docs]), flat(t.net.parameters()[1:]), flat(t.past[1:]))]
+            for lo in range(0, len(t.met), SLICE):
+                if t.met[lo : lo + SLICE].any():
+                    parts.append((lo, t.met[lo : lo + SLICE], t.net.words[lo : lo + SLICE], t.past[0][lo : lo + SLICE]))
+            for lo, met, values, past in parts:
+                data = [np.ascontiguousarray(x, kind).tobytes() for x, kind in ((met, np.int64), (values, np.float32), (past, np.float32))]
+                yield pa.RecordBatch.from_pylist([{"net": k, "slice": lo, "shard": shard, "met": data[0], "value": data[1], "past": data[2]}], _SLICES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, mine, docs, label, size = None, [], [], [], 0
+
+        def learn() -> None:
+            y = np.array(label, float)
+            for k, t in enumerate(mine):
+                t.learn(docs, y, 0.5 / share[y.astype(int)], np.random.default_rng([k, turn, shard, t.docs]))
+
+        for batch in batches:
+            for at, y, words in zip(batch.column("shard").to_pylist(), batch.column("label").to_pylist(), _lists(batch.column("words")), strict=True):
+                if docs and (at != shard or len(docs) >= BUFFER or size >= BUFFER_WORDS):
+                    learn()
+                    docs, label, size = [], [], 0
+                if at != shard:
+                    if mine:
+                        yield from slices(shard, mine)
+                    shard, mine = at, copy.deepcopy(trainers)
+                docs.append(number[words])
+                label.append(y)
+                size += len(words)
+        if docs:
+            learn()
+        if mine:
+            yield from slices(shard, mine)
+
+    return run
+
+
+_SLICES = pa.schema([("net", pa.int32()), ("slice", pa.int32()), ("shard", pa.int32()), ("met", pa.binary()), ("value", pa.binary()), ("past", pa.binary())])
+
+
+def _averaged(rows: pa.Table) -> pa.Table:
+    """The mean of one slice of one network over shards; each word by how often a shard met it."""
+    rows = rows.sort_by("shard")
+    met, value, past = (np.stack([np.frombuffer(x, kind) for x in rows.column(c).to_pylist()]) for c, kind in (("met", np.int64), ("value", np.float32), ("past", np.float32)))
+    weight = met / np.maximum(met.sum(axis=0), 1)
+    weight[:, met.sum(axis=0) == 0] = 1 / len(met)  # met by none: all are as before
+    weight = np.repeat(weight, value.shape[1] // met.shape[1], axis=1)
+    mean = [(x * weight).sum(axis=0).astype(np.float32).tobytes() for x in (value, past)]
+    return pa.table([rows.column("net").slice(0, 1), rows.column("slice").slice(0, 1), pa.array(mean[:1], pa.binary()), pa.array(mean[1:], pa.binary())], ["net", "slice", "value", "past"])
+
+
+def trained(rows: DataFrame, number: np.ndarray, n: np.ndarray) -> list[Network]:
+    """Networks fitted to all ``rows`` (key, label, words, turn), of which there are ``n`` of labels 0 and 1; both labels weigh alike."""
+    trainers, share = new_trainers(int(number.max()) + 1), n / n.sum()
+    passes = int(np.clip(np.ceil(ROUNDS * EVERY_ROUND / n.sum()), LEAST_PASSES, ROUNDS))
+    shards = int(np.clip(n.sum() * passes / ROUNDS // SHARD_DOCS, 1, SHARDS))
+    for turn in range(ROUNDS):
+        some = rows.where(F.pmod(F.col("turn") + turn, F.lit(ROUNDS)) < passes)
+        some = some.select(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(shards)).cast("int").alias("shard"), "key", "label", "words")
+        dealt = some.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "label")
+        parts = dealt.mapInArrow(_trained(trainers, number, share, turn), "net int, slice int, shard int, met binary, value binary, past binary")
+        means = parts.groupBy("net", "slice").applyInArrow(_averaged, "net int, slice int, value binary, past binary")
+        for r in means.toArrow().to_pylist():  # of the networks' size, BUCKETS words at most
+            t, (value, past) = trainers[r["net"]], (np.frombuffer(r[c], np.float32) for c in ("value", "past"))
+            if r["slice"] >= 0:
+                at = slice(r["slice"], r["slice"] + len(value) // DIM)
+                t.net.words[at], t.past[0][at] = value.reshape(-1, DIM), past.reshape(-1, DIM)
+                continue
+            for p, q in zip(t.net.parameters()[1:], t.past[1:], strict=True):
+                p[...], value = value[: p.size].reshape(p.shape), value[p.size :]
+                q[...], past = past[: q.size].reshape(q.shape), past[q.size :]
+    return [t.net for t in trainers]
+
+
+def _answered(model: dict):
+    """(lang, label, bin, n): a task's rows counted by likely language, label and answer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, got = with_tables(model), {}
+        for batch in batches:
+            for y, words in zip(batch.column("label").to_pylist(), _lists(batch.column("words")), strict=True):
+                z, lang = _answers(ready, 1, _word_parts(words))
+                k = int(lang[0]), y, int(np.floor(np.clip(z[0], -ODDS, ODDS) * FINE))
+                got[k] = got.get(k, 0) + 1
+        if got:
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in got], pa.int32()) for i in range(3)), pa.array(list(got.values()), pa.int64())], ["lang", "label", "bin", "n"])
+
+    return run
+
+
+def _word_parts(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+    """As ``text_parts``, of one document's buckets."""
+    gap = max(WIDTHS) - 1
+    for lo in range(0, max(len(words), 1), WALK):
+        part = words[max(0, lo - gap) : lo + WALK]
+        yield part, np.array([0, len(part)]), min(lo, gap), lo + WALK >= len(words)
+
+
+def level_thresholds(found: list, counts: np.ndarray, n_langs: int) -> np.ndarray:
+    """The threshold of each language from rows (lang, label, bin, n) of documents kept apart."""
+    lang, label, n = (np.array([r[c] for r in found]) for c in ("lang", "label", "n"))
+    z = (np.array([r.bin for r in found]) + 0.5) / FINE
+    weight = n * np.where(label > 0, counts[1] / n[label > 0].sum(), counts[0] / n[label == 0].sum())
+    thresholds = np.full(max(n_langs, 1), best_threshold(z, label, weight))
+    for k in range(n_langs):
+        mine = lang == k
+        if min(n[mine & (label == v)].sum() for v in (0, 1)) >= OWN:
             thresholds[k] = best_threshold(z[mine], label[mine], weight[mine])
-    return {"prior": prior, "number": number, "nets": nets, "tables": tables, "likely": likely, "names": names, "thresholds": thresholds}
+    return thresholds
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> dict:
+    """Networks, languages and thresholds from all labelled documents; without both labels, the share of label 1 alone."""
+    rows, counts = learning_rows(docs, labels)
+    n = {(r.label, r.apart): r["count"] for r in rows.groupBy("label", "apart").count().collect()}
+    model = {"prior": float(counts[1] / counts.sum()) if counts.sum() else 0.0}
+    if all(n.get((v, a)) for v in (0, 1) for a in (False, True)):
+        number, names, likely = vocabulary(rows)
+        nets = trained(rows.where("not apart"), number, np.array([n[v, False] for v in (0, 1)], float))
+        model |= {"number": number, "nets": nets, "likely": likely, "names": names}
+        found = rows.where("apart").select("label", "words").mapInArrow(_answered(model), "lang int, label int, bin int, n long")
+        found = found.groupBy("lang", "label", "bin").agg(F.sum("n").alias("n")).orderBy("lang", "label", "bin").collect()  # bins, not documents
+        model["thresholds"] = level_thresholds(found, counts, len(names))
+    discard(rows)
+    return model
+
+
+def with_tables(model: dict) -> dict:
+    return {**model, "tables": [net.tables() for net in model["nets"]]} if "nets" in model and "tables" not in model else model
 
 
 def _scored(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = with_tables(model)
         for batch in batches:
             for part in row_pieces(batch, "text", PIECE):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_chances(model, part.column(part.schema.get_field_index("text"))))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_chances(ready, part.column(part.schema.get_field_index("text"))))], ["doc_id", "score"])
 
     return run
 
 
-def _chances(model: dict, texts: pa.Array) -> np.ndarray:
-    if "nets" not in model:
-        return np.full(len(texts), model["prior"])
+def _answers(model: dict, n: int, parts: Iterator[tuple[np.ndarray, np.ndarray, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """The networks' mean answer to each of ``n`` texts, and their likely languages."""
     nets, likely = model["nets"], model["likely"]
-    best, votes = [np.zeros((len(texts), len(net.out)), np.float32) for net in nets], np.zeros((len(texts), likely.shape[1]))
-    for words, rows, again, last in text_parts(texts):
+    best, votes = [np.zeros((n, len(net.out)), np.float32) for net in nets], np.zeros((n, likely.shape[1]))
+    for words, rows, again, last in parts:
         ids = model["number"][words]
         if last or len(ids) >= max(WIDTHS):  # windows over a part's end come with the next part
             windows = padded(ids, rows) if last else (ids, rows)
@@ -310,8 +480,14 @@ def _chances(model: dict, texts: pa.Array) -> np.ndarray:
             sums = np.zeros((len(ids) + 1, likely.shape[1]))
             np.cumsum(likely[ids], axis=0, out=sums[1:])
             votes += sums[rows[1:]] - sums[np.minimum(rows[:-1] + again, rows[1:])]
-    level = model["thresholds"][votes.argmax(axis=1)] if likely.shape[1] else model["thresholds"][0]
-    return 1 / (1 + np.exp(-np.clip(mean_answers(nets, best) - level, -30, 30)))
+    return mean_answers(nets, best), votes.argmax(axis=1) if likely.shape[1] else np.zeros(n, np.int64)
+
+
+def _chances(model: dict, texts: pa.Array) -> np.ndarray:
+    if "nets" not in model:
+        return np.full(len(texts), model["prior"])
+    z, lang = _answers(with_tables(model), len(texts), text_parts(texts))
+    return 1 / (1 + np.exp(-np.clip(z - model["thresholds"][lang], -30, 30)))
 
 
 def toxicity(docs: DataFrame, model: dict) -> DataFrame:
@@ -327,10 +503,6 @@ def toxicity(docs: DataFrame, model: dict) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> dict:
-    return fit(*sample(docs, labels))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op13: the toxicity of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
