@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, label: str, folders: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back; ``folders`` are its last columns, each value a folder.
 
     The result has no lineage beyond the written files, so a lost executor costs a re-read and not a
     recomputation of everything before.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -57,6 +58,31 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def lent(spark: SparkSession, value: object):
+    """A broadcast for the jobs of a block. The driver and every executor keep a file of it, which goes with the block."""
+    held = spark.sparkContext.broadcast(value)
+    try:
+        yield held
+    finally:
+        held.destroy(blocking=True)
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession):
+    """In the block, the shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+
+    For queries that run once, on tables that are written.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def ticket(name: str, key: Column) -> Column:
     """63 bits drawn for a key by a hash."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(name), key), 1)

@@ -9,8 +9,9 @@ in parts that overlap by a filter's width: the maximum over parts is that of the
 All labelled documents of the learning part teach. Their words are written once as bucket numbers. Training goes in rounds:
 a round's documents are dealt to shards by a hash, each shard trains its copy of the networks in a task (minibatches,
 Adagrad), and the copies are averaged, a word by how often each shard met it. Few documents are one shard, which is plain
-training; with more of them each is taken fewer times, but ``LEAST_PASSES`` times at least. Only the averages, which do not
-grow with the documents, reach the driver.
+training; with more of them each is taken fewer times, but ``LEAST_PASSES`` times at least. A shard gives only the words that
+it met; these and the averages are files in the shared folder, which go when the next averages are there, and tasks read from
+them what they begin with. Only the last averages, which do not grow with the documents, reach the driver.
 
 A share of the documents is kept apart from training and sets a threshold for each language, by the fewest errors under the
 true share of labels; their answers are counted in bins. The language is the one of most likely words, also learned from
@@ -21,15 +22,19 @@ where the language's threshold lies.
 from __future__ import annotations
 
 import copy
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .resample import BREAKS, LOWER
-from .shared import discard, hash_spans, materialize, row_pieces, text_bytes, words_of
+from .shared import brief_shuffles, discard, hash_spans, lent, materialize, row_pieces, text_bytes, words_of
+from .warc import opened
 
 #: Kept apart for thresholds: one learning document in APART by hash.
 APART = 3
@@ -44,6 +49,10 @@ ROUNDS, EVERY_ROUND, LEAST_PASSES = 8, 4000, 2
 SHARD_DOCS, SHARDS = 2500, 16
 #: Documents and words that a shard shuffles at once, words a filter walks at once, and words of a slice of a network.
 BUFFER, BUFFER_WORDS, WALK, SLICE = 4096, 1 << 22, 1 << 18, 4096
+#: Tasks that average slices.
+MEANS = 12
+#: Bits that tell which rows have no label: so many a labelled row, in blocks of BLOCK_BITS, BITS at most.
+ROW_BITS, BLOCK_BITS, BITS = 16, 1 << 15, 1 << 26
 #: Answers from -ODDS to ODDS are counted in bins of 1 / FINE.
 ODDS, FINE = 30, 100
 #: Networks from different starts whose answers are averaged.
@@ -246,14 +255,35 @@ def best_threshold(z: np.ndarray, label: np.ndarray, weight: np.ndarray) -> floa
 # --------------------------------------------------------------------------- learning and scoring
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in row_pieces(batch, "text", PIECE):
-            lists = [[] for _ in range(part.num_rows)]
-            for words, rows, again, _ in text_parts(part.column(part.schema.get_field_index("text"))):
-                for k, (lo, hi) in enumerate(zip(rows, rows[1:], strict=False)):
-                    lists[k].append(words[lo + again : hi].tobytes())
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array([b"".join(x) for x in lists], pa.binary())], ["doc_id", "key", "lang", "words"])
+def _bit(n_bits: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(n_bits))
+
+
+def marked_rows(told: DataFrame, n: int) -> np.ndarray:
+    """Bits of the hashes of ``n`` doc_ids: an unset bit tells that a row is not in ``told``, a set one that it may be."""
+    n_bits = min(max(1 << (ROW_BITS * n - 1).bit_length(), BLOCK_BITS), BITS)
+    blocks = told.select(_bit(n_bits).alias("bit")).groupBy(F.expr(f"bit div {BLOCK_BITS}").alias("block")).agg(F.expr(f"bitmap_construct_agg(bit % {BLOCK_BITS})").alias("bits"))
+    out = np.zeros((n_bits // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
+    for r in blocks.collect():  # BITS at most
+        out[r.block] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def _listed(marks: Broadcast):
+    """(doc_id, key, lang, words) of the rows that may be labelled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array(marks.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1))
+            for part in row_pieces(batch, "text", PIECE):
+                lists = [[] for _ in range(part.num_rows)]
+                for words, rows, again, _ in text_parts(part.column(part.schema.get_field_index("text"))):
+                    for k, (lo, hi) in enumerate(zip(rows, rows[1:], strict=False)):
+                        lists[k].append(words[lo + again : hi].tobytes())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array([b"".join(x) for x in lists], pa.binary())], ["doc_id", "key", "lang", "words"])
+
+    return run
 
 
 def held_out(doc_id: Column) -> Column:
@@ -272,9 +302,12 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label_col: str = "toxic")
     told = materialize(told, "told")
     n = {r.label: r["count"] for r in told.groupBy("label").count().collect()}
     rows = _plain(docs).where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "lang", "text").mapInArrow(_listed, "doc_id long, key long, lang string, words binary")
     apart, turn = F.pmod(F.shiftright("key", 7), F.lit(APART)) == 0, F.pmod(F.xxhash64("key", F.lit("turn")), F.lit(ROUNDS)).cast("int")
-    rows = materialize(rows.join(told, "doc_id").select("key", "label", "lang", "words", apart.alias("apart"), turn.alias("turn")), "learning")
+    marks = marked_rows(told, sum(n.values()))
+    with lent(told.sparkSession, marks) as marks_there:
+        rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "lang", "text", _bit(8 * len(marks)).alias("bit"))
+        rows = rows.mapInArrow(_listed(marks_there), "doc_id long, key long, lang string, words binary")
+        rows = materialize(rows.join(told, "doc_id").select("key", "label", "lang", "words", apart.alias("apart"), turn.alias("turn")), "learning")
     discard(told)
     return rows, np.array([n.get(0, 0), n.get(1, 0)], float)
 
@@ -321,19 +354,23 @@ def vocabulary(rows: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray]:
     return number, names, likely
 
 
-def _trained(trainers: list[Trainer], number: np.ndarray, share: np.ndarray, turn: int):
-    """Trains copies of the networks on each shard of rows that come shard by shard; gives their slices with weights."""
+def _trained(begin: str | None, number: Broadcast, share: np.ndarray, turn: int):
+    """Trains copies of the networks on each shard of rows that come shard by shard; gives the words met, in slices, with weights.
+
+    ``begin`` is where the averages before are written.
+    """
 
     def slices(shard: int, mine: list[Trainer]) -> Iterator[pa.RecordBatch]:
         for k, t in enumerate(mine):
             flat = lambda x: np.concatenate([z.ravel() for z in x]).astype(np.float32)
-            parts = [(-1, np.array([t.docs]), flat(t.net.parameters()[1:]), flat(t.past[1:]))]
+            parts = [(-1, np.zeros(1, int), np.array([t.docs]), flat(t.net.parameters()[1:]), flat(t.past[1:]))]
             for lo in range(0, len(t.met), SLICE):
-                if t.met[lo : lo + SLICE].any():
-                    parts.append((lo, t.met[lo : lo + SLICE], t.net.words[lo : lo + SLICE], t.past[0][lo : lo + SLICE]))
-            for lo, met, values, past in parts:
-                data = [np.ascontiguousarray(x, kind).tobytes() for x, kind in ((met, np.int64), (values, np.float32), (past, np.float32))]
-                yield pa.RecordBatch.from_pylist([{"net": k, "slice": lo, "shard": shard, "met": data[0], "value": data[1], "past": data[2]}], _SLICES)
+                at = np.flatnonzero(t.met[lo : lo + SLICE])
+                if len(at):
+                    parts.append((lo, at, t.met[lo + at], t.net.words[lo + at], t.past[0][lo + at]))
+            for lo, *columns in parts:
+                data = [np.ascontiguousarray(x, kind).tobytes() for x, kind in zip(columns, _KINDS.values(), strict=True)]
+                yield pa.RecordBatch.from_pylist([{"net": k, "slice": lo, "shard": shard, **dict(zip(_KINDS, data, strict=True)), "part": (lo // SLICE * NETS + k) % MEANS}], _SLICES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, mine, docs, label, size = None, [], [], [], 0
@@ -351,8 +388,8 @@ def _trained(trainers: list[Trainer], number: np.ndarray, share: np.ndarray, tur
                 if at != shard:
                     if mine:
                         yield from slices(shard, mine)
-                    shard, mine = at, copy.deepcopy(trainers)
-                docs.append(number[words])
+                    shard, mine = at, trainers_of(int(number.value.max()) + 1, begin)
+                docs.append(number.value[words])
                 label.append(y)
                 size += len(words)
         if docs:
@@ -363,48 +400,102 @@ def _trained(trainers: list[Trainer], number: np.ndarray, share: np.ndarray, tur
     return run
 
 
-_SLICES = pa.schema([("net", pa.int32()), ("slice", pa.int32()), ("shard", pa.int32()), ("met", pa.binary()), ("value", pa.binary()), ("past", pa.binary())])
+#: What a slice has of each word met: its place in the slice, how often it was met, its embedding and what its steps have been.
+_KINDS = {"at": np.int32, "met": np.int64, "value": np.float32, "past": np.float32}
+_SLICES = pa.schema([("net", pa.int32()), ("slice", pa.int32()), ("shard", pa.int32()), *((c, pa.binary()) for c in _KINDS), ("part", pa.int32())])
+_SLICE_TYPES = "net int, slice int, shard int, at binary, met binary, value binary, past binary, part int"
+#: The shard of averages; they come before all shards, and nothing is said of how often their words were met.
+_BEFORE = -1
+
 
+def _unpacked(rows: pa.Table | pa.RecordBatch, name: str) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), _KINDS[name]) for x in rows.column(name)]
 
-def _averaged(rows: pa.Table) -> pa.Table:
-    """The mean of one slice of one network over shards; each word by how often a shard met it."""
-    rows = rows.sort_by("shard")
-    met, value, past = (np.stack([np.frombuffer(x, kind) for x in rows.column(c).to_pylist()]) for c, kind in (("met", np.int64), ("value", np.float32), ("past", np.float32)))
-    weight = met / np.maximum(met.sum(axis=0), 1)
-    weight[:, met.sum(axis=0) == 0] = 1 / len(met)  # met by none: all are as before
-    weight = np.repeat(weight, value.shape[1] // met.shape[1], axis=1)
-    mean = [(x * weight).sum(axis=0).astype(np.float32).tobytes() for x in (value, past)]
-    return pa.table([rows.column("net").slice(0, 1), rows.column("slice").slice(0, 1), pa.array(mean[:1], pa.binary()), pa.array(mean[1:], pa.binary())], ["net", "slice", "value", "past"])
+
+def _put(arrays: list[np.ndarray], lo: int, at: np.ndarray, values: np.ndarray) -> None:
+    """Puts a slice of words in its place; slice -1 is all but the words."""
+    if lo >= 0:
+        arrays[0][lo + at] = values.reshape(-1, DIM)
+        return
+    for p in arrays[1:]:
+        p[...], values = values[: p.size].reshape(p.shape), values[p.size :]
+
+
+def trainers_of(n_words: int, path: str | None) -> list[Trainer]:
+    """Trainers as the averages at ``path`` have them; words that none has met yet are as drawn."""
+    trainers = new_trainers(n_words)
+    if path:
+        there, root = opened(path)
+        rows = pyarrow.dataset.dataset(root, _SLICES.remove(len(_SLICES) - 1), format="parquet", filesystem=there)
+        for batch in rows.to_batches(columns=["net", "slice", "at", "value", "past"], use_threads=False):
+            for k, lo, at, value, past in zip(*(batch.column(c).to_pylist() for c in ("net", "slice")), *(_unpacked(batch, c) for c in ("at", "value", "past")), strict=True):
+                _put(trainers[k].net.parameters(), lo, at, value)
+                _put(trainers[k].past, lo, at, past)
+        pa.default_memory_pool().release_unused()
+    return trainers
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The means over shards of the slices of a task, each word by how often a shard met it; words met by none stay as before."""
+    rows = pa.Table.from_batches(batches, _SLICES).sort_by([(c, "ascending") for c in ("net", "slice", "shard")])
+    keys = np.stack([rows.column(c).to_numpy() for c in ("net", "slice")])
+    edges = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0), True]) if len(rows) else np.zeros(1, int)
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        mine = rows.slice(lo, hi - lo)
+        size, old = SLICE if keys[1, lo] >= 0 else 1, int(mine.column("shard")[0].as_py() == _BEFORE)
+        places, met = _unpacked(mine, "at"), _unpacked(mine, "met")
+        total, known, means = np.zeros(size, np.int64), np.zeros(size, bool), []
+        for at, n in zip(places[old:], met[old:], strict=True):
+            total[at] += n
+        for at in places:
+            known[at] = True
+        for name in ("value", "past"):
+            values = _unpacked(mine, name)
+            mean = np.zeros((size, len(values[0]) // len(places[0])))
+            for at, n, x in zip(places[old:], met[old:], values[old:], strict=True):
+                mean[at] += x.reshape(len(at), -1) * (n / total[at])[:, None]
+            if old:
+                stay = total[places[0]] == 0
+                mean[places[0][stay]] = values[0].reshape(len(stay), -1)[stay]
+            means.append(mean[known].astype(np.float32).tobytes())
+        row = {"net": int(keys[0, lo]), "slice": int(keys[1, lo]), "shard": _BEFORE, "met": b"", "part": mine.column("part")[0].as_py()}
+        yield pa.RecordBatch.from_pylist([row | {"at": np.flatnonzero(known).astype(np.int32).tobytes(), "value": means[0], "past": means[1]}], _SLICES)
+
+
+def averaged(tables: Iterable[DataFrame]) -> DataFrame:
+    """The means of slices in tables that have a folder for each ``part``: a task reads one of each, nothing is shuffled."""
+    parts = [reduce(DataFrame.union, [t.where(F.col("part") == k) for t in tables]).coalesce(1) for k in range(MEANS)]
+    return reduce(DataFrame.union, parts).mapInArrow(_averaged, _SLICE_TYPES)
 
 
 def trained(rows: DataFrame, number: np.ndarray, n: np.ndarray) -> list[Network]:
     """Networks fitted to all ``rows`` (key, label, words, turn), of which there are ``n`` of labels 0 and 1; both labels weigh alike."""
-    trainers, share = new_trainers(int(number.max()) + 1), n / n.sum()
+    share, spark, means = n / n.sum(), rows.sparkSession, []
     passes = int(np.clip(np.ceil(ROUNDS * EVERY_ROUND / n.sum()), LEAST_PASSES, ROUNDS))
     shards = int(np.clip(n.sum() * passes / ROUNDS // SHARD_DOCS, 1, SHARDS))
-    for turn in range(ROUNDS):
-        some = rows.where(F.pmod(F.col("turn") + turn, F.lit(ROUNDS)) < passes)
-        some = some.select(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(shards)).cast("int").alias("shard"), "key", "label", "words")
-        dealt = some.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "label")
-        parts = dealt.mapInArrow(_trained(trainers, number, share, turn), "net int, slice int, shard int, met binary, value binary, past binary")
-        means = parts.groupBy("net", "slice").applyInArrow(_averaged, "net int, slice int, value binary, past binary")
-        for r in means.toArrow().to_pylist():  # of the networks' size, BUCKETS words at most
-            t, (value, past) = trainers[r["net"]], (np.frombuffer(r[c], np.float32) for c in ("value", "past"))
-            if r["slice"] >= 0:
-                at = slice(r["slice"], r["slice"] + len(value) // DIM)
-                t.net.words[at], t.past[0][at] = value.reshape(-1, DIM), past.reshape(-1, DIM)
-                continue
-            for p, q in zip(t.net.parameters()[1:], t.past[1:], strict=True):
-                p[...], value = value[: p.size].reshape(p.shape), value[p.size :]
-                q[...], past = past[: q.size].reshape(q.shape), past[q.size :]
-    return [t.net for t in trainers]
-
-
-def _answered(model: dict):
+    with lent(spark, number) as numbers:
+        for turn in range(ROUNDS):
+            some = rows.where(F.pmod(F.col("turn") + turn, F.lit(ROUNDS)) < passes)
+            some = some.select(F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(shards)).cast("int").alias("shard"), "key", "label", "words")
+            dealt = some.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key", "label")
+            begin = means[0]._written_at if means else None
+            parts = materialize(dealt.mapInArrow(_trained(begin, numbers, share, turn), _SLICE_TYPES), "slices", ("part",))
+            before, means = means, [materialize(averaged([*means, parts]), "networks", ("part",))]
+            for old in (parts, *before):
+                discard(old)
+    nets = [Network(int(number.max()) + 1, seed) for seed in range(NETS)]
+    for batch in means[0].select("net", "slice", "at", "value").toArrow().to_batches():  # of the networks' size, BUCKETS words at most
+        for k, lo, at, value in zip(*(batch.column(c).to_pylist() for c in ("net", "slice")), *(_unpacked(batch, c) for c in ("at", "value")), strict=True):
+            _put(nets[k].parameters(), lo, at, value)
+    discard(means[0])
+    return nets
+
+
+def _answered(model: Broadcast):
     """(lang, label, bin, n): a task's rows counted by likely language, label and answer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready, got = with_tables(model), {}
+        ready, got = with_tables(model.value), {}
         for batch in batches:
             for y, words in zip(batch.column("label").to_pylist(), _lists(batch.column("words")), strict=True):
                 z, lang = _answers(ready, 1, _word_parts(words))
@@ -439,6 +530,11 @@ def level_thresholds(found: list, counts: np.ndarray, n_langs: int) -> np.ndarra
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict:
     """Networks, languages and thresholds from all labelled documents; without both labels, the share of label 1 alone."""
+    with brief_shuffles(docs.sparkSession):
+        return _learned(docs, labels)
+
+
+def _learned(docs: DataFrame, labels: DataFrame) -> dict:
     rows, counts = learning_rows(docs, labels)
     n = {(r.label, r.apart): r["count"] for r in rows.groupBy("label", "apart").count().collect()}
     model = {"prior": float(counts[1] / counts.sum()) if counts.sum() else 0.0}
@@ -446,8 +542,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
         number, names, likely = vocabulary(rows)
         nets = trained(rows.where("not apart"), number, np.array([n[v, False] for v in (0, 1)], float))
         model |= {"number": number, "nets": nets, "likely": likely, "names": names}
-        found = rows.where("apart").select("label", "words").mapInArrow(_answered(model), "lang int, label int, bin int, n long")
-        found = found.groupBy("lang", "label", "bin").agg(F.sum("n").alias("n")).orderBy("lang", "label", "bin").collect()  # bins, not documents
+        with lent(docs.sparkSession, model) as there:
+            found = rows.where("apart").select("label", "words").mapInArrow(_answered(there), "lang int, label int, bin int, n long")
+            found = found.groupBy("lang", "label", "bin").agg(F.sum("n").alias("n")).orderBy("lang", "label", "bin").collect()  # bins, not documents
         model["thresholds"] = level_thresholds(found, counts, len(names))
     discard(rows)
     return model
