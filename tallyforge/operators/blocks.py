@@ -12,6 +12,8 @@ from .tables import written
 
 #: Rows of a side that one piece holds, about.
 ROWS = 2048
+#: Tasks that the pieces are dealt to, for each core: their work does not show in their bytes, by which tasks would be put together.
+TASKS = 4
 
 
 def meet(a: DataFrame, b: DataFrame, keys: list[str], by: str, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, rows: int = ROWS, rows_b: int | None = None) -> DataFrame:
@@ -20,7 +22,9 @@ def meet(a: DataFrame, b: DataFrame, keys: list[str], by: str, run: Callable[[pa
     Each pair of rows of a key comes together in exactly one piece, and no piece holds more than about ``rows`` of a side
     (``rows_b`` of ``b``, if given).
     """
-    a, b = written(a), written(b)
+    spark = a.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS * spark.sparkContext.defaultParallelism)
+    a, b = written(a.repartition(tasks, by)), written(b.repartition(tasks, by))  # many tasks then repeat rows for the other side's blocks
     blocks = lambda df, name, rows: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
     sizes = written(blocks(a, "__na", rows).join(blocks(b, "__nb", rows_b or rows), keys))
     block = lambda n: F.pmod(F.xxhash64(by, F.lit(11)), F.col(n)).cast("int")
@@ -28,6 +32,7 @@ def meet(a: DataFrame, b: DataFrame, keys: list[str], by: str, run: Callable[[pa
     one = a.join(sizes, keys).withColumn("__a", block("__na")).withColumn("__b", all_("__nb")).drop("__na", "__nb")
     two = b.join(sizes, keys).withColumn("__b", block("__nb")).withColumn("__a", all_("__na")).drop("__na", "__nb")
     at = [*keys, "__a", "__b"]
+    one, two = one.repartition(tasks, *at), two.repartition(tasks, *at)
     return one.groupBy(*at).cogroup(two.groupBy(*at)).applyInArrow(run, schema)
 
 
